@@ -1,12 +1,26 @@
 """Queries of the subpackage, by name, and the SQL of those that SQL expresses."""
 
-from abridge.llm.ngram_jaccard_query import SQL as NGRAM_JACCARD_SQL
-from abridge.llm.ngram_jaccard_query import op9_ngram_jaccard
+from abridge.llm import (
+    embedding_dedup_query,
+    ngram_jaccard_query,
+    packing_query,
+    sharding_query,
+    token_counts_query,
+    url_filter_query,
+)
 
 QUERIES = {
-    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op2_url_filter": url_filter_query.op2_url_filter,
+    "op3_packing": packing_query.op3_packing,
+    "op4_sharding": sharding_query.op4_sharding,
+    "op8_token_counts": token_counts_query.op8_token_counts,
+    "op9_ngram_jaccard": ngram_jaccard_query.op9_ngram_jaccard,
+    "op10_embedding_dedup": embedding_dedup_query.op10_embedding_dedup,
 }
 
 ORACLE_SQL = {
-    "op9_ngram_jaccard": NGRAM_JACCARD_SQL,
+    "op2_url_filter": url_filter_query.SQL,
+    "op4_sharding": sharding_query.SQL,
+    "op9_ngram_jaccard": ngram_jaccard_query.SQL,
+    "op10_embedding_dedup": embedding_dedup_query.SQL,
 }
