@@ -21,7 +21,7 @@ hexed AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce
 sums AS (
   SELECT doc_id, source, strlen(text) + 16 AS size,
     xor(list_reduce([4294967295::UBIGINT] || list_transform(range(strlen(text)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::UBIGINT)::BIGINT AS crc
+      lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc
   FROM hexed, steps),
 ranked AS (
   SELECT *, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS key,
