@@ -17,8 +17,10 @@ _PLACES = _rng.integers(0, 2**64, size=64, dtype=np.uint64) | np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
+#: All of ASCII but letters and digits.
+NOT_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,9 +55,9 @@ def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ : first byte, end byte, first word of each text (one more at the end), blank flags."""
-    blank = _SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, runs of bytes not in `between`: first byte, end byte, first word of each text (one more at the end), blank flags."""
+    blank = between[data]
     word = ~blank
     first = word.copy()
     first[1:] &= blank[:-1]
@@ -69,12 +71,12 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at), blank
 
 
-def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(text: pa.Array, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word after lower-casing A-Z, and the first word of each text (one more at the end)."""
     data, at = raw(text)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    starts, _, of, blank = word_spans(data, at)
+    starts, _, of, blank = word_spans(data, at, between)
     if not len(starts):
         return np.zeros(0, np.uint64), of
     run = np.diff(np.append(starts, len(data)))
