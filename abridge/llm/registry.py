@@ -1,18 +1,26 @@
 """Queries of the subpackage, by name, and the SQL of those that SQL expresses."""
 
 from abridge.llm import (
+    decontamination_query,
     embedding_dedup_query,
+    language_query,
     ngram_jaccard_query,
     packing_query,
+    sentencepieces_query,
     sharding_query,
     token_counts_query,
+    toxicity_query,
     url_filter_query,
 )
 
 QUERIES = {
+    "op1_decontamination": decontamination_query.op1_decontamination,
     "op2_url_filter": url_filter_query.op2_url_filter,
     "op3_packing": packing_query.op3_packing,
     "op4_sharding": sharding_query.op4_sharding,
+    "op5_toxicity": toxicity_query.op5_toxicity,
+    "op6_sentencepiece": sentencepieces_query.op6_sentencepiece,
+    "op7_language": language_query.op7_language,
     "op8_token_counts": token_counts_query.op8_token_counts,
     "op9_ngram_jaccard": ngram_jaccard_query.op9_ngram_jaccard,
     "op10_embedding_dedup": embedding_dedup_query.op10_embedding_dedup,
