@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from abridge.llm import textkit
 
-#: Pre-tokens and parts remembered by a worker at most; beyond, it starts anew. About 100 bytes each.
-REMEMBERED = 600_000
+#: Pre-tokens, and parts, remembered by a worker at most; beyond, it starts anew. About 250 bytes each.
+REMEMBERED = 250_000
 _CUT = re.compile(r"(?= \S)")
 _PLAIN = re.compile(r" ?[A-Za-z]+")
 
@@ -28,9 +28,10 @@ _PLAIN = re.compile(r" ?[A-Za-z]+")
 class BytePieces:
     """Token ids of parts under a tokenizers .json file, and its vocabulary as ranks where there is one beside it."""
 
-    def __init__(self, json_path: str):
+    def __init__(self, json_path: str, remembered: int = REMEMBERED):
         import os
 
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,19 +64,19 @@ class BytePieces:
                 for word in [part] if _PLAIN.fullmatch(part) else self.split.findall(part):
                     ids = self.words.get(word)
                     if ids is None:
-                        if len(self.words) >= REMEMBERED:
+                        if len(self.words) >= self.remembered:
                             self.words.clear()
                         ids = self.words[word] = tuple(self.fast.encode_ordinary(word))
                     found += ids
             if len(part) <= 64:
-                if len(self.parts) >= REMEMBERED:
+                if len(self.parts) >= self.remembered:
                     self.parts.clear()
                 self.parts[part] = found
         return found
 
     def ragged(self, text: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]]:
         """For ranges of rows of `text`: part numbers in order, ids of each numbered part, first part of each text (one more at the end)."""
-        for a, b in textkit.slices(text, 8 << 20):
+        for a, b in textkit.slices(text, 6 << 20):
             yield self._ragged(text.slice(a, b - a))
 
     def _ragged(self, text: pa.Array) -> tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]:
@@ -117,6 +118,6 @@ class BytePieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(json_path: str) -> BytePieces:
+def pieces(json_path: str, remembered: int = REMEMBERED) -> BytePieces:
     """One for each worker and file; workers are used again, and so is what they remember."""
-    return BytePieces(json_path)
+    return BytePieces(json_path, remembered)
