@@ -1,13 +1,472 @@
-"""All registered queries of the summariser."""
+"""All registered queries of the summariser: each works on whole tables. A set is a document, unless the name says otherwise."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from abridge.api import tfidf_weights
+from abridge.config import Config
+from abridge.functions import text as T
+from abridge.functions.stem import porter, porter_sql
+from abridge.operators import anaphora, cluster, combine, digest, measures, render, select, terms
+from abridge.plans import sql as Q
+from abridge.plans.words import FEMALE_NAMES, MALE_NAMES, NEGATIVE, POSITIVE, STOP
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+CONFIG = Config()
+CLUSTERS = [(w, f"cluster-{k % 5}") for k, w in enumerate(("the", "ther", "here", "are", "those", "er", "en", "of", "de", "queue", "elle", "und"))]
+WEIGHTS = [(0, 0, 0.5), (0, 1, 0.25)]
+
+
+def _docs(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _sents(spark: SparkSession, d: str) -> DataFrame:
+    return T.sentences(_docs(spark, d))
+
+
+def _weights(s: DataFrame, bigrams: bool = True) -> DataFrame:
+    return tfidf_weights(s, Config(bigrams=bigrams))
+
+
+def _cosine(spark: SparkSession, d: str, bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
+    s = _sents(spark, d)
+    w = _weights(s, bigrams)
+    return s, measures.tfidf_cosine(w, terms.norms(w))
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Sentences and words
+
+
+@query(Q.cte(Q.sents(least=0)) + "SELECT set_id, sent_idx, text FROM s")
+def sentence_split(spark, d):
+    return T.sentences(_docs(spark, d), min_tokens=0).select("set_id", "sent_idx", "text")
+
+
+@query(Q.cte(Q.sents(split=False, least=0)) + "SELECT set_id, sent_idx, text FROM s")
+def sentence_lines(spark, d):
+    return T.sentences(_docs(spark, d), min_tokens=0, split=False).select("set_id", "sent_idx", "text")
+
+
+@query(Q.cte(Q.sents()) + "SELECT set_id, count(*) AS sentences, sum(len(tokens))::BIGINT AS tokens FROM s GROUP BY 1")
+def sentence_minlen(spark, d):
+    return _sents(spark, d).groupBy("set_id").agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).alias("tokens"))
+
+
+@query(Q.cte(Q.sents()) + "SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM s) GROUP BY 1")
+def tokens_alnum(spark, d):
+    return _sents(spark, d).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(Q.cte(Q.sents()) + "SELECT lower(translate(t, '_.,!?-', '')) AS word, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM s) GROUP BY 1")
+def tokens_idfnorm(spark, d):
+    return _sents(spark, d).select(F.explode("tokens").alias("t")).groupBy(T.idf_normal(F.col("t")).alias("word")).agg(F.count("*").alias("n"))
+
+
+@query(Q.cte(Q.sents()) + r"SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[^\p{L}\p{Nd}_]+')) AS w FROM s) WHERE replace(w, '_', '') <> '' GROUP BY 1")
+def tokens_wordsplit(spark, d):
+    return _sents(spark, d).select(F.explode(T.word_split(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(Q.cte(Q.sents(), "v AS (SELECT DISTINCT unnest(words) AS word FROM s)") + f"SELECT word, stem FROM ({porter_sql('v')})")
+def vocab_stem(spark, d):
+    return porter(_sents(spark, d).select(F.explode("words").alias("word")).distinct())
+
+
+@query(Q.cte(Q.sents("conversations", "conv_id", "text", least=1)) + "SELECT set_id, count(*) AS n FROM s GROUP BY 1")
+def conversation_sentences(spark, d):
+    """A conversation's turns are the documents of a set."""
+    return T.sentences(_docs(spark, d, "conversations"), "conv_id", "text", 1, order_col="turn").groupBy("set_id").agg(F.count("*").alias("n"))
+
+
+# Bags, idf, weights
+
+
+@query(Q.cte(Q.sents(), Q.bag(False, False)) + "SELECT * FROM bag")
+def bag_unigram(spark, d):
+    return terms.bag(_sents(spark, d))
+
+
+@query(Q.cte(Q.sents(), Q.bag(True, False)) + "SELECT * FROM bag")
+def bag_bigram(spark, d):
+    return terms.bag(_sents(spark, d), bigrams=True)
+
+
+@query(Q.cte(Q.sents(), Q.bag()) + "SELECT * FROM bag")
+def bag_stop(spark, d):
+    return terms.bag(_sents(spark, d), STOP, bigrams=True)
+
+
+_STEMMED = f"""v AS (SELECT DISTINCT unnest(words) AS word FROM s), st AS (SELECT word, stem FROM ({porter_sql('v')})),
+o AS (SELECT set_id, sent_idx, p, words[p] AS word, words[p] IN ({Q.listed(STOP)}) AS stop FROM s, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS p)),
+t AS (SELECT o.*, CASE WHEN stop THEN word ELSE stem END AS term FROM o JOIN st USING (word)),
+p AS (SELECT *, lag(term) OVER (PARTITION BY set_id, sent_idx ORDER BY p) AS prev FROM t)"""
+
+
+@query(Q.cte(Q.sents(), _STEMMED) + "SELECT set_id, sent_idx, term, count(*)::INT AS tf FROM (SELECT set_id, sent_idx, term FROM p WHERE NOT stop UNION ALL SELECT set_id, sent_idx, prev || ' ' || term FROM p WHERE prev IS NOT NULL) GROUP BY ALL")
+def bag_stem(spark, d):
+    return terms.bag(_sents(spark, d), STOP, "porter", True)
+
+
+_CLUSTERED = f"""c(word, cluster_id) AS (VALUES {', '.join(f"('{w}', '{c}')" for w, c in CLUSTERS)}),
+o AS (SELECT set_id, sent_idx, p, words[p] AS term, words[p] IN ({Q.listed(STOP)}) AS stop FROM s, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS p)),
+t AS (SELECT o.*, cluster_id, coalesce(cluster_id, term) AS sw FROM o LEFT JOIN c ON c.word = term),
+p AS (SELECT *, lag(term) OVER w AS prev, lag(sw) OVER w AS psw FROM t WINDOW w AS (PARTITION BY set_id, sent_idx ORDER BY p))"""
+
+
+@query(Q.cte(Q.sents(), _CLUSTERED) + """SELECT set_id, sent_idx, term, count(*)::INT AS tf FROM (SELECT set_id, sent_idx, term FROM p WHERE NOT stop
+UNION ALL SELECT set_id, sent_idx, cluster_id FROM p WHERE NOT stop AND cluster_id IS NOT NULL UNION ALL SELECT set_id, sent_idx, prev || ' ' || term FROM p WHERE prev IS NOT NULL
+UNION ALL SELECT set_id, sent_idx, psw || ' ' || sw FROM p WHERE prev IS NOT NULL AND psw || ' ' || sw <> prev || ' ' || term) GROUP BY ALL""")
+def bag_wordcluster(spark, d):
+    clusters = spark.createDataFrame(CLUSTERS, "word string, cluster_id string")
+    return terms.bag(_sents(spark, d), STOP, bigrams=True, clusters=clusters)
+
+
+@query(Q.cte(Q.sents(), Q.bag(False, False)) + "SELECT term, row_number() OVER (ORDER BY encode(term)) - 1 AS term_idx FROM (SELECT DISTINCT term FROM bag)")
+def vocabulary_index(spark, d):
+    return terms.vocabulary(terms.bag(_sents(spark, d)))
+
+
+_BY_LANG = "lang_s AS (SELECT lang, doc_id, unnest(words) AS term FROM s JOIN documents ON doc_id = set_id), lang_n AS (SELECT lang, count(DISTINCT doc_id) AS n FROM lang_s GROUP BY 1), lang_df AS (SELECT lang, term, count(DISTINCT doc_id) AS df FROM lang_s GROUP BY 1, 2)"
+
+
+@query(Q.cte(Q.sents(), _BY_LANG) + "SELECT lang, term, df, round(log10(n / df), 6) AS idf FROM lang_df JOIN lang_n USING (lang)")
+def idf_multi_doc(spark, d):
+    """Sets are languages, documents are documents."""
+    s = _sents(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("set_id"), "lang"), "set_id").select("lang", "set_id", F.explode("words").alias("term"))
+    return _rounded(terms.idf(s, ("set_id",), ("lang",)), "idf")
+
+
+@query(Q.cte(Q.sents(), _BY_LANG) + "SELECT lang, term, df, round(log10(n // df), 6) AS idf FROM lang_df JOIN lang_n USING (lang)")
+def idf_floor(spark, d):
+    s = _sents(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("set_id"), "lang"), "set_id").select("lang", "set_id", F.explode("words").alias("term"))
+    return _rounded(terms.idf(s, ("set_id",), ("lang",), mode="floor"), "idf")
+
+
+@query(Q.cte(Q.sents(), Q.bag(), Q.IDF) + "SELECT set_id, term, df, round(idf, 6) AS idf FROM idf")
+def idf_single_doc(spark, d):
+    s = _sents(spark, d)
+    return _rounded(terms.idf(terms.bag(s, STOP, bigrams=True), ("sent_idx",), docs=s), "idf")
+
+
+@query(Q.cte(Q.sents(), Q.bag()) + "SELECT set_id, term, count(*) AS df FROM bag GROUP BY ALL")
+def idf_sentence_freq(spark, d):
+    return terms.bag(_sents(spark, d), STOP, bigrams=True).groupBy("set_id", "term").agg(F.count("*").alias("df"))
+
+
+@query(Q.cte(Q.tfidf()) + "SELECT set_id, sent_idx, term, tf, round(idf, 6) AS idf, round(tfidf, 6) AS tfidf FROM wt")
+def tfidf_terms(spark, d):
+    return _rounded(_weights(_sents(spark, d)), "idf", "tfidf")
+
+
+@query(Q.cte(Q.tfidf()) + "SELECT set_id, sent_idx, round(tn, 6) AS tfidf_norm, round(dn, 6) AS idf_norm FROM norm")
+def vector_norms(spark, d):
+    return _rounded(terms.norms(_weights(_sents(spark, d))), "tfidf_norm", "idf_norm")
+
+
+# Pair measures
+
+
+@query(Q.cte(Q.cosine()) + "SELECT set_id, i, j, round(s, 6) AS s FROM cos")
+def sim_tfidf_cosine(spark, d):
+    return _rounded(_cosine(spark, d)[1], "s")
+
+
+_ALL_PAIRS = "ap AS (SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, a.tn AS ta, b.tn AS tb, a.dn AS da, b.dn AS db FROM norm a JOIN norm b ON a.set_id = b.set_id AND a.sent_idx < b.sent_idx)"
+
+
+@query(Q.cte(Q.tfidf(False), _ALL_PAIRS, "sh AS (SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, sum(a.idf * b.idf) AS q FROM wt a JOIN wt b ON a.set_id = b.set_id AND a.term = b.term AND a.sent_idx < b.sent_idx GROUP BY 1, 2, 3)") + "SELECT set_id, i, j, round(1 - CASE WHEN da * db = 0 THEN 0 ELSE coalesce(q, 0) / (da * db) END, 6) AS d FROM ap LEFT JOIN sh USING (set_id, i, j)")
+def dist_idf(spark, d):
+    w = _weights(_sents(spark, d), bigrams=False)
+    return _rounded(measures.idf_distance(w, terms.norms(w)), "d")
+
+
+@query(Q.cte(Q.tfidf(False), _ALL_PAIRS, "sh AS (SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, sum(a.tfidf * b.tfidf) AS q FROM wt a JOIN wt b ON a.set_id = b.set_id AND a.term = b.term AND a.sent_idx < b.sent_idx GROUP BY 1, 2, 3)") + "SELECT set_id, i, j, round(sqrt(greatest(ta ** 2 + tb ** 2 - 2 * coalesce(q, 0), 0)), 4) AS d FROM ap LEFT JOIN sh USING (set_id, i, j)")
+def dist_tfidf_euclidean(spark, d):
+    w = _weights(_sents(spark, d), bigrams=False)
+    return _rounded(measures.tfidf_euclidean(w, terms.norms(w)), "d", digits=4)
+
+
+@query(Q.cte(Q.sents(), Q.FRACTIONS) + "SELECT set_id, sent_idx, n_tokens, round(pos, 6) AS pos, round(neg, 6) AS neg FROM frac")
+def sentiment_fractions(spark, d):
+    return _rounded(measures.sentiment_fractions(_sents(spark, d), POSITIVE, NEGATIVE), "pos", "neg")
+
+
+@query(Q.cte(Q.sents(), Q.FRACTIONS, Q.sentiment("pos"), Q.sentiment("neg")) + "SELECT set_id, i, j, round(pos.s, 6) AS pos, round(neg.s, 6) AS neg FROM pos JOIN neg USING (set_id, i, j)")
+def sentiment_pairs(spark, d):
+    f = measures.sentiment_fractions(_sents(spark, d), POSITIVE, NEGATIVE)
+    pos, neg = (measures.sentiment_pairs(f, x).withColumnRenamed("s", x) for x in ("pos", "neg"))
+    return _rounded(pos.join(neg, ["set_id", "i", "j"]), "pos", "neg")
+
+
+def _vectors(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
+    """The vocabulary with vectors of `embeddings`, by hash; one word in ten has none."""
+    e = _docs(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    words = s.select(F.explode("words").alias("word")).distinct().withColumn("h", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long"))
+    many = e.agg(F.count("*").alias("m"))
+    placed = words.crossJoin(F.broadcast(many)).where("h % 10 <> 0").withColumn("vec_id", F.col("h") % F.col("m"))  # one row
+    return placed.join(e, "vec_id").select("word", "vec")
+
+
+@query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED) + "SELECT set_id, sent_idx, list_transform(v, lambda x: round(x, 5)) AS vec FROM emb")
+def embed_sentence_mean(spark, d):
+    s = _sents(spark, d)
+    return measures.sentence_embeddings(s, _vectors(spark, d, s), 64).withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
+
+
+@query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED, Q.EMBED_PAIRS) + "SELECT set_id, i, j, round(s, 6) AS s FROM embed")
+def sim_embed(spark, d):
+    s = _sents(spark, d)
+    return _rounded(measures.embedding_pairs(measures.sentence_embeddings(s, _vectors(spark, d, s), 64)), "s")
+
+
+@query()
+def sim_embed_top5words(spark, d):
+    """Mean similarity of the five words of greatest weight; word pairs are too many for the SQL engine here."""
+    s = _sents(spark, d)
+    return _rounded(measures.mean_word_pairs(measures.word_pair_scores(s, _vectors(spark, d, s), _weights(s, bigrams=False), 5)), "s")
+
+
+# Combination
+
+
+def _three(spark: SparkSession, d: str) -> DataFrame:
+    s, cos = _cosine(spark, d, bigrams=False)
+    f = measures.sentiment_fractions(s, POSITIVE, NEGATIVE)
+    return combine.stacked([measures.sentiment_pairs(f, "pos"), measures.sentiment_pairs(f, "neg"), cos])
+
+
+_STACK = Q.cte(Q.cosine(False), Q.FRACTIONS, Q.sentiment("pos"), Q.sentiment("neg"), "st AS (SELECT 0 AS m, * FROM pos UNION ALL SELECT 1, * FROM neg UNION ALL SELECT 2, * FROM cos)")
+_CELL = ", cell AS (SELECT set_id, i, j, {} AS s FROM st GROUP BY ALL)\n"
+_TOP = "SELECT set_id, i, j, round(CASE WHEN top > 0 THEN s / top ELSE 0 END, 6) AS s FROM cell JOIN (SELECT set_id, max(s) AS top FROM cell GROUP BY 1) USING (set_id)"
+
+
+@query(_STACK + _CELL.format("CASE WHEN count(*) = 3 THEN max(s) FILTER (m = 0) * max(s) FILTER (m = 1) * max(s) FILTER (m = 2) ELSE 0.0 END") + "SELECT set_id, i, j, round(CASE WHEN high > low THEN (s - low) / (high - low) ELSE 1.0 END, 6) AS s FROM cell JOIN (SELECT set_id, min(s) AS low, max(s) AS high FROM cell GROUP BY 1) USING (set_id)")
+def agg_mult(spark, d):
+    return _rounded(combine.product(_three(spark, d), 3), "s")
+
+
+@query(_STACK + _CELL.format("sum(s) / 3") + "SELECT set_id, i, j, round(s, 6) AS s FROM cell")
+def agg_avg(spark, d):
+    return _rounded(combine.average(_three(spark, d), 3), "s")
+
+
+@query(_STACK + _CELL.format("sum(s * CASE m WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 1 / 3 END)") + "SELECT set_id, i, j, round(s, 6) AS s FROM cell")
+def agg_weighted(spark, d):
+    return _rounded(combine.weighted_average(_three(spark, d), spark.createDataFrame(WEIGHTS, "step int, matrix_id int, w double"), 3), "s")
+
+
+def _lp(p: int):
+    def run(spark, d):
+        return _rounded(combine.lp_norm(_three(spark, d), p), "s")
+
+    run.__name__ = f"agg_l{p}"
+    query(_STACK + _CELL.format(f"pow(sum(pow(s, {p}.0)), 1.0 / {p})") + _TOP)(run)
+
+
+for _p in (2, 3, 4, 100):
+    _lp(_p)
+
+
+@query(_STACK + _CELL.format("max(s)") + "SELECT set_id, i, j, round(s, 6) AS s FROM cell")
+def agg_max(spark, d):
+    return _rounded(combine.largest(_three(spark, d)), "s")
+
+
+@query(_STACK + _CELL.format("CASE WHEN count(*) = 3 THEN min(s) ELSE least(min(s), 0.0) END") + "SELECT set_id, i, j, round(s, 6) AS s FROM cell")
+def agg_min(spark, d):
+    return _rounded(combine.smallest(_three(spark, d), 3), "s")
+
+
+# Clusters
+
+
+@query(Q.cte(Q.sents(), "n AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1)") + "SELECT set_id, n, greatest(1, floor(0.2 * n + 0.5))::INT AS k FROM n")
+def cluster_k(spark, d):
+    return _sents(spark, d).groupBy("set_id").agg(F.count("*").alias("n")).withColumn("k", cluster.k_of(F.col("n")))
+
+
+_ONCE = Q.cte(Q.cosine(), Q.SIDES, Q.MEDOIDS, Q.assigned("med", "c1"))[5:]
+
+
+@query("WITH " + _ONCE + "SELECT set_id, sent_idx, k FROM c1")
+def cluster_assign_once(spark, d):
+    s, cos = _cosine(spark, d)
+    return cluster.assigned(s, cluster.seeded_medoids(s), cos)
+
+
+@query("WITH " + _ONCE + ", " + Q.best("c1", "m2") + " SELECT set_id, k, medoid, round(total, 6) AS total FROM m2")
+def cluster_best_medoid(spark, d):
+    s, cos = _cosine(spark, d)
+    return _rounded(cluster.best_medoids(cluster.assigned(s, cluster.seeded_medoids(s), cos), cos), "total").withColumn("k", F.col("k").cast("int"))
+
+
+@query("WITH " + _ONCE + ", u AS (SELECT c1.set_id, sum(sides.s) AS u FROM c1 JOIN med m ON m.set_id = c1.set_id AND m.k = c1.k JOIN sides ON sides.set_id = c1.set_id AND sides.i = c1.sent_idx AND sides.j = m.medoid GROUP BY 1) SELECT n.set_id, round(coalesce(u, 0), 6) AS utility FROM n LEFT JOIN u USING (set_id)")
+def cluster_utility(spark, d):
+    s, cos = _cosine(spark, d)
+    medoids = cluster.seeded_medoids(s)
+    return _rounded(cluster.utility(cluster.assigned(s, medoids, cos), medoids, cos), "utility")
+
+
+# Objective and choice
+
+
+def _first(s: DataFrame) -> DataFrame:
+    return s.where("sent_idx < 2").select("set_id", "sent_idx")
+
+
+_DEG = "WITH " + _ONCE + ", " + Q.DEGREES + ", ch AS (SELECT set_id, sent_idx FROM s WHERE sent_idx < 2)"
+
+
+@query(_DEG + " SELECT set_id, round(sum(least(got, cap)), 6) AS coverage FROM (SELECT w.set_id, w.i AS sent_idx, sum(w.s) AS got FROM full_w w JOIN ch ON ch.set_id = w.set_id AND ch.sent_idx = w.j GROUP BY 1, 2) JOIN deg USING (set_id, sent_idx) GROUP BY 1")
+def coverage_score(spark, d):
+    s, cos = _cosine(spark, d)
+    full = select.with_diagonal(cos, s)
+    return _rounded(select.coverage_score(_first(s), full, select.degrees(full, s)), "coverage")
+
+
+@query(_DEG + " SELECT set_id, round(sum(x), 6) AS diversity FROM (SELECT set_id, k, sqrt(sum(r)) AS x FROM ch JOIN c1 USING (set_id, sent_idx) JOIN deg USING (set_id, sent_idx) GROUP BY 1, 2) GROUP BY 1")
+def diversity_score(spark, d):
+    s, cos = _cosine(spark, d)
+    clusters = cluster.assigned(s, cluster.seeded_medoids(s), cos)
+    return _rounded(select.diversity_score(_first(s), clusters, select.degrees(select.with_diagonal(cos, s), s)), "diversity")
+
+
+@query(_DEG + """, several AS (SELECT 0 AS c, * FROM c1 UNION ALL SELECT 1, set_id, sent_idx, sent_idx % 2 FROM s), z AS (SELECT set_id, count(*) AS z FROM ch GROUP BY 1)
+SELECT set_id, round(sum(CASE WHEN z = 1 THEN r ELSE sqrt(r) END) / 2, 6) AS diversity FROM (SELECT set_id, c, k, sum(r) AS r FROM ch JOIN several USING (set_id, sent_idx) JOIN deg USING (set_id, sent_idx) GROUP BY 1, 2, 3) JOIN z USING (set_id) GROUP BY 1""")
+def diversity_multi(spark, d):
+    s, cos = _cosine(spark, d)
+    one = cluster.assigned(s, cluster.seeded_medoids(s), cos).select(F.lit(0).alias("clustering_id"), "set_id", "sent_idx", "k")
+    two = s.select(F.lit(1).alias("clustering_id"), "set_id", "sent_idx", (F.col("sent_idx") % 2).alias("k"))
+    return _rounded(select.diversity_of_several(_first(s), one.union(two), select.degrees(select.with_diagonal(cos, s), s)), "diversity")
+
+
+@query(_DEG + ", " + Q.greedy("c1", 3, 6.0) + " SELECT set_id, step, sent_idx, round(score, 6) AS score FROM sel3")
+def greedy_sentences(spark, d):
+    """Three sentences of each document by the relational executor."""
+    s, cos = _cosine(spark, d)
+    clusters = cluster.assigned(s, cluster.seeded_medoids(s), cos)
+    return _rounded(select.greedy(select.with_diagonal(cos, s), s, clusters, 3), "score")
+
+
+def _chosen(spark, d, **options):
+    s = _sents(spark, d)
+    return s, select.select_by_kernel(_weights(s), s, Config(**options))
+
+
+def flagship(spark, d):
+    """A summary of three sentences for each document: bag, idf, cosine, k-medoids, greedy choice, text."""
+    s, chosen = _chosen(spark, d, length=3, unit="SENTENCES", singleton=False)
+    return render.summary_text(chosen, s)
+
+
+QUERIES["flagship"] = flagship
+
+
+def _kernel(name: str, doc: str, **options):
+    def run(spark, d):
+        return _rounded(_chosen(spark, d, **options)[1], "score")
+
+    run.__name__, run.__doc__ = name, doc
+    query()(run)
+
+
+_kernel("greedy_words", "A budget of 100 words.", length=100)
+_kernel("greedy_chars", "A budget of 600 bytes.", length=600, unit="CHARACTERS")
+_kernel("greedy_strict", "A sentence that overshoots the budget is passed over.", length=100, strict_length=True)
+_kernel("greedy_costweight", "Scores divided by length ** 0.3.", length=100, cost_weight=True)
+_kernel("greedy_singleton", "One sentence may replace the rest.", length=30, singleton=True)
+_kernel("greedy_pruned", "Without the weakest two fifths.", length=100, prune=0.4)
+_kernel("greedy_nopronouns", "Without sentences that hold he, she or they.", length=100, pronouns=("he", "she", "they"))
+
+
+@query()
+def summary_numbers(spark, d):
+    return render.summary_numbers(_chosen(spark, d, length=3, unit="SENTENCES", singleton=False)[1])
+
+
+@query(_DEG + """ SELECT set_id, sent_idx FROM (SELECT set_id, dg, max(sent_idx) AS sent_idx, any_value(n) AS n, row_number() OVER (PARTITION BY set_id ORDER BY dg) AS r
+FROM (SELECT set_id, round(degree, 9) AS dg, sent_idx FROM deg) JOIN n USING (set_id) GROUP BY 1, 2) WHERE r <= ceil(n * 0.4)""")
+def prune_degree(spark, d):
+    s, cos = _cosine(spark, d)
+    return select.pruned(select.with_diagonal(cos, s), s)
+
+
+@query(Q.cte(Q.sents()) + r"SELECT set_id, sent_idx FROM s WHERE len(list_intersect(regexp_split_to_array(lower(text), '\W+'), ['he', 'she', 'they'])) > 0")
+def prune_pronouns(spark, d):
+    return select.pronoun_sentences(_sents(spark, d))
+
+
+@query(Q.cte(Q.sents()) + "SELECT set_id, sent_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY md5('7:' || sent_idx)) AS r FROM s) WHERE r <= 10")
+def sample_input(spark, d):
+    return select.sampled(_sents(spark, d), 10).select("set_id", "sent_idx", "text")
+
+
+def _names(words) -> str:
+    return rf"list_filter(list_transform(tokens, lambda t: regexp_replace(t, '[.?,!)]$', '')), lambda t: lower(t) IN ({Q.listed(words)}) AND regexp_matches(t, '^[A-Z]'))[-1]"
+
+
+_BARE = "regexp_replace(lower(t), '[.?,!)]$', '')"
+
+
+@query(Q.cte(Q.sents(), f"nm AS (SELECT *, {_names(MALE_NAMES)} AS m, {_names(FEMALE_NAMES)} AS f FROM s)", """pn AS (SELECT *, last_value(m IGNORE NULLS) OVER w AS pm, last_value(f IGNORE NULLS) OVER w AS pf FROM nm
+WINDOW w AS (PARTITION BY set_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""") + rf"""SELECT set_id, sent_idx, array_to_string(list_transform(tokens, lambda t: coalesce(regexp_replace(t, '[.?,!)]$', '') || ' (' ||
+CASE WHEN {_BARE} IN ({Q.listed(T.MALE)}) AND m IS NULL THEN pm WHEN {_BARE} IN ({Q.listed(T.FEMALE)}) AND f IS NULL THEN pf END || CASE WHEN {_BARE} IN ({Q.listed(T.POSSESSIVE)}) THEN '''s' ELSE '' END || ')' || regexp_extract(t, '[.?,!)]$'), t)), ' ') AS resolved FROM pn""")
+def anaphora_names(spark, d):
+    return anaphora.resolve_pronouns(_sents(spark, d), MALE_NAMES, FEMALE_NAMES).select("set_id", "sent_idx", "resolved")
+
+
+# Digest
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND regexp_matches(event_type, 'c')")
+def digest_window(spark, d):
+    e = _docs(spark, d, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    rows = e.crossJoin(F.broadcast(last)).where("ts >= last - interval 1 day")  # one row
+    return rows.where(F.col("event_type").rlike("c")).select("event_id", "event_type")
+
+
+@query(Q.cte(Q.sents(), Q.bag(False)) + """, ct AS (SELECT set_id AS doc_id, term, sum(tf) AS tf FROM bag GROUP BY ALL), tt AS (SELECT doc_id, sum(tf) AS total FROM ct GROUP BY 1), df AS (SELECT term, count(*) AS df FROM ct GROUP BY 1)
+SELECT doc_id, term, round(tf / total * ln((SELECT count(*) FROM tt) / df), 6) AS weight FROM ct JOIN tt USING (doc_id) JOIN df USING (term)""")
+def digest_doc_tfidf(spark, d):
+    counts = terms.bag(_sents(spark, d), STOP).groupBy(F.col("set_id").alias("doc_id"), "term").agg(F.sum("tf").alias("tf"))
+    return _rounded(digest.document_tfidf(counts), "weight")
+
+
+@query("SELECT k, n AS size, row_number() OVER (ORDER BY n DESC, k) AS place FROM (SELECT source || '/' || lang AS k, count(*) AS n FROM documents GROUP BY 1)")
+def digest_clusters(spark, d):
+    return digest.clusters_by_size(_docs(spark, d).select(F.concat_ws("/", "source", "lang").alias("k"))).withColumn("place", F.col("place").cast("long"))
+
+
+@query(r"""WITH h AS (SELECT page_id % 10 AS set_id, page_id AS pos, regexp_replace(regexp_extract(url, '^[^:/?#]+://([^/?#:]*)', 1), '^www\.', '') AS host FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY set_id, host ORDER BY pos) AS k FROM h)
+SELECT set_id, pos, host, CASE WHEN k > 1 THEN host || ' (' || k || ')' ELSE host END AS label FROM k""")
+def digest_domains(spark, d):
+    pages = _docs(spark, d, "pages").withColumn("set_id", F.col("page_id") % 10)
+    return digest.numbered_hosts(pages, "url", "set_id", "page_id")
+
+
+@query(Q.cte(Q.sents()) + """, w AS (SELECT set_id, sent_idx, list_distinct(words) AS w FROM s), o AS (SELECT set_id, sent_idx, len(w) AS n, unnest(w) AS word FROM w)
+SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, round(count(*) / least(any_value(a.n), any_value(b.n)), 6) AS s FROM o a JOIN o b ON a.set_id = b.set_id AND a.word = b.word AND a.sent_idx < b.sent_idx GROUP BY 1, 2, 3""")
+def title_overlap(spark, d):
+    return _rounded(measures.title_overlap(_sents(spark, d)), "s")
