@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE_BORDER = r"(?<=[.!?])\W+"
-MALE, FEMALE, PLURAL = ("he", "him", "his"), ("she", "her", "hers"), ("they", "them", "their", "theirs")
-POSSESSIVE = ("his", "her", "hers", "their", "theirs")
+# The pronouns that resolution knows.
+MALE = ("he", "his", "s/he")
+FEMALE = ("she", "her", "s/he")
+PLURAL = ("they", "their", "we", "our", "we're", "they're")
+POSSESSIVE = ("his", "her", "its", "their")
+REPLACED = ("he", "his", "she", "her", "s/he", "they", "their", "they're")
 
 
 def _trim(c: Column) -> Column:
@@ -69,7 +73,7 @@ def bare(token: Column) -> Column:
 
 
 def is_pronoun(token: Column) -> Column:
-    return bare(token).isin(*MALE, *FEMALE)
+    return bare(token).isin(*REPLACED)
 
 
 def is_male(token: Column) -> Column:
