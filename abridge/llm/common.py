@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,7 +36,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet below the shared folder and read it back: a lineage cut with column pruning."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/abridge-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `stored` wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished steps now, not when the driver's heap next fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -48,6 +65,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = checkpointed(both)
+    mark = F.struct(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    before = links.agg(mark).first()[0]
     for _ in range(max_rounds):
         sides = links.union(links.select(F.col("b"), F.col("a")))
         low = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -62,11 +81,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(low2.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        new = checkpointed(small)
-        same = new.count() == links.count() and new.join(links, ["a", "b"], "left_anti").isEmpty()
-        links = new
-        if same:
+        links = checkpointed(small)
+        after = links.agg(mark).first()[0]
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("connected components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
