@@ -201,7 +201,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
             x = sent.value.features((t.as_py() for t in textkit.as_text(batch.column(0))), machine)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(4)), batch.column(1)], ["x0", "x1", "x2", "x3", "y"])
 
-    got = rows.mapInArrow(measure, "x0 double, x1 double, x2 double, x3 double, y int").orderBy("x1", "x2", "y").toPandas().to_numpy(float)
+    got = rows.mapInArrow(measure, "x0 double, x1 double, x2 double, x3 double, y int").toPandas().sort_values(["x1", "x2", "y"]).to_numpy(float)
     lexicon.beta = _logistic(got[:, :4], got[:, 4])
     return lexicon
 
