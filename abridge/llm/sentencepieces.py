@@ -114,6 +114,21 @@ class Model:
                     reach[j] = (found, i, count + 1)
         return reach
 
+    def _path(self, s: str, start: int, piece: int, goal: int) -> list[int]:
+        """Pieces from `start`, where `piece` ends, to `goal`."""
+        reach, path, j = self.search(s, start, piece, goal), [], goal
+        while j > start:
+            found, j, _ = reach[j]
+            path.append(found)
+        return path[::-1]
+
+    def _borders(self, s: str, low: int, high: int) -> tuple[int, int] | None:
+        """The first and the last place in [low, high) where all paths meet."""
+        if not self.meets:
+            return None
+        places = [k for k in range(max(low, 1), high) if s[k] == BLANK and s[k - 1] != BLANK]
+        return (places[0], places[-1]) if places else None
+
     def _ids(self, pieces: list[int]) -> list[int]:
         out = []
         for p in pieces:
@@ -127,13 +142,9 @@ class Model:
         """Ids of one part, from border to border."""
         found = self.known.get(s)
         if found is None:
-            reach, path, j = self.search(s, 0, _ROOT, len(s)), [], len(s)
-            while j:
-                piece, i, _ = reach[j]
-                path.append(piece)
-                j = i
-            found = tuple(self._ids(path[::-1]))
-            if len(s) <= 48:
+            short = len(s) <= 48  # merging is faster on a word, but quadratic
+            found = tuple(self._ids([self.ids.get(p, -2 - ord(p[0])) for p in self.merged(s)] if short else self._path(s, 0, _ROOT, len(s))))
+            if short:
                 if len(self.known) > REMEMBERED:
                     self.known.clear()
                 self.known[s] = found
@@ -169,13 +180,16 @@ class Model:
         return [x for x in self.over(s, b) if x[1] == 0] if last else self.over(s, b)
 
     def transfer(self, s: str, a: int, b: int, first: bool, last: bool) -> np.ndarray:
-        """Weights from each entry to each exit: minus the pieces that begin in the chunk, or minus infinity."""
+        """Weights from each entry to each exit: minus the pieces (ids, inside) that begin in the chunk, or minus infinity."""
         entries, exits = self.entries(s, a, first), self.exits(s, b, last)
         at = {(i + b, p): k for k, (i, _, p) in enumerate(exits)}
         weights = np.full((len(entries), len(exits)), -np.inf)
         far = max((a + e for _, e, _ in entries), default=a)
-        meet = next((k for k in range(max(far, 1), b) if self.meets and s[k] == BLANK and s[k - 1] != BLANK), None)
-        rest = self._leaving(s, meet, _ROOT, b, at) if meet is not None else {}
+        meet, last_meet = self._borders(s, far, b) or (None, None)
+        rest = {}
+        if meet is not None:  # whole parts between the borders, paths only beyond them
+            inside = sum(len(self.part(p)) for p in _PART.findall(s[meet:last_meet]))
+            rest = {k: w - inside for k, w in self._leaving(s, last_meet, _ROOT, b, at).items()}
         for row, (i, e, p) in enumerate(entries):
             if a + e >= b:  # it lies over all of a short chunk
                 if (a + i, p) in at and (not last or a + e == b):
@@ -210,12 +224,11 @@ class Model:
         start, goal = a + entry[1], b + leave[0]
         if goal < a:
             return []
-        reach, path, j = self.search(s, start, entry[2], goal), [leave[2]], goal
-        while j > start:
-            piece, i, _ = reach[j]
-            path.append(piece)
-            j = i
-        return self._ids(path[::-1])
+        meet, last_meet = self._borders(s, start, goal) or (None, None)
+        if meet is None:
+            return self._ids([*self._path(s, start, entry[2], goal), leave[2]])
+        inside = [i for p in _PART.findall(s[meet:last_meet]) for i in self.part(p)]
+        return self._ids(self._path(s, start, entry[2], meet)) + inside + self._ids([*self._path(s, last_meet, _ROOT, goal), leave[2]])
 
 
 def signed(text: str) -> str:
