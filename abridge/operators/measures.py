@@ -39,7 +39,7 @@ def idf_distance(weights: DataFrame, norms: DataFrame) -> DataFrame:
     """1 - sum of idf^2 over shared terms / norms, for every pair."""
     shared = _shared_terms(weights, "idf")
     pairs = all_pairs(norms, "idf_norm").join(shared, ["set_id", "i", "j"], "left")
-    return pairs.select("set_id", "i", "j", (1 - ratio(F.coalesce("dot", F.lit(0.0)), F.col("idf_norm_i") * F.col("idf_norm_j"))).alias("d"))
+    return pairs.select("set_id", "i", "j", F.greatest(1 - ratio(F.coalesce("dot", F.lit(0.0)), F.col("idf_norm_i") * F.col("idf_norm_j")), F.lit(0.0)).alias("d"))
 
 
 def tfidf_euclidean(weights: DataFrame, norms: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ sqrt(sum over members j in S of the column mean of w). `kernel_select` runs one
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,8 +65,11 @@ def pronoun_sentences(sents: DataFrame, pronouns: tuple[str, ...] = ("he", "she"
 
 def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame, steps: int, diversity: float = 6.0, coverage: float = 5.0) -> DataFrame:
     """(set_id, step, sent_idx, score): `steps` sentences of each set, by joins. For sets too large for one task; cuts its lineage each step."""
-    deg = degrees(full, sents, coverage).join(clusters.select("set_id", "sent_idx", "k"), ["set_id", "sent_idx"]).cache()
-    full = full.cache()
+    spark = full.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="abridge-"))
+    full, clusters, sents = full.checkpoint(), clusters.select("set_id", "sent_idx", "k").checkpoint(), sents.select("set_id", "sent_idx").checkpoint()
+    deg = degrees(full, sents, coverage).join(clusters, ["set_id", "sent_idx"]).checkpoint()
     chosen = None
     for step in range(1, steps + 1):
         if chosen is None:
@@ -83,11 +88,6 @@ def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame, steps: int, d
         best = rows.groupBy("set_id").agg(F.max(F.struct("score", (-F.col("sent_idx")).alias("ni"))).alias("m")).where("m.score > 0").select("set_id", F.lit(step).alias("step"), (-F.col("m.ni")).alias("sent_idx"), F.col("m.score").alias("score"))
         chosen = best if chosen is None else chosen.union(best)
         if step < steps:
-            spark = full.sparkSession
-            if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-                import tempfile
-
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="abridge-"))
             chosen = chosen.checkpoint()
     return chosen
 

@@ -194,7 +194,7 @@ def sim_tfidf_cosine(spark, d):
 _ALL_PAIRS = "ap AS (SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, a.tn AS ta, b.tn AS tb, a.dn AS da, b.dn AS db FROM norm a JOIN norm b ON a.set_id = b.set_id AND a.sent_idx < b.sent_idx)"
 
 
-@query(Q.cte(Q.tfidf(False), _ALL_PAIRS, "sh AS (SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, sum(a.idf * b.idf) AS q FROM wt a JOIN wt b ON a.set_id = b.set_id AND a.term = b.term AND a.sent_idx < b.sent_idx GROUP BY 1, 2, 3)") + "SELECT set_id, i, j, round(1 - CASE WHEN da * db = 0 THEN 0 ELSE coalesce(q, 0) / (da * db) END, 6) AS d FROM ap LEFT JOIN sh USING (set_id, i, j)")
+@query(Q.cte(Q.tfidf(False), _ALL_PAIRS, "sh AS (SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, sum(a.idf * b.idf) AS q FROM wt a JOIN wt b ON a.set_id = b.set_id AND a.term = b.term AND a.sent_idx < b.sent_idx GROUP BY 1, 2, 3)") + "SELECT set_id, i, j, round(greatest(1 - CASE WHEN da * db = 0 THEN 0 ELSE coalesce(q, 0) / (da * db) END, 0.0), 6) AS d FROM ap LEFT JOIN sh USING (set_id, i, j)")
 def dist_idf(spark, d):
     w = _weights(_sents(spark, d), bigrams=False)
     return _rounded(measures.idf_distance(w, terms.norms(w)), "d")
