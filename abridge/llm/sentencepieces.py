@@ -34,7 +34,7 @@ from abridge.llm.common import stored
 
 #: Characters of a chunk; a longer document is a giant.
 CHUNK = 32_768
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 BLANK = "▁"
 _PART = re.compile("▁*[^▁]+|▁+")
 _ROOT = -1
