@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from abridge.llm.common import table
 from abridge.llm.language import identify_language, learn_languages
 
-FOLD = F.crc32(F.col("doc_id").cast("string")) % 4
+FOLD = "crc32(cast(doc_id as string)) % 4"
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = learn_languages(docs.select("doc_id", "text", "lang").where(FOLD != 2))
+    net = learn_languages(docs.select("doc_id", "text", "lang").where(f"{FOLD} <> 2"))
     found = identify_language(docs.select("doc_id", "text"), net)
-    return found.select("doc_id", F.coalesce(FOLD == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", F.expr(f"coalesce({FOLD} = 2, false)").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from abridge.llm.common import table
 from abridge.llm.toxicity import learn_lexicon, score_toxicity
 
-FOLD = F.crc32(F.col("doc_id").cast("string")) % 5
+FOLD = "crc32(cast(doc_id as string)) % 5"
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels").where(FOLD != 0))
-    return score_toxicity(docs, lexicon).select("doc_id", F.coalesce(FOLD == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels").where(f"{FOLD} <> 0"))
+    return score_toxicity(docs, lexicon).select("doc_id", F.expr(f"coalesce({FOLD} = 0, false)").alias("held_out"), "score", "predicted")
