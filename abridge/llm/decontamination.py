@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from abridge.llm import textkit
 
@@ -121,11 +122,11 @@ class Items:
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str, share: float) -> Iterator[Items]:
-    rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // PASS_BYTES)
     for k in range(passes):
-        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).orderBy("id", "text").collect()
+        some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).orderBy("id", "text").collect()
         text = textkit.as_text(pa.array([r["text"] for r in some], pa.string()))
         words, of = textkit.word_hashes(text, textkit.NOT_WORD)
         items = [(r["id"], words[of[i] : of[i + 1]]) for i, r in enumerate(some) if of[i + 1] > of[i]]
@@ -135,11 +136,12 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str, share: float) -> I
 def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, distance, budget, first_word, end_word) for each document and item that it holds within the item's budget.
 
-    An item's place is given once, where its distance is least. Null and blank texts or items give nothing; items under 1 / share words
+    An item's place is given once, where its distance is least. Null and blank texts or items give nothing; an item without an id is searched too, its item id is null. Items under 1 / share words
     must be met exactly. Rows that repeat an id each give their rows.
     """
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind, item_kind = dict(rows.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance int, budget int, first_word int, end_word int"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in _passes(benchmark, item_col, item_text_col, share):
@@ -153,7 +155,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = SHARE,
                 for a, b in textkit.slices(text):
                     got += [(a + h[0], *h[1:]) for h in items.hits(*textkit.word_hashes(text.slice(a, b - a), textkit.NOT_WORD))]
                 cells = [pa.array([h[k] for h in got], pa.int32()) for k in range(5)]
-                names = pa.array([items.ids[h[1]] for h in got], type=pa.int64() if item_kind == "bigint" else None)
+                names = pa.array([items.ids[h[1]] for h in got], item_type)
                 most = pa.array([budget(len(items.lists[h[1]]), items.share) for h in got], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(cells[0]), names, cells[2], most, cells[3], cells[4]], [id_col, item_col, "distance", "budget", "first_word", "end_word"])
 

@@ -115,6 +115,15 @@ def test_leaks_against_a_full_search(spark):
     assert decontamination.contaminations(frame, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, name", [("long", 5), ("string", "q5")])
+def test_items_without_an_id_are_searched(spark, kind, name):
+    docs = spark.createDataFrame([(1, "so one two three four it is"), (2, "five six seven eight"), (3, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three four"), (name, "five six seven eight"), (None, None)], f"item_id {kind}, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontamination.contaminations(docs, bench).collect())
+    assert got == [(1, None, 0), (2, name, 0)]
+    assert [r.doc_id for r in decontamination.decontaminated(docs, bench).collect()] == [3]
+
+
 def test_globs():
     rng = random.Random(3)
     import re
