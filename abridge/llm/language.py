@@ -16,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abridge.llm import textkit
 
-#: Training documents of each language, words drawn from each, hidden units a direction.
+#: Training documents of each language, pieces of words drawn from each, hidden units a direction.
 SAMPLE, WORDS, HIDDEN = 300, 60, 16
 #: Longer words are read in pieces of so many bytes.
 LONGEST = 32
 REMEMBERED = 400_000
+#: With many languages fewer words are remembered and run at once, so that no more numbers than these are held.
+SUMS, LABELS = 5 * REMEMBERED, 1 << 25
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -164,7 +166,7 @@ class Reader:
 
     def of(self, words: list[str]) -> np.ndarray:
         """For each word the summed labels of its positions, and their number; zeros without a letter."""
-        if len(self.known) + len(words) > max(REMEMBERED, len(words)):
+        if len(self.known) + len(words) > max(min(REMEMBERED, SUMS // self.sums.shape[1]), len(words)):
             self.known.clear()
         fresh = [w for w in dict.fromkeys(words) if w not in self.known]
         at = len(self.known)
@@ -179,41 +181,41 @@ class Reader:
                 for piece in sequences(word):
                     owners.setdefault(len(piece), []).append(k)
                     data.setdefault(len(piece), []).append(piece)
+        most = max(1, min(2048, LABELS // (LONGEST * self.sums.shape[1])))
         for n, own in owners.items():
-            for a in range(0, len(own), 2048):
-                x = np.frombuffer(b"".join(data[n][a : a + 2048]), np.uint8).reshape(-1, n)
-                np.add.at(self.sums, own[a : a + 2048], np.concatenate([self.net.labels(x).sum(axis=0), np.full((len(x), 1), n)], axis=1))
+            for a in range(0, len(own), most):
+                x = np.frombuffer(b"".join(data[n][a : a + most]), np.uint8).reshape(-1, n)
+                np.add.at(self.sums, own[a : a + most], np.concatenate([self.net.labels(x).sum(axis=0), np.full((len(x), 1), n)], axis=1))
         return self.sums[[self.known[w] for w in words]] if words else np.zeros((0, self.sums.shape[1]))
 
 
 _readers: dict[str, Reader] = {}
 
 
-def learn_languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> LanguageNet:
-    """Fit on the `sample` rows of least id hash of each language, WORDS words from all over each text; the bound is for fitting alone.
+def learn_languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, words: int = WORDS) -> LanguageNet:
+    """Fit on the `sample` rows of least id hash of each language, `words` pieces from all over each text; the bounds are for fitting alone.
 
-    Rows with a null language, id or text are not learned from. With no row left the network has no
+    All languages of the rows are learned. Pieces are those that `identify_language` reads: a short word is one, a long word or
+    text without blanks gives many, each as likely to be drawn. Rows with a null language, id or text are not learned from. With no row left the network has no
     languages, and every text is `und`.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    names = sorted(r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(500).select(lang_col).collect())
+    names = sorted(r[0] for r in rows.select(lang_col).distinct().collect())
     if not names:
         return LanguageNet([])
-    drawn = None
-    for name in names:
-        some = rows.where(F.col(lang_col) == name).select(id_col, lang_col).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-        drawn = some if drawn is None else drawn.union(some)
+    nth = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))  # cut to `sample` rows before they are shuffled
+    drawn = rows.select(id_col, lang_col).withColumn("__nth", nth).where(F.col("__nth") <= sample)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, langs = [], []
+            taken, langs = [], []
             for text, lang in zip(textkit.as_text(batch.column(0)), batch.column(1).to_pylist()):
-                every = text.as_py().lower().split()
-                for k in np.unique(np.linspace(0, len(every) - 1, WORDS).astype(int)) if every else ():
-                    if any(map(str.isalpha, every[k])):
-                        words.append(sequences(every[k])[0])
+                every = [(piece, word) for word in text.as_py().lower().split() for piece in sequences(word)]
+                for k in np.unique(np.linspace(0, len(every) - 1, words).astype(int)) if every else ():
+                    if any(map(str.isalpha, every[k][1])):
+                        taken.append(every[k][0])
                         langs.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(langs, pa.string())], ["word", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array(taken, pa.binary()), pa.array(langs, pa.string())], ["word", "lang"])
 
     taken = rows.join(F.broadcast(drawn.select(id_col).distinct()), id_col).select(F.col(text_col), F.col(lang_col).cast("string"))
     got = taken.mapInArrow(draw, "word binary, lang string").orderBy("word", "lang").toArrow()

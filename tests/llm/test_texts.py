@@ -225,3 +225,19 @@ def test_language(spark):
     assert [(got[k].lang_pred, got[k].lang_score) for k in (900, 901, 902)] == [("und", 0.0)] * 3
     empty = language.learn_languages(docs.limit(0))
     assert {r.lang_pred for r in language.identify_language(docs.limit(3), empty).collect()} == {"und"}
+
+
+def test_language_learns_from_the_inside_of_long_words(spark):
+    rng = random.Random(7)
+    make = lambda signs: "z" * 40 + "".join(rng.choice(signs) for _ in range(400))
+    rows = [(i, make("abcd" if i % 2 else "efgh"), "x" if i % 2 else "y") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.learn_languages(docs.where("doc_id < 40"))
+    got = {r.doc_id: r.lang_pred for r in language.identify_language(docs.where("doc_id >= 40"), net).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows[40:]]) > 0.95
+
+
+def test_language_learns_every_label(spark):
+    rows = [(i, "word", f"l{i % 501:03}") for i in range(1002)]
+    net = language.learn_languages(spark.createDataFrame(rows[:-1], "doc_id long, text string, lang string"))  # l500 is the rarest
+    assert net.names == [f"l{i:03}" for i in range(501)]
