@@ -38,6 +38,14 @@ def tfidf_weights(sents: DataFrame, config: Config, several: bool = False) -> Da
     return terms.weighted(bags, idfs, config.zero_idf_as_one)
 
 
+def _clustering(sents: DataFrame, config: Config, several: bool = False) -> DataFrame | None:
+    """The tf-idf cosine that clusters are taken from, none if they are those of the combined measure."""
+    if config.cluster_on_aggregate:
+        return None
+    w = tfidf_weights(sents, config, several)
+    return measures.tfidf_cosine(w, terms.norms(w))
+
+
 def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, vectors: DataFrame | None = None, split: bool = True) -> tuple[DataFrame, DataFrame]:
     """(selection, sentences) of each set."""
     sents = sentences(docs, set_col, text_col, config.min_tokens, split, order_col)
@@ -47,7 +55,7 @@ def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id",
         return select.select_by_kernel(tfidf_weights(sents, config, order_col is not None), sents, config), sents
     found = pair_measures(sents, config, vectors)
     pairs = combine.combined(combine.stacked(found), len(found), config.aggregate)
-    return select.select_by_matrix(pairs, sents, config), sents
+    return select.select_by_matrix(pairs, sents, config, _clustering(sents, config, order_col is not None)), sents
 
 
 def summarize(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
@@ -73,4 +81,4 @@ def summarize_matrices(spark: SparkSession, matrices: list[str], sentence_file:
     sents = sentences(lines, "set_id", min_tokens=1, split=False)
     found = [readers.similarity_matrix(spark, m, "input", k).where("i < j") for k, m in enumerate(matrices)]
     pairs = combine.combined(combine.stacked(found), len(found), config.aggregate)
-    return select.select_by_matrix(pairs, sents, config)
+    return select.select_by_matrix(pairs, sents, config, _clustering(sents, config))

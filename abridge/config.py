@@ -1,4 +1,4 @@
-"""Parameters of a summary. The defaults are the documented meaning; `literal` ones reproduce known slips."""
+"""Parameters of a summary. The defaults are the documented meaning; `idf_mode` and `zero_idf_as_one` reproduce known slips."""
 
 from __future__ import annotations
 

@@ -154,6 +154,16 @@ def cosine_matrix(sent: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int
     return w
 
 
+def _left_out(w: np.ndarray, pronoun: np.ndarray, config: Config) -> frozenset[int]:
+    """Sentences with a pronoun, and those of least degree that are pruned."""
+    out = set(np.flatnonzero(pronoun == 1).tolist())
+    if config.prune:
+        deg = np.round(w.sum(axis=1), 9)
+        last = {d: k for k, d in enumerate(deg)}
+        out |= {last[d] for d in sorted(last)[: int(np.ceil(config.prune * len(w)))]}
+    return frozenset(out)
+
+
 def select_by_kernel(weights: DataFrame, sents: DataFrame, config: Config) -> DataFrame:
     """(set_id, step, sent_idx, score) with tf-idf cosine, k-medoids and the greedy choice of each set in one task.
 
@@ -172,32 +182,35 @@ def select_by_kernel(weights: DataFrame, sents: DataFrame, config: Config) -> Da
         place = np.full(int(head["a"].max()) + 1, -1)
         place[head["a"]] = np.arange(n)
         w = cosine_matrix(place[cell["a"].to_numpy()], cell["b"].to_numpy(), cell["x"].to_numpy(float), n)
-        out = set(np.flatnonzero(head["b"].to_numpy() == 1).tolist())
-        if config.prune:
-            deg = np.round(w.sum(axis=1), 9)
-            last = {d: k for k, d in enumerate(deg)}
-            out |= {last[d] for d in sorted(last)[: int(np.ceil(config.prune * n))]}
-        found = kernel_select(w, kernel_medoids(w, config.seed), head["x"].to_numpy(), head["y"].to_numpy(), config, frozenset(out))
+        found = kernel_select(w, kernel_medoids(w, config.seed), head["x"].to_numpy(), head["y"].to_numpy(), config, _left_out(w, head["b"].to_numpy(), config))
         ids = head["a"].to_numpy()
         return pd.DataFrame({"set_id": [group["set_id"].iloc[0]] * len(found), "step": np.arange(1, len(found) + 1), "sent_idx": [int(ids[k]) for k, _ in found], "score": [s for _, s in found]})
 
     return cells.union(heads).groupBy("set_id").applyInPandas(run, f"set_id {key}, step int, sent_idx int, score double")
 
 
-def select_by_matrix(pairs: DataFrame, sents: DataFrame, config: Config) -> DataFrame:
-    """As `select_by_kernel`, for any measure given as (set_id, i, j, s), i < j."""
+def select_by_matrix(pairs: DataFrame, sents: DataFrame, config: Config, cosine: DataFrame | None = None) -> DataFrame:
+    """As `select_by_kernel`, for any measure given as (set_id, i, j, s), i < j; clusters are those of `cosine`, of the same form, if given."""
     unit = {"WORDS": F.size("tokens"), "SENTENCES": F.lit(1), "CHARACTERS": F.octet_length("text") + 1}[config.unit]
-    cells = pairs.select("set_id", F.col("i").cast("int").alias("a"), F.col("j").cast("int").alias("b"), F.col("s").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("kind"))
-    heads = sents.select("set_id", F.col("sent_idx").cast("int").alias("a"), F.lit(0).alias("b"), unit.cast("double").alias("x"), F.length("text").cast("double").alias("y"), F.lit(1).alias("kind"))
+    left_out = F.exists(F.split(F.lower("text"), r"\W+"), lambda w: w.isin(*config.pronouns)) if config.pronouns else F.lit(False)
+
+    def cells_of(pairs: DataFrame, kind: int) -> DataFrame:
+        return pairs.select("set_id", F.col("i").cast("int").alias("a"), F.col("j").cast("int").alias("b"), F.col("s").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(kind).alias("kind"))
+
+    cells = cells_of(pairs, 0) if cosine is None else cells_of(pairs, 0).union(cells_of(cosine, 2))
+    heads = sents.select("set_id", F.col("sent_idx").cast("int").alias("a"), left_out.cast("int").alias("b"), unit.cast("double").alias("x"), F.length("text").cast("double").alias("y"), F.lit(1).alias("kind"))
     key = dict(sents.dtypes)["set_id"]
 
+    apart = cosine is not None
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        head, cell = group[group["kind"] == 1].sort_values("a"), group[group["kind"] == 0]
+        head = group[group["kind"] == 1].sort_values("a")
         ids = head["a"].to_numpy()
         place = np.full(int(ids.max()) + 1, -1)
         place[ids] = np.arange(len(ids))
-        w = dense(place[cell["a"].to_numpy()], place[cell["b"].to_numpy()], cell["x"].to_numpy(float), len(ids))
-        found = kernel_select(w, kernel_medoids(w, config.seed), head["x"].to_numpy(), head["y"].to_numpy(), config)
+        w, near = (dense(place[cell["a"].to_numpy()], place[cell["b"].to_numpy()], cell["x"].to_numpy(float), len(ids)) for cell in (group[group["kind"] == k] for k in (0, 2)))
+        out = _left_out(w, head["b"].to_numpy(), config)
+        found = kernel_select(w, kernel_medoids(near if apart else w, config.seed), head["x"].to_numpy(), head["y"].to_numpy(), config, out)
         return pd.DataFrame({"set_id": [group["set_id"].iloc[0]] * len(found), "step": np.arange(1, len(found) + 1), "sent_idx": [int(ids[k]) for k, _ in found], "score": [s for _, s in found]})
 
     return cells.union(heads).groupBy("set_id").applyInPandas(run, f"set_id {key}, step int, sent_idx int, score double")

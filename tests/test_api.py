@@ -25,6 +25,18 @@ def test_other_measures(spark):
     assert set(rows) == {1, 2}
 
 
+def test_several_measures_leave_out_and_cluster(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, TEXT + " She saw rain and small cats today.")], "doc_id long, text string")
+    chosen = lambda **more: {r.sent_idx for r in api.choose(docs, Config(length=99, unit="SENTENCES", use_sentiment=True, singleton=False, **more))[0].collect()}
+    everything = chosen()
+    assert chosen(pronouns=("she",)) == everything - {max(everything)} and len(chosen(prune=0.1)) == len(everything) - 1
+    seen = []
+    monkeypatch.setattr(api.select, "select_by_matrix", lambda pairs, sents, config, cosine=None: seen.append(cosine))
+    for aggregate in (False, True):
+        api.choose(docs, Config(use_sentiment=True, cluster_on_aggregate=aggregate))
+    assert seen[0] is not None and seen[1] is None
+
+
 def test_matrix_file(spark, tmp_path):
     (tmp_path / "m.txt").write_text("1, 0.5, 0.1;\n0.5, 1, 0;\n0.1, 0, 1;\n")
     (tmp_path / "s.txt").write_text("a b c\nd e f\ng h i\n")
