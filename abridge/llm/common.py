@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -15,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a temporary one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     own = sc._jsc.sc().getCheckpointDir()
     if named is None:
+        if own.isEmpty() and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="abridge-")
     if own.isEmpty():
         sc.setCheckpointDir(named)
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint; its files survive a lost executor and go when the frame is collected."""
+    """Eager reliable checkpoint; its files survive a lost executor. They stay unless spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -49,10 +50,15 @@ def discard(*frames: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps now, not when the driver's heap next fills up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What a Python worker remembers for an operator. Workers are used again; asking drops what other operators have left in them."""
+    if operator not in _caches:
+        _caches.clear()
+        _caches[operator] = {}
+    return _caches[operator]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

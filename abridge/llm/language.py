@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abridge.llm import textkit
+from abridge.llm.common import worker_cache
 
 #: Training documents of each language, pieces of words drawn from each, hidden units a direction.
 SAMPLE, WORDS, HIDDEN = 300, 60, 16
 #: Longer words are read in pieces of so many bytes.
 LONGEST = 32
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: With many languages fewer words are remembered and run at once, so that no more numbers than these are held.
 SUMS, LABELS = 5 * REMEMBERED, 1 << 25
 
@@ -189,9 +190,6 @@ class Reader:
         return self.sums[[self.known[w] for w in words]] if words else np.zeros((0, self.sums.shape[1]))
 
 
-_readers: dict[str, Reader] = {}
-
-
 def learn_languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, words: int = WORDS) -> LanguageNet:
     """Fit on the `sample` rows of least id hash of each language, `words` pieces from all over each text; the bounds are for fitting alone.
 
@@ -237,10 +235,11 @@ def identify_language(docs: DataFrame, net: LanguageNet, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        reader = _readers.get(key)
-        if reader is None and net.names:
-            _readers.clear()
-            reader = _readers[key] = Reader(net)
+        known = worker_cache("language")
+        if key not in known and net.names:
+            known.clear()
+            known[key] = Reader(net)
+        reader = known.get(key)
         for batch in batches:
             text = textkit.as_text(batch.column(at))
             pooled = np.zeros((len(text), len(net.names) + 1))

@@ -12,15 +12,14 @@ from each piece that may lie over its left cut to each that may lie over its rig
 an associative scan into the pieces over all cuts, and then each chunk is traced back on its own.
 
 No piece runs on from other characters into the blank sign, so before it all paths meet; a chunk's paths
-part only up to there. Ordinary documents are cut at these places into parts, and each distinct part of a batch is
-encoded once.
+part only up to there. Ordinary documents are cut at these places into parts, and the distinct parts of a slice are
+merged together by `Merger`, one merge of every part at a time, in numpy. Nothing is remembered between slices.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,16 +29,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abridge.llm import textkit
-from abridge.llm.common import stored
+from abridge.llm.common import stored, worker_cache
 
 #: Characters of a chunk; a longer document is a giant.
 CHUNK = 32_768
-REMEMBERED = 300_000
+#: Answers of `Model.agree` remembered by a worker at most, about 100 bytes each.
+REMEMBERED = 200_000
+#: Parts up to so many characters are merged; longer ones are a path search, as merging is quadratic in the length.
+SHORT = 48
 BLANK = "▁"
 _PART = re.compile("▁*[^▁]+|▁+")
 _ROOT = -1
 
 
+class Merger:
+    """Merging for many parts at once: in each round the best pair of every part that has one is merged.
+
+    Units are the pieces and, below them, single characters that occur in pieces only; other characters are negative
+    (-2 - code point) and never merge. What two units merge to is looked up in an open-addressing hash table.
+    """
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, float]):
+        self.units = list(ids) + sorted({c for p in ids for c in p} - ids.keys())
+        number = {u: k for k, u in enumerate(self.units)}
+        self.ids = np.array([ids.get(u, -2 - ord(u[0])) for u in self.units], np.int64)
+        score = np.array([rank.get(u, -np.inf) for u in self.units])
+        self.order = np.unique(-score, return_inverse=True)[1].astype(np.int64)  # equal scores stay equal
+        self.of_char = -2 - np.arange(0x110000, dtype=np.int32)
+        for u, k in number.items():
+            if len(u) == 1:
+                self.of_char[ord(u)] = k
+        pairs = [(number[p[:j]] << 20 | number[p[j:]], number[p]) for p in ids for j in range(1, len(p)) if p[:j] in number and p[j:] in number]
+        self.mask = (1 << max(4, 2 * len(pairs)).bit_length()) - 1
+        self.keys, self.made = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        if pairs:
+            keys, made = np.array(pairs, np.int64).T
+            slot = self._slot(keys)
+            while len(keys):
+                free = self.keys[slot] < 0
+                _, lead = np.unique(slot[free], return_index=True)
+                put = np.flatnonzero(free)[lead]
+                self.keys[slot[put]], self.made[slot[put]] = keys[put], made[put]
+                rest = np.ones(len(keys), bool)
+                rest[put] = False
+                keys, made, slot = keys[rest], made[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.int64(-7046029254386353131)) >> np.int64(24)) & self.mask
+
+    def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What pairs of units merge to, -1 for nothing."""
+        keys = a.astype(np.int64) << 20 | b
+        keys[(a < 0) | (b < 0)] = -2
+        slot, out = self._slot(keys), np.full(len(keys), -1, np.int32)
+        there = self.keys[slot]
+        hit = there == keys
+        out[hit] = self.made[slot[hit]]
+        left = np.flatnonzero(~hit & (there >= 0) & (keys >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.made[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+    def units_of(self, text: str, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of the parts that lie end to end in `text`, `size` characters each (none empty), and how many each part has."""
+        unit = self.of_char[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        first = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        pair = np.full(len(unit), -1, np.int32)  # what a unit and the next of its part merge to
+        if len(unit):
+            pair[:-1] = self._merged(unit[:-1], unit[1:])
+            pair[first[1:] - 1] = -1
+        out, owners, never = [], [], np.iinfo(np.int64).max
+        while len(unit):
+            place = np.arange(len(unit)) - np.repeat(first, np.diff(np.append(first, len(unit))))
+            cost = np.where(pair >= 0, self.order[pair] << 16 | place, never)
+            best = np.minimum.reduceat(cost, first)
+            ended = best == never
+            if ended.any():
+                done = np.repeat(ended, np.diff(np.append(first, len(unit))))
+                out.append(unit[done])
+                owners.append(own[done])
+                unit, own, pair, best = unit[~done], own[~done], pair[~done], best[~ended]
+                if not len(unit):
+                    break
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            at = first + (best & 0xFFFF)
+            unit[at] = pair[at]
+            keep = np.ones(len(unit), bool)
+            keep[at + 1] = False
+            unit, own, pair = unit[keep], own[keep], pair[keep]
+            at = at - np.arange(len(at))  # each part has lost one unit
+            first = first - np.arange(len(first))
+            for k in (at, at[at > first] - 1):
+                inside = k + 1 < len(unit)
+                k = k[inside]
+                same = own[k] == own[k + 1]
+                pair[k] = np.where(same, self._merged(unit[k], unit[k + 1]), -1)
+            pair[-1] = -1
+        if not out:
+            return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
+        unit, own = np.concatenate(out), np.concatenate(owners)
+        order = np.argsort(own, kind="stable")
+        return unit[order], np.bincount(own, minlength=len(size))
+
+
 class Model:
     """Pieces of a SentencePiece BPE model with byte fallback, and the path search over them."""
 
@@ -62,7 +160,11 @@ class Model:
         self.meets = not any(re.search("[^▁]▁", p) for p in self.ids)
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.agreed: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.merger = Merger(self.ids, self.rank)
+        # What each id reads as, end to end; the blank sign as a blank.
+        read = [bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.read_size = np.fromiter(map(len, read), np.int64, len(read))
+        self.read, self.read_at = np.frombuffer(b"".join(read), np.uint8), np.cumsum(self.read_size) - self.read_size
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging the neighbours of best score, the left ones first among equals: the definition."""
@@ -138,17 +240,46 @@ class Model:
                 out += [self.bytes[b] for b in chr(-2 - p).encode()]
         return out
 
-    def part(self, s: str) -> tuple[int, ...]:
-        """Ids of one part, from border to border."""
-        found = self.known.get(s)
-        if found is None:
-            short = len(s) <= 48  # merging is faster on a word, but quadratic
-            found = tuple(self._ids([self.ids.get(p, -2 - ord(p[0])) for p in self.merged(s)] if short else self._path(s, 0, _ROOT, len(s))))
-            if short:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.known[s] = found
-        return found
+    def ragged(self, text: str, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts that lie end to end in `text`, and how many each has."""
+        whole = size <= SHORT
+        if whole.all():
+            return self._numbered(*self.merger.units_of(text, size))
+        ends = np.cumsum(size).tolist()
+        long = [(ends[k] - int(size[k]), ends[k]) for k in np.flatnonzero(~whole).tolist()]
+        between = "".join(text[i:j] for i, j in zip([0, *(e for _, e in long)], [*(b for b, _ in long), len(text)]))
+        apart = [self._ids(self._path(text[b:e], 0, _ROOT, e - b)) for b, e in long]
+        ids, some = self._numbered(*self.merger.units_of(between, size[whole]))
+        many = np.zeros(len(size), np.int64)
+        many[whole], many[~whole] = some, list(map(len, apart))
+        out, short = np.empty(int(many.sum()), np.int32), np.repeat(whole, many)
+        out[short], out[~short] = ids, [i for part in apart for i in part]
+        return out, many
+
+    def _numbered(self, units: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units; characters without a piece become the ids of their bytes."""
+        ids = np.where(units >= 0, self.merger.ids[units], units)
+        odd = ids < 0
+        if not odd.any():
+            return ids.astype(np.int32), many
+        codes, which = np.unique(ids[odd], return_inverse=True)
+        each = [self._ids([c]) for c in codes.tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[odd] = np.array([len(e) for e in each])[which]
+        out = np.repeat(ids, size).astype(np.int32)
+        out[np.repeat(odd, size)] = np.fromiter((i for k in which.tolist() for i in each[k]), np.int32)
+        owner = np.repeat(np.arange(len(many)), many)
+        return out, np.bincount(owner, weights=size, minlength=len(many)).astype(np.int64)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids read as, end to end."""
+        size = self.read_size[ids]
+        return self.read[np.repeat(self.read_at[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
+    def inside(self, s: str) -> np.ndarray:
+        """Ids of a stretch that begins and ends where all paths meet."""
+        parts = _PART.findall(s)
+        return self.ragged(s, np.fromiter(map(len, parts), np.int64, len(parts)))[0] if parts else np.zeros(0, np.int32)
 
     def parts(self, text: str) -> list[str]:
         """A text with its blank sign in front, cut where all paths meet."""
@@ -156,7 +287,8 @@ class Model:
         return _PART.findall(s) if self.meets else [s] if s else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.parts(text) for i in self.part(p)]
+        parts = self.parts(text)
+        return self.ragged("".join(parts), np.fromiter(map(len, parts), np.int64, len(parts)))[0].tolist() if parts else []
 
     def decode(self, ids) -> str:
         """The text of ids: bytes as bytes, blank signs as blanks, without the one in front."""
@@ -188,7 +320,7 @@ class Model:
         meet, last_meet = self._borders(s, far, b) or (None, None)
         rest = {}
         if meet is not None:  # whole parts between the borders, paths only beyond them
-            inside = sum(len(self.part(p)) for p in _PART.findall(s[meet:last_meet]))
+            inside = len(self.inside(s[meet:last_meet]))
             rest = {k: w - inside for k, w in self._leaving(s, last_meet, _ROOT, b, at).items()}
         for row, (i, e, p) in enumerate(entries):
             if a + e >= b:  # it lies over all of a short chunk
@@ -227,8 +359,7 @@ class Model:
         meet, last_meet = self._borders(s, start, goal) or (None, None)
         if meet is None:
             return self._ids([*self._path(s, start, entry[2], goal), leave[2]])
-        inside = [i for p in _PART.findall(s[meet:last_meet]) for i in self.part(p)]
-        return self._ids(self._path(s, start, entry[2], meet)) + inside + self._ids([*self._path(s, last_meet, _ROOT, goal), leave[2]])
+        return self._ids(self._path(s, start, entry[2], meet)) + self.inside(s[meet:last_meet]).tolist() + self._ids([*self._path(s, last_meet, _ROOT, goal), leave[2]])
 
 
 def signed(text: str) -> str:
@@ -264,9 +395,34 @@ def crossings(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return list(zip(states[:-1], states[1:]))
 
 
-@lru_cache(maxsize=2)
 def model(path: str) -> Model:
-    return Model(path)
+    known = worker_cache("sentencepieces")
+    if path not in known:
+        known.clear()
+        known[path] = Model(path)
+    return known[path]
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _table(m: Model, words: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the plain ones of distinct words, each with a blank sign before it, end to end; how many a word has; whether they read as the word."""
+    size, fits = np.zeros(len(words), np.int64), np.ones(len(words), bool)
+    chosen = words.filter(pa.array(plain))
+    if not len(chosen):
+        return np.zeros(0, np.int32), size, fits
+    text = BLANK + BLANK.join(chosen.to_pylist())
+    ids, many = m.ragged(text, pc.utf8_length(chosen).to_numpy().astype(np.int64) + 1)
+    size[plain] = many
+    want, got = np.frombuffer(text.replace(BLANK, " ").encode(), np.uint8), m.bytes_of(ids)
+    ends = np.append(0, np.cumsum(pc.binary_length(chosen).to_numpy().astype(np.int64) + 1))
+    read = np.append(0, np.cumsum(m.read_size[ids]))[np.append(0, np.cumsum(many))]
+    if len(want) != len(got) or (ends != read).any() or (want != got).any():
+        same = [got[read[k] : read[k + 1]].tobytes() == want[ends[k] : ends[k + 1]].tobytes() for k in range(len(chosen))]
+        fits[plain] = same
+    return ids, size, fits
 
 
 def _small(batches: Iterator[pa.RecordBatch], path: str, at: int) -> Iterator[pa.RecordBatch]:
@@ -279,13 +435,10 @@ def _small(batches: Iterator[pa.RecordBatch], path: str, at: int) -> Iterator[pa
             lists = pc.split_pattern(text, " ")
             first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             coded = lists.flatten().dictionary_encode()
-            which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            plain = np.array([bool(w) and BLANK not in w for w in words], bool)
-            table = [m.part(BLANK + w) if ok and m.meets else () for w, ok in zip(words, plain)]
-            fits = np.array([not ok or m.decode(t) == w for t, w, ok in zip(table, words, plain)], bool)
-            whole = plain[which] if m.meets else np.zeros(len(which), bool)
-            size = np.fromiter(map(len, table), np.int64, len(table))
-            flat = np.fromiter((i for t in table for i in t), np.int32, int(size.sum()))
+            which, words = coded.indices.to_numpy(), coded.dictionary
+            plain = (~_flags(pc.match_substring(words, BLANK)) & (pc.utf8_length(words).to_numpy() > 0)) if m.meets else np.zeros(len(words), bool)
+            flat, size, fits = _table(m, words, plain)
+            whole = plain[which]
             start, many = np.cumsum(size) - size, size[which]
             ids = flat[np.repeat(start[which] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
             ends = np.append(0, np.cumsum(many))[first]
@@ -324,7 +477,7 @@ def _giants(docs: DataFrame, path: str, text_col: str, chunk: int) -> DataFrame:
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            rows = batch.to_pylist()
+            rows = (row for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
             got = [m.transfer(r["s"], r["a"], r["b"], r["k"] == 0, r["k"] == r["count"] - 1) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(g) for g in got], pa.int32()), pa.array([g.tobytes() for g in got], pa.binary())], ["key", "k", "entries", "weights"])
 
@@ -341,10 +494,10 @@ def _giants(docs: DataFrame, path: str, text_col: str, chunk: int) -> DataFrame:
         m = model(path)
         for batch in batches:
             ids = []
-            for r in batch.to_pylist():
+            for r in (row for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist()):
                 entry = m.entries(r["s"], r["a"], r["k"] == 0)[r["entry"]]
                 leave = m.exits(r["s"], r["b"], r["k"] == r["count"] - 1)[r["leave"]]
-                ids.append(m.trace(r["s"], r["a"], r["b"], entry, leave))
+                ids.append(np.array(m.trace(r["s"], r["a"], r["b"], entry, leave), np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["key", "k", "ids"])
 
     traced = chunks.join(borders, ["key", "k"]).select("key", "k", "count", "s", "a", "b", "entry", "leave").mapInArrow(traces, "key string, k int, ids array<int>")
