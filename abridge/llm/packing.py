@@ -109,7 +109,7 @@ def pack_token_ids(docs: DataFrame, tokenizer: str, length: int = 2048, id_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(tokenizer, 2 * REMEMBERED)
+        known = pieces(tokenizer, remembered=2 * REMEMBERED)
         kind = np.uint16 if known.whole.get_vocab_size() <= 65536 else np.uint32
         place = np.dtype(np.uint16 if length <= 65536 else np.uint32)
         task, written = TaskContext.get().partitionId() << 33, 0

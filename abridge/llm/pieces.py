@@ -11,27 +11,31 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from abridge.llm import textkit
+from abridge.llm.common import worker_cache
 
-#: Pre-tokens, and parts, remembered by a worker at most; beyond, it starts anew. About 250 bytes each.
+#: Pre-tokens, and parts, remembered by a worker at most; beyond, it starts anew. About 250 bytes each with ids, 100 as counts.
 REMEMBERED = 250_000
 _CUT = re.compile(r"(?= \S)")
 _PLAIN = re.compile(r" ?[A-Za-z]+")
 
 
 class BytePieces:
-    """Token ids of parts under a tokenizers .json file, and its vocabulary as ranks where there is one beside it."""
+    """Token ids of parts under a tokenizers .json file, and its vocabulary as ranks where there is one beside it; or their numbers alone.
 
-    def __init__(self, json_path: str, remembered: int = REMEMBERED):
+    With `counts`, all that is kept of a pre-token or part is how many tokens it has.
+    """
+
+    def __init__(self, json_path: str, counts: bool = False, remembered: int = REMEMBERED):
         import os
 
         self.remembered = remembered
+        self.take, self.none = (len, 0) if counts else (tuple, ())
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,23 +54,23 @@ class BytePieces:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
             self.split = regex.compile(public_tokenizers.PATTERN)
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...] | int] = {}
+        self.parts: dict[str, tuple[int, ...] | int] = {}
 
-    def encode(self, part: str) -> tuple[int, ...]:
-        """Ids of one part. Ranks serve what is Latin script without special strings; the file's own library the rest."""
+    def encode(self, part: str) -> tuple[int, ...] | int:
+        """Ids of one part, or their number. Ranks serve what is Latin script without special strings; the file's own library the rest."""
         found = self.parts.get(part)
         if found is None:
             if self.fast is None or (not part.isascii() and max(part) >= "ɐ") or any(s in part for s in self.specials):
-                found = tuple(self.whole.encode(part, add_special_tokens=False).ids)
+                found = self.take(self.whole.encode(part, add_special_tokens=False).ids)
             else:
-                found = ()
+                found = self.none
                 for word in [part] if _PLAIN.fullmatch(part) else self.split.findall(part):
                     ids = self.words.get(word)
                     if ids is None:
                         if len(self.words) >= self.remembered:
                             self.words.clear()
-                        ids = self.words[word] = tuple(self.fast.encode_ordinary(word))
+                        ids = self.words[word] = self.take(self.fast.encode_ordinary(word))
                     found += ids
             if len(part) <= 64:
                 if len(self.parts) >= self.remembered:
@@ -74,12 +78,12 @@ class BytePieces:
                 self.parts[part] = found
         return found
 
-    def ragged(self, text: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]]:
-        """For ranges of rows of `text`: part numbers in order, ids of each numbered part, first part of each text (one more at the end)."""
+    def ragged(self, text: pa.Array) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
+        """For ranges of rows of `text`: part numbers in order, ids (or counts) of each numbered part, first part of each text (one more at the end)."""
         for a, b in textkit.slices(text, 6 << 20):
             yield self._ragged(text.slice(a, b - a))
 
-    def _ragged(self, text: pa.Array) -> tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]:
+    def _ragged(self, text: pa.Array) -> tuple[np.ndarray, list, np.ndarray]:
         lists = pc.split_pattern(text, " ")
         first = lists.offsets.to_numpy()
         first = first - first[0]
@@ -95,7 +99,7 @@ class BytePieces:
             head = parts[which[k]]
             if head not in heads:
                 heads[head] = len(ids)
-                ids.append(self.encode(head) if head else ())
+                ids.append(self.encode(head) if head else self.none)
             which[k] = heads[head]
         if odd.any():  # runs of blanks: cut those texts one by one
             extra: dict[str, int] = {}
@@ -109,7 +113,7 @@ class BytePieces:
                 for part in _CUT.split(text[i].as_py()):
                     if part not in extra:
                         extra[part] = len(ids)
-                        ids.append(self.encode(part) if part else ())
+                        ids.append(self.encode(part) if part else self.none)
                     own.append(extra[part])
                 runs.append(np.array(own, np.int64))
             first = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
@@ -117,7 +121,10 @@ class BytePieces:
         return which, ids, first
 
 
-@lru_cache(maxsize=2)
-def pieces(json_path: str, remembered: int = REMEMBERED) -> BytePieces:
-    """One for each worker and file; workers are used again, and so is what they remember."""
-    return BytePieces(json_path, remembered)
+def pieces(json_path: str, counts: bool = False, remembered: int = REMEMBERED) -> BytePieces:
+    """One for each worker, file and use; workers are used again, and so is what they remember."""
+    known = worker_cache("pieces")
+    if (key := (json_path, counts, remembered)) not in known:
+        known.clear()
+        known[key] = BytePieces(*key)
+    return known[key]
