@@ -61,6 +61,36 @@ def test_components_are_the_brute_ones(spark, monkeypatch, seed, hot):
     assert got == _brute(rows)
 
 
+def _descendants(seed):
+    """Copies of copies: families whose members link with others than the original, deletions, and a passage that all share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(3))
+    passage = [word() for _ in range(30)]
+    texts = []
+    for _ in range(3):
+        line = [[word() for _ in range(rng.randint(40, 90))]]
+        for _ in range(30):
+            c = list(rng.choice(line))
+            for _ in range(rng.randint(0, 6)):
+                k = rng.randrange(len(c))
+                c[k : k + rng.choice([1, 1, 4])] = [word()] * rng.choice([0, 1, 1])
+            line.append(c)
+            texts.append(" ".join(c))
+        texts += [" ".join(passage + line[0][k : k + rng.randint(3, 12)]) for k in range(0, 40, 5)]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed, family", [(3, 1_000_000), (4, 0)])
+def test_families_of_copies_of_copies(spark, monkeypatch, seed, family):
+    monkeypatch.setattr(ngram_jaccard, "HOT_LEAST", 12)
+    monkeypatch.setattr(ngram_jaccard, "FAMILY", family)  # small ones in a task, or rows of a large one
+    rows = _descendants(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, short=2).collect()}
+    want = _brute(rows)
+    assert got == want and 5 < len({c for _, c in want.values()}) < len(rows) - 20
+
+
 def test_jaccard_edges(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = jaccard_components(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f")], "doc_id long, text string")).collect()
@@ -91,7 +121,7 @@ def test_vectors_against_brute_force(spark, cells):
         centre = rng.normal(size=4)
         rows += [(len(rows) + k, (centre + rng.normal(scale=0.1, size=4)).tolist(), int(rng.integers(0, 2))) for k in range(9)]
     n = len(rows)
-    rows += [(n, rows[0][1], rows[0][2]), (n + 1, rows[0][1], rows[0][2]), (n + 2, None, 0), (n + 3, [0.0] * 4, 0), (n + 4, [1.0, None, 0, 0], 0), (n + 5, [float("nan"), 1, 1, 1], 0), (n + 6, [1.0, 2.0], 0), (n + 7, rows[0][1], None), (n + 8, [], 0)]
+    rows += [(n, rows[0][1], rows[0][2]), (n + 1, rows[0][1], rows[0][2]), (n + 2, None, 0), (n + 3, [0.0] * 4, 0), (n + 4, [1.0, None, 0.0, 0.0], 0), (n + 5, [float("nan"), 1.0, 1.0, 1.0], 0), (n + 6, [1.0, 2.0], 0), (n + 7, rows[0][1], None), (n + 8, [], 0)]
     docs = spark.createDataFrame([(i, v, y, "c") for i, v, y in rows], "vec_id long, embedding array<double>, label int, rep string")
     got = near_duplicate_vectors(docs, 0.98, cells=cells, sample=60).toPandas().set_index("vec_id")
     links = _links(rows, 0.98)
