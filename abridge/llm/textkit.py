@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Large buffers go back to the system when they are freed, not into a pool of the worker's own.
+pa.set_memory_pool(pa.system_memory_pool())
+
 WIDTH = 64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Tabulation hashing: one random 64-bit value for each (position, byte).
