@@ -6,79 +6,155 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abridge.config import Config
-from abridge.functions.text import sentences
-from abridge.operators import combine, measures, render, select, terms
-from abridge.plans.words import NEGATIVE, POSITIVE, STOP
+from abridge.functions.text import sentences, word_array
+from abridge.operators import anaphora, cluster, combine, measures, render, select, terms
 from abridge.sources import readers
+from abridge.sources.lists import Lists
 
+#: A whole summary: tf-idf of stems, sentiment and, where vectors are given, word vectors, multiplied.
+SUMMARY = Config(use_sentiment=True, use_embeddings=True, stemmer="porter2")
 
-def pair_measures(sents: DataFrame, config: Config, vectors: DataFrame | None = None, dim: int = 64) -> list[DataFrame]:
-    """The measures in use as (set_id, i, j, s), in order."""
+
+def pair_measures(sents: DataFrame, config: Config, lists: Lists = Lists(), several: bool = False) -> list[DataFrame]:
+    """The measures in use as (set_id, i, j, s), in order. Their size is the square of a set's sentences."""
     found = []
-    for name in config.measures:
+    for name in _measures(config, lists):
         if name == "tfidf":
-            w = tfidf_weights(sents, config)
+            w = tfidf_weights(sents, config, several, lists)
             found.append(measures.tfidf_cosine(w, terms.norms(w)))
         elif name == "embed":
-            if vectors is not None:
-                found.append(measures.embedding_pairs(measures.sentence_embeddings(sents, vectors, dim)))
+            found.append(measures.embedding_pairs(measures.sentence_embeddings(sents, lists.vectors, lists.dim)))
         else:
-            found.append(measures.sentiment_pairs(measures.sentiment_fractions(sents, POSITIVE, NEGATIVE), name))
-    return found or pair_measures(sents, Config(use_tfidf=True))
+            found.append(measures.sentiment_pairs(measures.sentiment_fractions(sents, lists.positive, lists.negative), name))
+    return found
+
 
+def _measures(config: Config, lists: Lists) -> tuple[str, ...]:
+    """Without vectors there is no measure of them; with none left, tf-idf."""
+    return tuple(m for m in config.measures if m != "embed" or lists.vectors is not None) or ("tfidf",)
 
-def tfidf_weights(sents: DataFrame, config: Config, several: bool = False) -> DataFrame:
-    """Weights of each sentence's terms; with several documents in a set they count for df, else its sentences do."""
-    bags = terms.bag(sents, STOP, config.stemmer, config.bigrams)
-    if several:
+
+def tfidf_weights(sents: DataFrame, config: Config, several: bool = False, lists: Lists = Lists()) -> DataFrame:
+    """Weights of each sentence's terms. Documents of the lists' corpus count for df; else, with several documents in a set, those; else its sentences."""
+    bags = terms.bag(sents, lists.stop, config.stemmer, config.bigrams, lists.clusters, config.clusters_in_place)
+    if lists.idf_documents is not None:
+        corpus = sentences(lists.idf_documents, "doc_id", "text", 1, split=False)
+        idfs = terms.corpus_idf(corpus, lists.stop, config.stemmer, config.idf_mode, lists.clusters)
+    elif several:
         placed = bags.join(sents.select("set_id", "sent_idx", "doc_pos"), ["set_id", "sent_idx"])
-        idfs = terms.idf(placed, ("doc_pos",), mode=config.idf_mode, docs=sents)
+        sizes = sents.groupBy("set_id").agg(F.countDistinct("doc_pos").alias("docs"))
+        # A set of one document counts sentences.
+        place = F.when(F.col("docs") > 1, F.col("doc_pos").cast("string")).otherwise(F.col("sent_idx").cast("string"))
+        idfs = terms.idf(placed.join(sizes, "set_id").withColumn("place", place), ("place",), mode=config.idf_mode, docs=sents.join(sizes, "set_id").withColumn("place", place))
     else:
         idfs = terms.idf(bags, ("sent_idx",), mode=config.idf_mode, docs=sents)
     return terms.weighted(bags, idfs, config.zero_idf_as_one)
 
 
-def _clustering(sents: DataFrame, config: Config, several: bool = False) -> DataFrame | None:
-    """The tf-idf cosine that clusters are taken from, none if they are those of the combined measure."""
-    if config.cluster_on_aggregate:
-        return None
-    w = tfidf_weights(sents, config, several)
-    return measures.tfidf_cosine(w, terms.norms(w))
+def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, lists: Lists = Lists(), split: bool = True, steps: list[list[float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selection, sentences) of each set.
 
-
-def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, vectors: DataFrame | None = None, split: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(selection, sentences) of each set."""
+    Sets of up to `config.kernel_limit` sentences are chosen from in one task each, larger ones by joins; the results are the same. `steps` are weights of
+    the measures for each step of the choice (average); they need a task.
+    """
     sents = sentences(docs, set_col, text_col, config.min_tokens, split, order_col)
+    if config.resolve_pronouns:
+        sents = anaphora.resolve_pronouns(sents, lists.male, lists.female)
+        sents = sents.withColumn("tokens", F.split("resolved", " ")).withColumn("text", F.col("resolved")).withColumn("words", word_array(F.col("tokens"))).drop("resolved")
     if config.input_limit:
         sents = select.sampled(sents, config.input_limit, config.seed)
-    if config.measures == ("tfidf",):
-        return select.select_by_kernel(tfidf_weights(sents, config, order_col is not None), sents, config), sents
-    found = pair_measures(sents, config, vectors)
-    pairs = combine.combined(combine.stacked(found), len(found), config.aggregate)
-    return select.select_by_matrix(pairs, sents, config, _clustering(sents, config, order_col is not None)), sents
+    plain = order_col is None and not (config.input_limit or config.resolve_pronouns or steps) and config.stemmer == "none" and lists.clusters is None and lists.idf_documents is None
+    large = sents.groupBy("set_id").agg(F.count("*").alias("n")).where(F.col("n") > config.kernel_limit).select("set_id")
+    some = not large.isEmpty()
+    if some and not steps:
+        large = large.checkpoint() if select.shared_checkpoints(docs.sparkSession) is None else large
+        small, big = sents.join(large, "set_id", "left_anti"), sents.join(large, "set_id", "left_semi")
+    else:
+        small, big = sents, None
+    if plain and _measures(config, lists) == ("tfidf",):
+        rows = docs if big is None else docs.join(large, docs[set_col] == large["set_id"], "left_anti")
+        found = select.select_documents(rows, config, lists.stop, set_col, text_col, split).drop("line")
+    else:
+        found = _by_features(small, config, order_col is not None, lists, steps)
+    return (found if big is None else found.union(_by_joins(big, config, order_col is not None, lists))), sents
 
 
-def summarize(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def _by_features(sents: DataFrame, config: Config, several: bool, lists: Lists, steps: list[list[float]] | None) -> DataFrame:
+    names = _measures(config, lists)
+    near = not config.cluster_on_aggregate and config.clusterings == "one"
+    weights = tfidf_weights(sents, config, several, lists) if near or "tfidf" in names else None
+    features = measures.sentiment_fractions(sents, lists.positive, lists.negative)
+    if "embed" in names:
+        features = features.join(measures.sentence_embeddings(sents, lists.vectors, lists.dim), ["set_id", "sent_idx"], "left")
+    else:
+        features = features.withColumn("vec", F.lit(None).cast("array<double>"))
+    return select.select_by_features(weights, features, sents, config, names, near, steps)
+
+
+def _by_joins(sents: DataFrame, config: Config, several: bool, lists: Lists) -> DataFrame:
+    found = pair_measures(sents, config, lists, several)
+    pairs = combine.combined(combine.stacked(found), len(found), config.aggregate).where("s <> 0").checkpoint()
+    if config.clusterings == "each":
+        raise ValueError("several clusterings are for sets that one task takes")
+    near = pairs
+    if not config.cluster_on_aggregate:
+        w = tfidf_weights(sents, config, several, lists)
+        near = measures.tfidf_cosine(w, terms.norms(w))
+    clusters = cluster.kmedoids(sents, near, config.seed)
+    return select.greedy(select.with_diagonal(pairs, sents), sents, clusters, config=config)
+
+
+def get_clustering(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, lists: Lists = Lists()) -> DataFrame:
+    """(set_id, sent_idx, k): k-medoids of each set's sentences by tf-idf cosine, or by the combined measure with `cluster_on_aggregate`."""
+    select.shared_checkpoints(docs.sparkSession)
+    sents = sentences(docs, set_col, text_col, config.min_tokens, True, order_col)
+    if config.cluster_on_aggregate:
+        found = pair_measures(sents, config, lists, order_col is not None)
+        return cluster.kmedoids(sents, combine.combined(combine.stacked(found), len(found), config.aggregate), config.seed)
+    w = tfidf_weights(sents, config, order_col is not None, lists)
+    return cluster.kmedoids(sents, measures.tfidf_cosine(w, terms.norms(w)), config.seed)
+
+
+def summarize(docs: DataFrame, config: Config = SUMMARY, set_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, lists: Lists = Lists()) -> DataFrame:
     """(set_id, summary) of each set, sentences in document order."""
-    return render.summary_text(*choose(docs, config, set_col, text_col, order_col, vectors))
+    return render.summary_text(*choose(docs, config, set_col, text_col, order_col, lists))
 
 
-def summarize_text(spark: SparkSession, text: str, length: int = 100, unit: str = "WORDS") -> str:
+def summarize_text(spark: SparkSession, text: str, length: int = 100, unit: str = "WORDS", lists: Lists = Lists()) -> str:
     """The summary of one text."""
-    rows = summarize(spark.createDataFrame([(0, text)], "doc_id long, text string"), Config(length=length, unit=unit)).collect()
+    from dataclasses import replace
+
+    rows = summarize(spark.createDataFrame([(0, text)], "doc_id long, text string"), replace(SUMMARY, length=length, unit=unit), lists=lists).collect()
     return rows[0]["summary"] if rows else ""
 
 
-def summarize_files(spark: SparkSession, paths: str | list[str], config: Config = Config(), split: bool = True) -> DataFrame:
-    """One summary for all documents of the files together."""
+def summarize_files(spark: SparkSession, paths: str | list[str], config: Config = SUMMARY, split: bool = True, lists: Lists = Lists(), numbers: bool = False) -> DataFrame:
+    """One summary for all documents of the files together; or the numbers of its sentences."""
     docs = readers.text_documents(spark, paths)
-    return render.summary_text(*choose(docs, config, "set_id", "text", "doc_id", split=split))
+    chosen, sents = choose(docs, config, "set_id", "text", "doc_id", lists, split)
+    return render.summary_numbers(chosen) if numbers else render.summary_text(chosen, sents)
+
 
+def summarize_matrices(spark: SparkSession, matrices: list[str], sentence_file: str, config: Config = Config(), weights_file: str | None = None, clustering_file: str | None = None, lists: Lists = Lists()) -> DataFrame:
+    """(set_id, step, sent_idx, score) from similarity matrices and a file of one sentence a line.
 
-def summarize_matrices(spark: SparkSession, matrices: list[str], sentence_file: str, config: Config = Config()) -> DataFrame:
-    """(set_id, step, sent_idx, score) from similarity matrices and a file of one sentence a line."""
+    `weights_file` has weights of the matrices for each step. Clusters are those of `clustering_file` if it is named, else of the sentences' tf-idf
+    cosine, or of the matrices (`cluster_on_aggregate`, `clusterings`).
+    """
     lines = spark.read.text(sentence_file, wholetext=True).select(F.lit("input").alias("set_id"), F.col("value").alias("text"))
     sents = sentences(lines, "set_id", min_tokens=1, split=False)
     found = [readers.similarity_matrix(spark, m, "input", k).where("i < j") for k, m in enumerate(matrices)]
-    pairs = combine.combined(combine.stacked(found), len(found), config.aggregate)
-    return select.select_by_matrix(pairs, sents, config, _clustering(sents, config))
+    near = None
+    if clustering_file:
+        known = readers.clustering_file(spark, clustering_file)
+        pairs = combine.combined(combine.stacked(found), len(found), config.aggregate)
+        return select.greedy(select.with_diagonal(pairs, sents), sents, known, config=config)
+    if not config.cluster_on_aggregate and config.clusterings == "one":
+        w = tfidf_weights(sents, config, False, lists)
+        near = measures.tfidf_cosine(w, terms.norms(w))
+    steps = None
+    if weights_file:
+        rows = readers.matrix_weights(spark, weights_file, len(matrices)).orderBy("step", "matrix_id").collect()
+        steps = [[r["w"] for r in rows if r["step"] == k] for k in sorted({r["step"] for r in rows})]
+        steps = [s + [1 / len(matrices)] * (len(matrices) - len(s)) for s in steps]
+    return select.select_by_matrix(combine.stacked(found), len(found), sents, config, near, steps)

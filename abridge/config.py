@@ -1,4 +1,4 @@
-"""Parameters of a summary. The defaults are the documented meaning; `idf_mode` and `zero_idf_as_one` reproduce known slips."""
+"""Parameters of a summary. The defaults here are plain tf-idf; `api.SUMMARY` has those of a whole summary. `idf_mode` and `zero_idf_as_one` reproduce known slips."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ class Config:
     diversity: float = 6.0
     cost_exponent: float = 0.3
     min_tokens: int = 4
-    stemmer: str = "none"  # or porter
+    stemmer: str = "none"  # or porter, porter2
     bigrams: bool = True
     idf_mode: str = "real"  # or floor
     zero_idf_as_one: bool = False
@@ -27,8 +27,14 @@ class Config:
     singleton: bool = True
     prune: float = 0.0
     pronouns: tuple[str, ...] = ()
+    mean_diversity: bool = False  # a sentence alone counts its mean similarity, without a root
+    clusterings: str = "one"  # or each: one of every measure
+    counting: str = "tokens"  # or pieces
     seed: int = 7
     input_limit: int | None = None
+    clusters_in_place: bool = False
+    resolve_pronouns: bool = False
+    kernel_limit: int = 4000  # sentences of a set that one task takes; larger sets go by joins
 
     def __post_init__(self):
         if self.unit not in ("WORDS", "SENTENCES", "CHARACTERS"):

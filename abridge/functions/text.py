@@ -49,6 +49,12 @@ def word_array(tokens: Column) -> Column:
     return F.filter(F.transform(tokens, lambda t: F.lower(alnum(t))), lambda w: w != "")
 
 
+def sentences_of(docs: DataFrame, set_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, split: bool = True) -> DataFrame:
+    """(set_id, sents): the sentences of each row as an array of (text, tokens), with at least `min_tokens` tokens."""
+    kept = F.filter(F.transform(sentence_array(F.col(text_col), split), lambda s: F.struct(s.alias("text"), token_array(s).alias("tokens"))), lambda s: F.size(s["tokens"]) >= min_tokens)
+    return docs.select(F.col(set_col).alias("set_id"), kept.alias("sents"))
+
+
 def sentences(docs: DataFrame, set_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, split: bool = True, order_col: str | None = None) -> DataFrame:
     """(set_id, doc_pos, sent_idx, text, tokens, words) with at least `min_tokens` tokens, numbered from 0 in each set.
 
@@ -92,6 +98,10 @@ def is_possessive(token: Column) -> Column:
     return bare(token).isin(*POSSESSIVE)
 
 
+def is_punctuation(token: Column) -> Column:
+    return token.isin(".", "?", ",", "!", ")")
+
+
 def is_title(token: Column) -> Column:
     return token.rlike("^[A-Z][a-z0-9]*$")
 

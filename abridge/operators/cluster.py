@@ -15,11 +15,11 @@ def k_of(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(0.2 * n + 0.5).cast("int"))
 
 
-def seeded_medoids(sents: DataFrame, seed: int = 7) -> DataFrame:
-    """(set_id, k, medoid): the first K sentences of a set in the order of md5(seed:index)."""
+def seeded_medoids(sents: DataFrame, seed: int = 7, k: Column | None = None) -> DataFrame:
+    """(set_id, k, medoid): the first K sentences of a set in the order of md5(seed:index); K by `k_of`, or an expression of n."""
     order = W.partitionBy("set_id").orderBy(F.expr(f"md5(concat('{seed}:', sent_idx))"))
     ranked = sents.select("set_id", "sent_idx", (F.row_number().over(order) - 1).alias("k"), F.count("*").over(W.partitionBy("set_id")).alias("n"))
-    return ranked.where(F.col("k") < k_of(F.col("n"))).select("set_id", "k", F.col("sent_idx").alias("medoid"))
+    return ranked.where(F.col("k") < (k_of(F.col("n")) if k is None else k)).select("set_id", "k", F.col("sent_idx").alias("medoid"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -62,8 +62,8 @@ def kernel_assign(w: np.ndarray, medoids: list[int]) -> np.ndarray:
     return out
 
 
-def kernel_medoids(w: np.ndarray, seed: int = 7, k: int | None = None, most_rounds: int = 100) -> np.ndarray:
-    """Cluster of each sentence of one set: rounds of new medoids and reassignment while the utility rises."""
+def kernel_medoids(w: np.ndarray, seed: int = 7, k: int | None = None) -> np.ndarray:
+    """Cluster of each sentence of one set: rounds of new medoids and reassignment while the utility rises. It rises finitely often."""
     n = len(w)
     k = k or max(1, int(0.2 * n + 0.5))
     off = w.copy()
@@ -72,7 +72,7 @@ def kernel_medoids(w: np.ndarray, seed: int = 7, k: int | None = None, most_roun
     out = kernel_assign(off, medoids)
     score = lambda c, m: round(float(off[np.arange(n), np.array(m)[c]].sum()), 9)
     best = score(out, medoids)
-    for _ in range(most_rounds):
+    while True:
         new = []
         for c in range(k):
             members = np.flatnonzero(out == c)
@@ -83,3 +83,79 @@ def kernel_medoids(w: np.ndarray, seed: int = 7, k: int | None = None, most_roun
             break
         out, medoids, best = again, new, now
     return out
+
+
+def kmedoids(sents: DataFrame, pairs: DataFrame, seed: int = 7, k: Column | None = None) -> DataFrame:
+    """(set_id, sent_idx, k): `kernel_medoids` for all sets at once, as joins; sets whose utility no longer rises keep their clusters.
+
+    A round is a step of the driver with its state in the shared folder; rounds go on until no set's utility rises.
+    """
+    pairs = pairs.checkpoint()
+    medoids = seeded_medoids(sents, seed, k)
+    now = assigned(sents, medoids, pairs)
+    state = now.join(utility(now, medoids, pairs), "set_id").withColumn("utility", F.round("utility", 9)).checkpoint()
+    while True:
+        clusters = state.select("set_id", "sent_idx", "k")
+        new = best_medoids(clusters, pairs).select("set_id", "k", "medoid").checkpoint()
+        again = assigned(sents, new, pairs)
+        rose = utility(again, new, pairs).select("set_id", F.round("utility", 9).alias("now")).join(state.select("set_id", "utility").distinct(), "set_id").where("now > utility").select("set_id", "now").checkpoint()
+        if rose.isEmpty():
+            return clusters
+        moved = again.join(rose, "set_id").select("set_id", "sent_idx", "k", F.col("now").alias("utility"))
+        state = state.join(rose.select("set_id"), "set_id", "left_anti").select("set_id", "sent_idx", "k", "utility").union(moved).checkpoint()
+
+
+def kernel_distance_medoids(d: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
+    """Clusters of one set from distances: the first k items begin clusters of their own, others by md5(seed:index) mod k. Rounds until
+    nothing changes: the centre of a cluster is the member of least summed distance, each item goes to the nearest centre, the lowest of equals. An empty cluster's centre is item 0."""
+    n = len(d)
+    out = np.array([i if i < k else int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), 16) % k for i in range(n)])
+    seen = set()
+    while out.tobytes() not in seen:  # a state met again would go round for ever
+        seen.add(out.tobytes())
+        centres = []
+        for c in range(k):
+            members = np.flatnonzero(out == c)
+            centres.append(int(members[np.round(d[np.ix_(members, members)].sum(axis=1), 9).argmin()]) if len(members) else 0)
+        out = np.round(d[:, centres], 9).argmin(axis=1)
+    return out
+
+
+def kernel_pam(w: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
+    """Clusters of one set by partitioning around medoids: a medoid is swapped for the first other item that raises the utility, until no swap does."""
+    n = len(w)
+    off = w.copy()
+    np.fill_diagonal(off, 0)
+    medoids = seeded_order(n, seed)[:k]
+    total = lambda m: round(float(off[np.arange(n), np.array(m)[kernel_assign(off, m)]].sum()), 9)
+    best, rising = total(medoids), True
+    while rising:
+        rising = False
+        for place in range(k):
+            for item in range(n):
+                if item in medoids:
+                    continue
+                other = [*medoids[:place], item, *medoids[place + 1 :]]
+                if (now := total(other)) > best:
+                    best, medoids, rising = now, other, True
+                    break
+    return kernel_assign(off, medoids)
+
+
+def disagreement(clusterings: DataFrame) -> DataFrame:
+    """(set_id, differ): places at which clusterings (clustering_id, set_id, sent_idx, k) differ, over ordered pairs of them.
+
+    Counted per sentence from the sizes of its groups of equal clusters; no pair of clusterings is made.
+    """
+    same = clusterings.groupBy("set_id", "sent_idx", "k").agg(F.count("*").alias("c"))
+    per = same.groupBy("set_id", "sent_idx").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("differ"))
+    return per.groupBy("set_id").agg(F.sum("differ").alias("differ"))
+
+
+def members_by_similarity(clusters: DataFrame, medoids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set_id, k, place, sent_idx, s): each cluster's members, most similar to the medoid first; the medoid itself counts 1."""
+    m = clusters.join(medoids.select("set_id", "k", "medoid"), ["set_id", "k"])
+    near = both_ways(pairs).select("set_id", F.col("i").alias("sent_idx"), F.col("j").alias("medoid"), "s")
+    rows = m.join(near, ["set_id", "sent_idx", "medoid"], "left").withColumn("s", F.when(F.col("sent_idx") == F.col("medoid"), 1.0).otherwise(F.coalesce("s", F.lit(0.0))))
+    order = W.partitionBy("set_id", "k").orderBy(F.round("s", 9).desc(), "sent_idx")
+    return rows.select("set_id", "k", F.row_number().over(order).alias("place"), "sent_idx", "s")

@@ -96,17 +96,55 @@ def embedding_pairs(embedded: DataFrame) -> DataFrame:
     return rescaled(pairs)
 
 
-def word_pair_scores(sents: DataFrame, vectors: DataFrame, weights: DataFrame | None = None, top_words: int | None = None) -> DataFrame:
+def dissimilarity(pairs: DataFrame) -> DataFrame:
+    """(set_id, i, j, d) with d = 1 - s."""
+    return pairs.select("set_id", "i", "j", (1 - F.col("s")).alias("d"))
+
+
+def extreme_pairs(pairs: DataFrame) -> DataFrame:
+    """(set_id, low, low_i, low_j, high, high_i, high_j): the least and the greatest value of each set with its pair, the first pair of equals."""
+    first = F.struct((-F.col("i")).alias("i"), (-F.col("j")).alias("j"))
+    ends = pairs.groupBy("set_id").agg(F.min(F.struct(F.round("s", 9).alias("s"), "i", "j")).alias("a"), F.max(F.struct(F.round("s", 9).alias("s"), first.alias("at"))).alias("b"))
+    return ends.select("set_id", F.col("a.s").alias("low"), F.col("a.i").alias("low_i"), F.col("a.j").alias("low_j"), F.col("b.s").alias("high"), (-F.col("b.at.i")).alias("high_i"), (-F.col("b.at.j")).alias("high_j"))
+
+
+def vectors_of_words(words: DataFrame, vectors: DataFrame, stems: DataFrame) -> DataFrame:
+    """(word, vec) of distinct `words`: a word's own vector, else that of its stem (word, stem); words without either are dropped."""
+    own = words.select("word").join(vectors, "word", "left")
+    other = vectors.select(F.col("word").alias("stem"), F.col("vec").alias("other"))
+    return own.join(stems.select("word", "stem"), "word", "left").join(other, "stem", "left").select("word", F.coalesce("vec", "other").alias("vec")).where("vec is not null")
+
+
+def tagged_word_pairs(words: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(set_id, i, j, a, b, s) of word pairs with the same tag. `words` is (set_id, sent_idx, word, tag), tags from any tagger."""
+    unit = _unit_vectors(vectors)
+    placed = words.select("set_id", "sent_idx", "word", "tag").distinct().join(unit, "word")
+    one = placed.select("set_id", "tag", F.col("sent_idx").alias("i"), F.col("word").alias("a"), F.col("u").alias("u_i"))
+    two = placed.select("set_id", "tag", F.col("sent_idx").alias("j"), F.col("word").alias("b"), F.col("u").alias("u_j"))
+    return one.join(two, ["set_id", "tag"]).where("i < j").select("set_id", "i", "j", "a", "b", (0.5 * (dot(F.col("u_i"), F.col("u_j")) + 1)).alias("s"))
+
+
+def nouns(words: DataFrame, tag: str = "NN") -> DataFrame:
+    """Words (.., tag) with one tag."""
+    return words.where(F.col("tag") == tag)
+
+
+def _unit_vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.withColumn("size", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("size > 0").select("word", F.transform("vec", lambda x: x / F.col("size")).alias("u"))
+
+
+def word_pair_scores(sents: DataFrame, vectors: DataFrame, weights: DataFrame | None = None, top_words: int | None = None, weigh: bool = False) -> DataFrame:
     """(set_id, i, j, a, b, s): (cosine + 1) / 2 of each word of one sentence with each of another, of the `top_words` by weight or all.
 
-    Distinct words stand once for a sentence. `weights` is (set_id, sent_idx, term, tfidf).
+    Distinct words stand once for a sentence. With `weigh` words of weight 0 take no part: a positive weight of a vector changes its length, not its cosine. `weights` is (set_id, sent_idx, term, tfidf).
     """
     words = sents.select("set_id", "sent_idx", F.explode(F.array_distinct("words")).alias("word"))
+    if weigh:
+        words = words.join(weights.where("tfidf > 0").select("set_id", "sent_idx", F.col("term").alias("word")), ["set_id", "sent_idx", "word"], "left_semi")
     if top_words is not None:
         scored = words.join(weights.withColumnRenamed("term", "word").select("set_id", "sent_idx", "word", "tfidf"), ["set_id", "sent_idx", "word"])
         words = scored.selectExpr("*", "row_number() over (partition by set_id, sent_idx order by round(tfidf, 9) desc, word) as r").where(F.col("r") <= top_words).select("set_id", "sent_idx", "word")
-    unit = vectors.withColumn("size", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("size > 0").select("word", F.transform("vec", lambda x: x / F.col("size")).alias("u"))
-    placed = words.join(unit, "word")
+    placed = words.join(_unit_vectors(vectors), "word")
     return all_pairs(placed, "word", "u").select("set_id", "i", "j", F.col("word_i").alias("a"), F.col("word_j").alias("b"), (0.5 * (dot(F.col("u_i"), F.col("u_j")) + 1)).alias("s"))
 
 

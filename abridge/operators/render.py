@@ -13,6 +13,12 @@ def summary_text(selection: DataFrame, sents: DataFrame, order: str = "sent_idx"
     return rows.groupBy("set_id").agg(F.array_join(lines, "\n").alias("summary"))
 
 
+def chosen_lines(selection: DataFrame, order: str = "sent_idx") -> DataFrame:
+    """As `summary_text`, for a selection that has its lines."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda r: r["line"])
+    return selection.groupBy("set_id").agg(F.array_join(lines, "\n").alias("summary"))
+
+
 def summary_numbers(selection: DataFrame) -> DataFrame:
     """(set_id, numbers): one-based sentence numbers in document order."""
     return selection.groupBy("set_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.col("sent_idx") + 1)), lambda n: n.cast("string")), " ").alias("numbers"))

@@ -11,10 +11,12 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abridge.config import Config
+from abridge.functions.text import sentences_of, word_array
 from abridge.operators.cluster import both_ways, kernel_medoids
 
 
@@ -63,55 +65,120 @@ def pronoun_sentences(sents: DataFrame, pronouns: tuple[str, ...] = ("he", "she"
     return sents.where(F.exists(F.split(F.lower("text"), r"\W+"), lambda w: w.isin(*pronouns))).select("set_id", "sent_idx")
 
 
-def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame, steps: int, diversity: float = 6.0, coverage: float = 5.0) -> DataFrame:
-    """(set_id, step, sent_idx, score): `steps` sentences of each set, by joins. For sets too large for one task; cuts its lineage each step."""
-    spark = full.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="abridge-"))
-    full, clusters, sents = full.checkpoint(), clusters.select("set_id", "sent_idx", "k").checkpoint(), sents.select("set_id", "sent_idx").checkpoint()
-    deg = degrees(full, sents, coverage).join(clusters, ["set_id", "sent_idx"]).checkpoint()
-    chosen = None
-    for step in range(1, steps + 1):
-        if chosen is None:
-            got, base, used = deg.select("set_id", "sent_idx", F.lit(0.0).alias("got")), None, deg.select("set_id", "k", F.lit(0.0).alias("rk")).distinct()
-        else:
-            near = full.join(chosen.select("set_id", F.col("sent_idx").alias("j")), ["set_id", "j"]).groupBy("set_id", F.col("i").alias("sent_idx")).agg(F.sum("s").alias("got"))
-            got = deg.select("set_id", "sent_idx").join(near, ["set_id", "sent_idx"], "left").select("set_id", "sent_idx", F.coalesce("got", F.lit(0.0)).alias("got"))
-            used = deg.join(chosen.select("set_id", "sent_idx", F.lit(1).alias("in")), ["set_id", "sent_idx"], "left").groupBy("set_id", "k").agg(F.sum(F.when(F.col("in") == 1, F.col("r")).otherwise(0.0)).alias("rk"))
-        state = deg.join(got, ["set_id", "sent_idx"])
-        gain = full.join(state.select("set_id", F.col("sent_idx").alias("i"), "got", "cap"), ["set_id", "i"]).groupBy("set_id", F.col("j").alias("sent_idx")).agg(F.sum(F.least(F.col("got") + F.col("s"), F.col("cap")) - F.least("got", "cap")).alias("gain"))
-        base = state.groupBy("set_id").agg(F.sum(F.least("got", "cap")).alias("base")).join(used.groupBy("set_id").agg(F.sum(F.sqrt("rk")).alias("roots")), "set_id")
-        score = F.col("base") + F.coalesce("gain", F.lit(0.0)) + diversity * (F.col("roots") - F.sqrt("rk") + F.sqrt(F.col("rk") + F.col("r")))
-        rows = deg.join(gain, ["set_id", "sent_idx"], "left").join(base, "set_id").join(used, ["set_id", "k"]).withColumn("score", F.round(score, 9))
-        if chosen is not None:
-            rows = rows.join(chosen.select("set_id", "sent_idx"), ["set_id", "sent_idx"], "left_anti")
-        best = rows.groupBy("set_id").agg(F.max(F.struct("score", (-F.col("sent_idx")).alias("ni"))).alias("m")).where("m.score > 0").select("set_id", F.lit(step).alias("step"), (-F.col("m.ni")).alias("sent_idx"), F.col("m.score").alias("score"))
-        chosen = best if chosen is None else chosen.union(best)
-        if step < steps:
-            chosen = chosen.checkpoint()
-    return chosen
-
+def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame, steps: int | None = None, diversity: float = 6.0, coverage: float = 5.0, config: Config | None = None) -> DataFrame:
+    """(set_id, step, sent_idx, score) by joins, for sets too large for one task: `steps` sentences of each set, or what the budget of `config` takes.
 
-def kernel_select(w: np.ndarray, clusters: np.ndarray, costs: np.ndarray, sizes: np.ndarray, config: Config, left_out: frozenset[int] = frozenset()) -> list[tuple[int, float]]:
-    """(sentence, score) in the order of choice, for one set. `costs` are in the budget's unit, `sizes` characters for cost weights."""
+    One clustering. The state is cut into the shared folder each step. With a config, `sents` has text and tokens.
+    """
+    shared_checkpoints(full.sparkSession)
+    if config is None:
+        sents = sents.select("set_id", "sent_idx", F.lit(1.0).alias("cost"), F.lit(1.0).alias("size"), F.lit(False).alias("out"))
+        config = Config(length=steps, unit="SENTENCES", diversity=diversity, coverage=coverage, singleton=False)
+    else:
+        sents = sents.select("set_id", "sent_idx", cost(config).cast("double").alias("cost"), F.greatest(F.length("text"), F.lit(1)).cast("double").alias("size"), left_out(config).alias("out"), "text")
+    full, clusters, sents = full.checkpoint(), clusters.select("set_id", "sent_idx", "k").checkpoint(), sents.checkpoint()
+    if config.prune:
+        weak = pruned(full, sents, config.prune).withColumn("weak", F.lit(True))
+        sents = sents.join(weak, ["set_id", "sent_idx"], "left").withColumn("out", F.col("out") | F.coalesce("weak", F.lit(False))).checkpoint()
+    deg = degrees(full, sents, config.coverage).join(clusters, ["set_id", "sent_idx"]).join(sents.select("set_id", "sent_idx", "cost", "size", "out"), ["set_id", "sent_idx"]).checkpoint()
+    nobody = "set_id " + dict(deg.dtypes)["set_id"] + ", step int, sent_idx int, score double, cost double, kept boolean"
+    chosen = full.sparkSession.createDataFrame([], nobody)  # with those that a strict budget passes over, kept false
+    while True:
+        kept = chosen.where("kept")
+        scored = _scores(full, deg, kept, config)
+        spent = kept.groupBy("set_id").agg(F.sum("cost").alias("spent"), F.count("*").alias("done"))
+        rows = scored.where("not out").join(chosen.select("set_id", "sent_idx"), ["set_id", "sent_idx"], "left_anti").join(spent, "set_id", "left").withColumns({"spent": F.coalesce("spent", F.lit(0.0)), "done": F.coalesce("done", F.lit(0))})
+        ranked = F.col("score") / F.pow("size", F.lit(config.cost_exponent)) if config.cost_weight else F.col("score")
+        rows = rows.where(F.col("spent") < config.length).withColumn("rank", F.round(ranked, 9))
+        best = rows.groupBy("set_id").agg(F.max(F.struct("rank", (-F.col("sent_idx")).alias("ni"), F.round("score", 9).alias("score"), "cost", "spent", "done")).alias("m")).where("m.rank > 0")
+        fits = F.lit(True) if not config.strict_length else F.col("m.spent") + F.col("m.cost") <= config.length
+        best = best.select("set_id", (F.col("m.done") + 1).cast("int").alias("step"), (-F.col("m.ni")).alias("sent_idx"), F.col("m.score").alias("score"), F.col("m.cost").alias("cost"), fits.alias("kept")).checkpoint()
+        if best.isEmpty():
+            break
+        chosen = chosen.union(best).checkpoint()
+    chosen = chosen.where("kept").select("set_id", "step", "sent_idx", "score")
+    if not config.singleton:
+        return chosen
+    alone = _scores(full, deg, chosen.limit(0), config).where(~F.col("out") & (F.col("cost") <= config.length))
+    alone = alone.groupBy("set_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("sent_idx")).alias("ni"))).alias("m"))
+    last = chosen.groupBy("set_id").agg(F.max_by("score", "step").alias("last"))
+    better = alone.join(last, "set_id").where("m.score > last").select("set_id", F.lit(1).alias("step"), (-F.col("m.ni")).alias("sent_idx"), F.col("m.score").alias("score")).checkpoint()
+    return chosen.join(better.select("set_id"), "set_id", "left_anti").union(better)
+
+
+def _scores(full: DataFrame, deg: DataFrame, chosen: DataFrame, config: Config) -> DataFrame:
+    """`deg` with the objective (`score`) of each sentence added to those chosen in its set."""
+    near = full.join(chosen.select("set_id", F.col("sent_idx").alias("j")), ["set_id", "j"]).groupBy("set_id", F.col("i").alias("sent_idx")).agg(F.sum("s").alias("got"))
+    state = deg.join(near, ["set_id", "sent_idx"], "left").withColumn("got", F.coalesce("got", F.lit(0.0))).join(chosen.select("set_id", "sent_idx", F.lit(1).alias("in")), ["set_id", "sent_idx"], "left")
+    used = state.groupBy("set_id", "k").agg(F.sum(F.when(F.col("in") == 1, F.col("r")).otherwise(0.0)).alias("rk"))
+    gain = full.join(state.select("set_id", F.col("sent_idx").alias("i"), "got", "cap"), ["set_id", "i"]).groupBy("set_id", F.col("j").alias("sent_idx")).agg(F.sum(F.least(F.col("got") + F.col("s"), F.col("cap")) - F.least("got", "cap")).alias("gain"))
+    base = state.groupBy("set_id").agg(F.sum(F.least("got", "cap")).alias("base"), F.count("in").alias("before")).join(used.groupBy("set_id").agg(F.sum(F.sqrt("rk")).alias("roots")), "set_id")
+    rows = deg.join(gain, ["set_id", "sent_idx"], "left").join(base, "set_id").join(used, ["set_id", "k"])
+    spread = F.col("roots") - F.sqrt("rk") + F.sqrt(F.col("rk") + F.col("r"))
+    if config.mean_diversity:
+        spread = F.when(F.col("before") == 0, F.col("r")).otherwise(spread)
+    return rows.withColumn("score", F.col("base") + F.coalesce("gain", F.lit(0.0)) + config.diversity * spread).drop("base", "before", "roots", "rk", "gain")
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir, which driver and executors share; in local mode, where it is unset, to a temporary folder."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="abridge-"))
+
+
+def cost(config: Config) -> Column:
+    """What a sentence takes of the budget: tokens, bytes with a blank after each, or 1; counted as `pieces`, runs of letters and digits (a sign in front makes one more), or characters."""
+    return _cost_of({"text": F.col("text"), "tokens": F.col("tokens")}, config)
+
+
+def left_out(config: Config) -> Column:
+    """Whether a sentence holds one of the pronouns that are to be left out."""
+    return F.exists(F.split(F.lower("text"), r"\W+"), lambda w: w.isin(*config.pronouns)) if config.pronouns else F.lit(False)
+
+
+def kernel_select(w: np.ndarray, clusters: np.ndarray | list[np.ndarray], costs: np.ndarray, sizes: np.ndarray, config: Config, left_out: frozenset[int] = frozenset(), at_step=None) -> list[tuple[int, float]]:
+    """(sentence, score) in the order of choice, for one set. `costs` are in the budget's unit, `sizes` characters for cost weights.
+
+    With several clusterings diversity is their mean. `at_step(number chosen)`, if given, has the matrix, clusterings and
+    sentences left out for each step. With `mean_diversity` a sentence alone counts its mean, without a root.
+    """
     n = len(w)
-    degree = w.sum(axis=1)
-    cap, r = degree * config.coverage / n, w.sum(axis=0) / n
-    got, rk = np.zeros(n), np.zeros(int(clusters.max()) + 1 if n else 1)
-    open_ = np.ones(n, bool)
-    open_[list(left_out)] = False
+    several = clusters if isinstance(clusters, list) else [clusters]
+    open_, out = np.ones(n, bool), np.zeros(n, bool)
+    out[list(left_out)] = True
+    picks: list[int] = []
     chosen: list[tuple[int, float]] = []
     spent = 0.0
 
-    def scores(got, rk):
-        cover = np.minimum(got[:, None] + w, cap[:, None]).sum(axis=0)
-        roots = np.sqrt(rk)
-        return cover + config.diversity * (roots.sum() - roots[clusters] + np.sqrt(rk[clusters] + r))
+    def state(picks: list[int]):
+        r = w.sum(axis=0) / n
+        got = w[:, picks].sum(axis=1) if picks else np.zeros(n)
+        return w.sum(axis=1) * config.coverage / n, r, got, [np.bincount(c[picks], r[picks], int(c.max()) + 1) if picks else np.zeros(int(c.max()) + 1) for c in several]
 
-    while spent < config.length and open_.any():
-        value = scores(got, rk)
+    def scores(cap, r, got, rks, first: bool):
+        cover = np.minimum(got[:, None] + w, cap[:, None]).sum(axis=0)
+        if first and config.mean_diversity:
+            return cover + config.diversity * r
+        spread = np.zeros(n)
+        for c, rk in zip(several, rks):
+            roots = np.sqrt(rk)
+            spread += roots.sum() - roots[c] + np.sqrt(rk[c] + r)
+        return cover + config.diversity * spread / len(several)
+
+    cap, r, got, rks = state(picks) if n else (None,) * 4
+    while spent < config.length and (open_ & ~out).any():
+        if at_step is not None:
+            w, several, left_out = at_step(len(picks))
+            out[:] = False
+            out[list(left_out)] = True
+            cap, r, got, rks = state(picks)
+        value = scores(cap, r, got, rks, not picks)
         ranked = value / np.maximum(sizes, 1) ** config.cost_exponent if config.cost_weight else value
-        ranked = np.where(open_, np.round(ranked, 9), -np.inf)
+        ranked = np.where(open_ & ~out, np.round(ranked, 9), -np.inf)
         best = int(ranked.argmax())
         if not ranked[best] > 0:
             break
@@ -119,13 +186,19 @@ def kernel_select(w: np.ndarray, clusters: np.ndarray, costs: np.ndarray, sizes:
         if config.strict_length and spent + costs[best] > config.length:
             continue
         got = got + w[:, best]
-        rk[clusters[best]] += r[best]
+        for c, rk in zip(several, rks):
+            rk[c[best]] += r[best]
+        picks.append(best)
         spent += costs[best]
         chosen.append((best, round(float(value[best]), 9)))
     if config.singleton and chosen:
-        alone = np.round(scores(np.zeros(n), np.zeros(len(rk))), 9)
+        last = chosen[-1][1]
+        if at_step is not None:
+            w, several, left_out = at_step(0)
+            last = round(_objective(w, several, picks, config), 9)
+        alone = np.round(scores(*state([]), True), 9)
         alone[(costs > config.length) | np.isin(np.arange(n), list(left_out))] = -np.inf
-        if alone.max() > chosen[-1][1]:
+        if alone.max() > last:
             best = int(alone.argmax())
             return [(best, float(alone[best]))]
     return chosen
@@ -139,10 +212,13 @@ def dense(i: np.ndarray, j: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
 
 
 def cosine_matrix(sent: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Dense cosine of sparse rows, terms in blocks so that no sentences x terms matrix is held."""
+    """Dense cosine of sparse rows. Terms of one sentence count in its norm only; the others go in blocks, so that no sentences x terms matrix is held."""
     _, t = np.unique(term, return_inverse=True)
     size = np.sqrt(np.bincount(sent, weight * weight, n))
     unit = weight / np.where(size == 0, 1, size)[sent]
+    shared = np.bincount(t)[t] > 1 if len(t) else np.zeros(0, bool)
+    sent, unit = sent[shared], unit[shared]
+    _, t = np.unique(t[shared], return_inverse=True)
     w, order = np.zeros((n, n)), np.argsort(t, kind="stable")
     sent, t, unit = sent[order], t[order], unit[order]
     for low in range(0, int(t[-1]) + 1 if len(t) else 0, 512):
@@ -154,6 +230,80 @@ def cosine_matrix(sent: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int
     return w
 
 
+def _objective(w: np.ndarray, several: list[np.ndarray], picks: list[int], config: Config) -> float:
+    """Coverage and diversity of a whole choice."""
+    n, r = len(w), w.sum(axis=0) / len(w)
+    cover = np.minimum(w[:, picks].sum(axis=1), w.sum(axis=1) * config.coverage / n).sum()
+    if len(picks) == 1 and config.mean_diversity:
+        return float(cover + config.diversity * r[picks[0]])
+    spread = sum(np.sqrt(np.bincount(c[picks], r[picks], int(c.max()) + 1)).sum() for c in several) / len(several)
+    return float(cover + config.diversity * spread)
+
+
+def word_cells(words: list, stop: frozenset[str], bigrams: bool, floor: bool = False, zero_as_one: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, term, tf-idf) of one set's words, as `terms.bag`, `terms.idf` over sentences and `terms.weighted` give them."""
+    number: dict[str, int] = {}
+    sent, term = [], []
+    for k, row in enumerate(words):
+        found = [w for w in row if w not in stop]
+        if bigrams:
+            found += [f"{a} {b}" for a, b in zip(row, row[1:])]
+        sent += [k] * len(found)
+        term += [number.setdefault(t, len(number)) for t in found]
+    cells, tf = np.unique(np.array(sent, np.int64) * max(1, len(number)) + np.array(term, np.int64), return_counts=True)
+    sent_, term_ = np.divmod(cells, max(1, len(number)))
+    share = len(words) / np.maximum(np.bincount(term_, minlength=len(number)), 1)
+    idf = np.log10(np.floor(share) if floor else share)
+    if zero_as_one:
+        idf[idf == 0] = 1.0
+    weight = tf * idf[term_]
+    keep = weight != 0
+    return sent_[keep], term_[keep], weight[keep]
+
+
+def select_documents(docs: DataFrame, config: Config, stop: tuple[str, ...] = (), set_col: str = "doc_id", text_col: str = "text", split: bool = True) -> DataFrame:
+    """(set_id, step, sent_idx, score, line) for sets of one document each, by tf-idf cosine of unstemmed words: the whole way in one pass over the rows, nothing is shuffled.
+
+    The same sentences and scores as `select_by_kernel` on `tfidf_weights`. A row is a set; its sentences must fit in a task (their square of doubles).
+    """
+    parts = sentences_of(docs, set_col, text_col, config.min_tokens, split)
+    sents = F.transform("sents", lambda s: F.struct(s["text"].alias("text"), s["tokens"].alias("tokens")))
+    per = lambda f: F.transform(sents, f)
+    rows = parts.select(
+        "set_id", F.transform("sents", lambda s: word_array(s["tokens"])).alias("words"), per(lambda s: _cost_of(s, config)).alias("costs"), per(lambda s: F.length(s["text"]).cast("double")).alias("sizes"),
+        per(lambda s: F.exists(F.split(F.lower(s["text"]), r"\W+"), lambda w: w.isin(*config.pronouns)) if config.pronouns else F.lit(False)).alias("out"), per(lambda s: F.array_join(s["tokens"], " ")).alias("lines"),
+    ).where(F.size("words") > 0)
+    listed, key = frozenset(stop), dict(rows.dtypes)["set_id"]
+
+    def run(batches):
+        for batch in batches:
+            sets, steps, sents, scores, lines = [], [], [], [], []
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    n = len(r["words"])
+                    w = cosine_matrix(*word_cells(r["words"], listed, config.bigrams, config.idf_mode == "floor", config.zero_idf_as_one), n)
+                    found = kernel_select(w, kernel_medoids(w, config.seed), np.array(r["costs"], float), np.array(r["sizes"], float), config, _left_out(w, np.array(r["out"], int), config))
+                    sets += [r["set_id"]] * len(found)
+                    steps += range(1, len(found) + 1)
+                    sents += [k for k, _ in found]
+                    scores += [x for _, x in found]
+                    lines += [r["lines"][k] for k, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, batch.schema.field(0).type), pa.array(steps, pa.int32()), pa.array(sents, pa.int32()), pa.array(scores, pa.float64()), pa.array(lines, pa.string())], ["set_id", "step", "sent_idx", "score", "line"])
+
+    return rows.mapInArrow(run, f"set_id {key}, step int, sent_idx int, score double, line string")
+
+
+def _cost_of(s: Column, config: Config) -> Column:
+    """`cost` for a sentence as a struct of text and tokens."""
+    if config.unit == "SENTENCES":
+        return F.lit(1.0)
+    if config.counting == "pieces":
+        pieces = F.split(s["text"], r"[^\p{L}\p{Nd}]+")
+        words = F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
+        return (words if config.unit == "WORDS" else F.length(s["text"])).cast("double")
+    return (F.size(s["tokens"]) if config.unit == "WORDS" else F.octet_length(s["text"]) + 1).cast("double")
+
+
 def _left_out(w: np.ndarray, pronoun: np.ndarray, config: Config) -> frozenset[int]:
     """Sentences with a pronoun, and those of least degree that are pruned."""
     out = set(np.flatnonzero(pronoun == 1).tolist())
@@ -169,10 +319,8 @@ def select_by_kernel(weights: DataFrame, sents: DataFrame, config: Config) -> Da
 
     Each set must fit in a task (its square of doubles); use `greedy` beyond that.
     """
-    unit = {"WORDS": F.size("tokens"), "SENTENCES": F.lit(1), "CHARACTERS": F.octet_length("text") + 1}[config.unit]
-    left_out = F.exists(F.split(F.lower("text"), r"\W+"), lambda w: w.isin(*config.pronouns)) if config.pronouns else F.lit(False)
     cells = weights.where("tfidf <> 0").select("set_id", F.col("sent_idx").cast("int").alias("a"), F.xxhash64("term").alias("b"), F.col("tfidf").alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("kind"))
-    heads = sents.select("set_id", F.col("sent_idx").cast("int").alias("a"), left_out.cast("long").alias("b"), unit.cast("double").alias("x"), F.length("text").cast("double").alias("y"), F.lit(1).alias("kind"))
+    heads = _heads(sents, config)
     key = dict(sents.dtypes)["set_id"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -189,31 +337,154 @@ def select_by_kernel(weights: DataFrame, sents: DataFrame, config: Config) -> Da
     return cells.union(heads).groupBy("set_id").applyInPandas(run, f"set_id {key}, step int, sent_idx int, score double")
 
 
-def select_by_matrix(pairs: DataFrame, sents: DataFrame, config: Config, cosine: DataFrame | None = None) -> DataFrame:
-    """As `select_by_kernel`, for any measure given as (set_id, i, j, s), i < j; clusters are those of `cosine`, of the same form, if given."""
-    unit = {"WORDS": F.size("tokens"), "SENTENCES": F.lit(1), "CHARACTERS": F.octet_length("text") + 1}[config.unit]
-    left_out = F.exists(F.split(F.lower("text"), r"\W+"), lambda w: w.isin(*config.pronouns)) if config.pronouns else F.lit(False)
+def _scaled(s: np.ndarray, cells: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """Min-max over cells (and 1, if the diagonal counts); a constant measure becomes 1. 0 elsewhere."""
+    if not cells.any():
+        return np.zeros_like(s)
+    low, high = s[cells].min(), s[cells].max()
+    if diagonal:
+        low, high = min(low, 1.0), max(high, 1.0)
+    return np.where(cells, (s - low) / (high - low) if high > low else 1.0, 0.0)
+
+
+def fraction_matrix(share: np.ndarray) -> np.ndarray:
+    """`measures.sentiment_pairs` of one set."""
+    return _scaled(1 - np.abs(share[:, None] - share[None, :]), ~np.eye(len(share), dtype=bool), True)
 
-    def cells_of(pairs: DataFrame, kind: int) -> DataFrame:
-        return pairs.select("set_id", F.col("i").cast("int").alias("a"), F.col("j").cast("int").alias("b"), F.col("s").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(kind).alias("kind"))
 
-    cells = cells_of(pairs, 0) if cosine is None else cells_of(pairs, 0).union(cells_of(cosine, 2))
-    heads = sents.select("set_id", F.col("sent_idx").cast("int").alias("a"), left_out.cast("int").alias("b"), unit.cast("double").alias("x"), F.length("text").cast("double").alias("y"), F.lit(1).alias("kind"))
+def embedding_matrix(vectors: list, n: int) -> np.ndarray:
+    """`measures.embedding_pairs` of one set; sentences without a vector, or with a zero one, have 0."""
+    known = [k for k, v in enumerate(vectors) if v is not None and np.any(v)]
+    w = np.zeros((n, n))
+    if len(known) > 1:
+        x = np.array([vectors[k] for k in known], float)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        w[np.ix_(known, known)] = _scaled(0.5 * (x @ x.T + 1), ~np.eye(len(known), dtype=bool))
+    return w
+
+
+def kernel_combined(mats: list[np.ndarray], cells: list[np.ndarray], how: str, weights: list[float] | None = None) -> np.ndarray:
+    """`combine.combined` of one set's matrices; `cells` are those that each measure has. The diagonal is 1."""
+    n, some = len(mats), np.logical_or.reduce(cells)
+    np.fill_diagonal(some, False)
+    if how == "mult":
+        out = np.prod(mats, axis=0)
+        out = _scaled(out, some) if n > 1 else out
+    elif how == "avg":
+        out = sum(m * x for m, x in zip(mats, weights or [1 / n] * n) if x)
+        out = out if isinstance(out, np.ndarray) else np.zeros_like(mats[0])
+    elif how in ("max", "min"):
+        out = np.max(mats, axis=0) if how == "max" else np.min(mats, axis=0)
+    else:
+        p = float(how[1:])
+        out = np.sum([np.power(m, p) for m in mats], axis=0) ** (1 / p)
+        top = out[some].max() if some.any() else 0
+        out = out / top if top > 0 else np.zeros_like(out)
+    out = np.where(some, out, 0.0)
+    np.fill_diagonal(out, 1.0 if weights is None else sum(weights))
+    return out
+
+
+def _choice(mats: list[np.ndarray], cells: list[np.ndarray], near: np.ndarray | None, head: pd.DataFrame, config: Config, steps: list[list[float]] | None) -> list[tuple[int, float]]:
+    """The choice of one set from its matrices. Clusters are those of `near` if given, of each matrix, or of the combined one.
+
+    With `steps`, weights of the matrices for each step, averages, what is pruned and clusters of the combined one are made anew
+    each time; past the last step all weigh the same.
+    """
+    costs, sizes, pronoun = head["x"].to_numpy(float), head["y"].to_numpy(float), head["b"].to_numpy()
+    n = len(mats)
+    if near is not None:
+        fixed = [kernel_medoids(near, config.seed)]
+    else:
+        fixed = [kernel_medoids(np.where(np.eye(len(m), dtype=bool), 1.0, m), config.seed) for m in mats] if config.clusterings == "each" else None
+    one = lambda w: (w, fixed or [kernel_medoids(w, config.seed)], _left_out(w, pronoun, config))
+    if not steps:
+        w, several, out = one(kernel_combined(mats, cells, config.aggregate))
+        return kernel_select(w, several, costs, sizes, config, out)
+    known: dict[int, tuple] = {}
+
+    def at_step(k: int):
+        k = min(k, len(steps))
+        if k not in known:
+            known[k] = one(kernel_combined(mats, cells, "avg", steps[k] if k < len(steps) else [1 / n] * n))
+        return known[k]
+
+    w, several, out = at_step(0)
+    return kernel_select(w, several, costs, sizes, config, out, at_step)
+
+
+def _rows_of(group: pd.DataFrame, ids: np.ndarray, found: list[tuple[int, float]]) -> pd.DataFrame:
+    return pd.DataFrame({"set_id": [group["set_id"].iloc[0]] * len(found), "step": np.arange(1, len(found) + 1), "sent_idx": [int(ids[k]) for k, _ in found], "score": [s for _, s in found]})
+
+
+def _heads(sents: DataFrame, config: Config) -> DataFrame:
+    return sents.select("set_id", F.col("sent_idx").cast("int").alias("a"), left_out(config).cast("long").alias("b"), cost(config).cast("double").alias("x"), F.length("text").cast("double").alias("y"), F.lit(1).alias("kind"))
+
+
+def select_by_features(weights: DataFrame | None, features: DataFrame, sents: DataFrame, config: Config, measures: tuple[str, ...], near: bool, steps: list[list[float]] | None = None) -> DataFrame:
+    """(set_id, step, sent_idx, score) with any of the measures `pos`, `neg`, `embed`, `tfidf`, made and combined in one task for each set.
+
+    `features` is (set_id, sent_idx, pos, neg, vec). No pair of sentences is a row, so what is shuffled grows with the text, not with the
+    square of a set. `near`: clusters are those of the tf-idf cosine. Each set must fit in a task.
+    """
+    none = F.lit(None).cast("array<double>")
+    cells = None if weights is None else weights.where("tfidf <> 0").select("set_id", F.col("sent_idx").cast("int").alias("a"), F.xxhash64("term").alias("b"), F.col("tfidf").alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("kind"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), none.alias("vec"))
+    given = weights is not None
+    heads = _heads(sents, config).join(features.select("set_id", F.col("sent_idx").cast("int").alias("a"), "pos", "neg", "vec"), ["set_id", "a"], "left").select("set_id", "a", "b", "x", "y", "kind", "pos", "neg", "vec")
     key = dict(sents.dtypes)["set_id"]
 
-    apart = cosine is not None
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        head, cell = group[group["kind"] == 1].sort_values("a"), group[group["kind"] == 0]
+        ids, n = head["a"].to_numpy(), len(head)
+        place = np.full(int(ids.max()) + 1, -1)
+        place[ids] = np.arange(n)
+        cosine = cosine_matrix(place[cell["a"].to_numpy()], cell["b"].to_numpy(), cell["x"].to_numpy(float), n) if given else None
+        mats, has, off = [], [], ~np.eye(n, dtype=bool)
+        for name in measures:
+            if name == "tfidf":
+                m = np.where(off, cosine, 0.0)
+            elif name == "embed":
+                m = embedding_matrix([None if v is None else np.asarray(v, float) for v in head["vec"]], n)
+            else:
+                m = fraction_matrix(head[name].fillna(0.0).to_numpy(float))
+            mats.append(m)
+            vectors = [v is not None for v in head["vec"]]
+            has.append(off & (m != 0) if name == "tfidf" else off & np.outer(vectors, vectors) if name == "embed" else off)
+        return _rows_of(group, ids, _choice(mats, has, cosine if near else None, head, config, steps))
+
+    rows = heads if cells is None else cells.union(heads)
+    return rows.groupBy("set_id").applyInPandas(run, f"set_id {key}, step int, sent_idx int, score double")
+
+
+def select_by_matrix(stack: DataFrame, n: int, sents: DataFrame, config: Config, cosine: DataFrame | None = None, steps: list[list[float]] | None = None) -> DataFrame:
+    """As `select_by_features`, for measures given as (set_id, matrix_id, i, j, s), i < j; clusters are those of `cosine` (set_id, i, j, s), if given."""
+
+    def cells_of(pairs: DataFrame, kind) -> DataFrame:
+        return pairs.select("set_id", F.col("i").cast("int").alias("a"), F.col("j").cast("long").alias("b"), F.col("s").cast("double").alias("x"), F.lit(0.0).alias("y"), kind.cast("int").alias("kind"))
+
+    cells = cells_of(stack, F.col("matrix_id") + 10)
+    if cosine is not None:
+        cells = cells.union(cells_of(cosine, F.lit(2)))
+    apart, key = cosine is not None, dict(sents.dtypes)["set_id"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         head = group[group["kind"] == 1].sort_values("a")
         ids = head["a"].to_numpy()
         place = np.full(int(ids.max()) + 1, -1)
         place[ids] = np.arange(len(ids))
-        w, near = (dense(place[cell["a"].to_numpy()], place[cell["b"].to_numpy()], cell["x"].to_numpy(float), len(ids)) for cell in (group[group["kind"] == k] for k in (0, 2)))
-        out = _left_out(w, head["b"].to_numpy(), config)
-        found = kernel_select(w, kernel_medoids(near if apart else w, config.seed), head["x"].to_numpy(), head["y"].to_numpy(), config, out)
-        return pd.DataFrame({"set_id": [group["set_id"].iloc[0]] * len(found), "step": np.arange(1, len(found) + 1), "sent_idx": [int(ids[k]) for k, _ in found], "score": [s for _, s in found]})
 
-    return cells.union(heads).groupBy("set_id").applyInPandas(run, f"set_id {key}, step int, sent_idx int, score double")
+        def matrix(kind: int, diagonal: float) -> tuple[np.ndarray, np.ndarray]:
+            cell = group[group["kind"] == kind]
+            i, j = place[cell["a"].to_numpy()], place[cell["b"].to_numpy()]
+            w, has = dense(i, j, cell["x"].to_numpy(float), len(ids)), np.zeros((len(ids), len(ids)), bool)
+            has[i, j] = has[j, i] = True
+            np.fill_diagonal(w, diagonal)
+            return w, has
+
+        mats, has = zip(*(matrix(10 + m, 0.0) for m in range(n)))
+        return _rows_of(group, ids, _choice(list(mats), list(has), matrix(2, 1.0)[0] if apart else None, head, config, steps))
+
+    return cells.union(_heads(sents, config)).groupBy("set_id").applyInPandas(run, f"set_id {key}, step int, sent_idx int, score double")
 
 
 def sampled(sents: DataFrame, limit: int, seed: int = 7) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from abridge.functions.stem import porter
+from abridge.functions.stem2 import porter2_stems
 
 
 def occurrences(sents: DataFrame) -> DataFrame:
@@ -19,17 +20,17 @@ def with_terms(words: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "non
     out = words.withColumn("is_stop", F.col("word").isin(*stop) if stop else F.lit(False))
     if stemmer == "none":
         return out.withColumn("term", F.col("word"))
-    if stemmer != "porter":
+    if stemmer not in ("porter", "porter2"):
         raise ValueError(f"unknown stemmer {stemmer}")
-    stems = porter(words.select("word").distinct())  # one row for each distinct word
+    stems = (porter if stemmer == "porter" else porter2_stems)(words.select("word").distinct())  # one row for each distinct word
     return out.join(stems, "word").withColumn("term", F.when(F.col("is_stop"), F.col("word")).otherwise(F.col("stem"))).drop("stem")
 
 
-def bag(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", bigrams: bool = False, clusters: DataFrame | None = None) -> DataFrame:
+def bag(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", bigrams: bool = False, clusters: DataFrame | None = None, in_place: bool = False) -> DataFrame:
     """(set_id, sent_idx, term, tf): unigrams but stop words, and bigrams of a word with the one before it.
 
     Stop words take part in bigrams. `clusters` (word, cluster_id) adds the cluster of each unigram, and
-    bigrams with clusters for words, beside the originals. Without stems or clusters bigrams come from arrays; no
+    bigrams with clusters for words, beside the originals; or, `in_place`, puts clusters for the terms of words. Without stems or clusters bigrams come from arrays; no
     window is needed.
     """
     if stemmer == "none" and clusters is None:
@@ -44,6 +45,8 @@ def bag(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", big
     else:
         rows = rows.withColumn("cluster_id", F.lit(None).cast("string"))
     order = W.partitionBy("set_id", "sent_idx").orderBy("pos")
+    if in_place:
+        rows = rows.withColumns({"term": F.when(F.col("is_stop"), F.col("term")).otherwise(F.coalesce("cluster_id", "term")), "cluster_id": F.lit(None).cast("string")})
     rows = rows.withColumn("swapped", F.coalesce("cluster_id", "term")).withColumns({"prev": F.lag("term").over(order), "prev_swapped": F.lag("swapped").over(order)})
     single = [F.when(~F.col("is_stop"), F.col("term")), F.when(~F.col("is_stop"), F.col("cluster_id"))]
     double = []
@@ -61,19 +64,26 @@ def idf(terms: DataFrame, doc_cols: tuple[str, ...], set_cols: tuple[str, ...] =
     seen = terms.select(*set_cols, *doc_cols, "term").distinct()
     df = seen.groupBy(*set_cols, "term").agg(F.count("*").alias("df"))
     n = (docs if docs is not None else seen).select(*set_cols, *doc_cols).distinct().groupBy(*set_cols).agg(F.count("*").alias("n"))
-    joined = df.join(n, list(set_cols)) if set_cols else df.crossJoin(n)
+    joined = df.join(n, list(set_cols)) if set_cols else df.crossJoin(F.broadcast(n))  # one row
     ratio = F.floor(F.col("n") / F.col("df")) if mode == "floor" else F.col("n") / F.col("df")
     return joined.select(*set_cols, "term", "df", F.log10(ratio).alias("idf"))
 
 
+def corpus_idf(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", mode: str = "real", clusters: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) over the documents of a corpus, given as sentences with the document as set_id; bigrams always count."""
+    seen = bag(sents, stop, stemmer, True, clusters).select(F.col("set_id").alias("doc_id"), "term")
+    return idf(seen, ("doc_id",), (), mode, sents.select(F.col("set_id").alias("doc_id")))
+
+
 def filled(value: Column, zero_as_one: bool = False) -> Column:
     """A missing idf counts as 1; a zero one too, if asked for."""
     return F.coalesce(F.nullif(value, F.lit(0.0)) if zero_as_one else value, F.lit(1.0))
 
 
 def weighted(bags: DataFrame, idfs: DataFrame, zero_as_one: bool = False) -> DataFrame:
-    """(set_id, sent_idx, term, tf, idf, tfidf)."""
-    return bags.join(idfs.select("set_id", "term", "idf"), ["set_id", "term"], "left").withColumn("idf", filled(F.col("idf"), zero_as_one)).withColumn("tfidf", F.col("tf") * F.col("idf")).select("set_id", "sent_idx", "term", "tf", "idf", "tfidf")
+    """(set_id, sent_idx, term, tf, idf, tfidf). Idfs are those of a set, or, without a set_id, of a corpus of its own."""
+    keys = ["set_id", "term"] if "set_id" in idfs.columns else ["term"]
+    return bags.join(idfs.select(*keys, "idf"), keys, "left").withColumn("idf", filled(F.col("idf"), zero_as_one)).withColumn("tfidf", F.col("tf") * F.col("idf")).select("set_id", "sent_idx", "term", "tf", "idf", "tfidf")
 
 
 def norms(weights: DataFrame) -> DataFrame:

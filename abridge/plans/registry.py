@@ -173,7 +173,7 @@ def idf_sentence_freq(spark, d):
     return terms.bag(_sents(spark, d), STOP, bigrams=True).groupBy("set_id", "term").agg(F.count("*").alias("df"))
 
 
-@query(Q.cte(Q.tfidf()) + "SELECT set_id, sent_idx, term, tf, round(idf, 6) AS idf, round(tfidf, 6) AS tfidf FROM wt")
+@query(Q.cte(Q.sents(), Q.bag(), Q.IDF) + "SELECT set_id, sent_idx, term, tf, round(idf, 6) AS idf, round(tf * idf, 6) AS tfidf FROM bag JOIN idf USING (set_id, term)")
 def tfidf_terms(spark, d):
     return _rounded(_weights(_sents(spark, d)), "idf", "tfidf")
 
@@ -227,10 +227,11 @@ def _vectors(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     return placed.join(e, "vec_id").select("word", "vec")
 
 
-@query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED) + "SELECT set_id, sent_idx, list_transform(v, lambda x: round(x, 5)) AS vec FROM emb")
+@query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED) + "SELECT set_id, sent_idx, (d - 1)::INT AS d, round(x, 6) AS x FROM (SELECT set_id, sent_idx, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM emb)")
 def embed_sentence_mean(spark, d):
     s = _sents(spark, d)
-    return measures.sentence_embeddings(s, _vectors(spark, d, s), 64).withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
+    rows = measures.sentence_embeddings(s, _vectors(spark, d, s), 64)
+    return _rounded(rows.select("set_id", "sent_idx", F.posexplode("vec").alias("d", "x")), "x")
 
 
 @query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED, Q.EMBED_PAIRS) + "SELECT set_id, i, j, round(s, 6) AS s FROM embed")
@@ -369,14 +370,12 @@ def greedy_sentences(spark, d):
 
 
 def _chosen(spark, d, **options):
-    s = _sents(spark, d)
-    return s, select.select_by_kernel(_weights(s), s, Config(**options))
+    return select.select_documents(_docs(spark, d), Config(**options), STOP)
 
 
 def flagship(spark, d):
     """A summary of three sentences for each document: bag, idf, cosine, k-medoids, greedy choice, text."""
-    s, chosen = _chosen(spark, d, length=3, unit="SENTENCES", singleton=False)
-    return render.summary_text(chosen, s)
+    return render.chosen_lines(_chosen(spark, d, length=3, unit="SENTENCES", singleton=False))
 
 
 QUERIES["flagship"] = flagship
@@ -384,7 +383,7 @@ QUERIES["flagship"] = flagship
 
 def _kernel(name: str, doc: str, **options):
     def run(spark, d):
-        return _rounded(_chosen(spark, d, **options)[1], "score")
+        return _rounded(_chosen(spark, d, **options).drop("line"), "score")
 
     run.__name__, run.__doc__ = name, doc
     query()(run)
@@ -401,7 +400,7 @@ _kernel("greedy_nopronouns", "Without sentences that hold he, she or they.", len
 
 @query()
 def summary_numbers(spark, d):
-    return render.summary_numbers(_chosen(spark, d, length=3, unit="SENTENCES", singleton=False)[1])
+    return render.summary_numbers(_chosen(spark, d, length=3, unit="SENTENCES", singleton=False))
 
 
 @query(_DEG + """ SELECT set_id, sent_idx FROM (SELECT set_id, dg, max(sent_idx) AS sent_idx, any_value(n) AS n, row_number() OVER (PARTITION BY set_id ORDER BY dg) AS r

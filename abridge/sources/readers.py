@@ -19,13 +19,25 @@ def corpus_folders(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(f"{path}/*/sentences", wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
-def idf_documents(spark: SparkSession, sentences: DataFrame, path: str | None = None) -> DataFrame | None:
-    """Documents of a directory if one is named, else the sentences as one document, else nothing."""
+def idf_documents(spark: SparkSession, sentences: DataFrame | None, path: str | None = None) -> DataFrame | None:
+    """(doc_id, text): documents of a directory if one is named, else each sentence as a document, else nothing.
+
+    With one document alone every idf would be 0, so its sentences count; they stay apart, nothing is put into one row.
+    """
     if path:
         return text_documents(spark, path).select("doc_id", "text")
-    if sentences is not None:
-        return sentences.groupBy().agg(F.array_join(F.collect_list("text"), "\n").alias("text")).select(F.lit("sentences").alias("doc_id"), "text")
-    return None
+    return None if sentences is None else sentences.select(F.concat_ws(":", "set_id", "sent_idx").alias("doc_id"), "text")
+
+
+def clustering_file(spark: SparkSession, path: str, set_id: str = "input") -> DataFrame:
+    """(set_id, sent_idx, k) of a file that holds a cluster number for each sentence, one a line; -1 becomes cluster 0."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda c: c != "")).alias("sent_idx", "k"))
+    return lines.select(F.lit(set_id).alias("set_id"), "sent_idx", F.greatest(F.col("k").cast("int"), F.lit(0)).alias("k"))
+
+
+def records_of(ids: DataFrame, records: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The records of a table of ids, by one join; ids without a record are dropped, a repeated id brings its record once."""
+    return records.join(ids.select(id_col).distinct(), id_col, "left_semi")
 
 
 def similarity_matrix(spark: SparkSession, path: str, set_id: str = "input", matrix_id: int = 0) -> DataFrame:
@@ -63,7 +75,8 @@ def word_clusters(spark: SparkSession, path: str) -> DataFrame:
 def word2vec_binary(spark: SparkSession, path: str) -> DataFrame:
     """(word, vec) of binary word2vec files: a header `count dim`, then each word, a blank, and dim floats.
 
-    A file is read in one task, record after record, by the executor that has it.
+    A file is read in one task, record after record, by the executor that has it; Spark reads files of up to 2 GB
+    so. Larger ones are to be cut into several files, each with a header of its own, below one folder.
     """
 
     def run(batches):
@@ -89,3 +102,9 @@ def word2vec_binary(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(vectors, pa.list_(pa.float32()))], ["word", "vec"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "word string, vec array<float>")
+
+
+def word2vec_dim(vectors: DataFrame) -> int:
+    """The length of the vectors of a table (word, vec), 0 for an empty one."""
+    first = vectors.select(F.size("vec").alias("d")).first()
+    return first["d"] if first else 0
