@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch of rows that goes to Python at once; Spark's own limit is eight times that, and a task holds several.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches of this session that go to Python hold BATCH bytes at most, or one row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
     sc = spark.sparkContext

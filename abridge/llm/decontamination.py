@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from abridge.llm import textkit
+from abridge.llm.common import small_batches
 
 #: Bytes of test items in one pass over the documents: what is sent to the executors at once. More items make more passes.
 PASS_BYTES = 8 << 20
@@ -35,8 +36,8 @@ def cut_points(words: int, errors: int) -> list[int]:
     return [k * words // (errors + 1) for k in range(errors + 2)]
 
 
-def myers(pattern: list[int], text: list[int]) -> tuple[int, int]:
-    """Least edit distance between the pattern and any run of the text, and where the first such run ends."""
+def myers(pattern: list[int], text: list[int], anchored: bool = False) -> tuple[int, int]:
+    """Least edit distance between the pattern and any run of the text (if anchored, any that begins with it), and where the first such run ends."""
     m = len(pattern)
     equal: dict[int, int] = defaultdict(int)
     for k, w in enumerate(pattern):
@@ -53,7 +54,7 @@ def myers(pattern: list[int], text: list[int]) -> tuple[int, int]:
             score += 1
         elif minus & top:
             score -= 1
-        plus, minus = (plus << 1) & full, (minus << 1) & full
+        plus, minus = (plus << 1 | anchored) & full, (minus << 1) & full
         up, down = minus | (~(x | plus) & full), plus & x
         if score < best:
             best, end = score, j + 1
@@ -116,7 +117,9 @@ class Items:
                 distance, to = myers(self.lists[item], words[a:b].tolist())
                 if distance <= e and (best is None or distance < best[2]):
                     base = int(of[text])
-                    best = (text, item, distance, max(0, a + to - m - base), a + to - base)
+                    # Where the run begins: the pattern backwards from its end.
+                    _, size = myers(self.lists[item][::-1], words[a : a + to][::-1].tolist(), True)
+                    best = (text, item, distance, a + to - size - base, a + to - base)
             if best:
                 yield best
 
@@ -137,9 +140,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = SHARE,
     """(id, item, distance, budget, first_word, end_word) for each document and item that it holds within the item's budget.
 
     An item's place is given once, where its distance is least. Null and blank texts or items give nothing; an item without an id is searched too, its item id is null. Items under 1 / share words
-    must be met exactly. Rows that repeat an id each give their rows.
+    must be met exactly. Rows that repeat an id each give their rows. Texts are read whole, a text longer than a slice alone; empty
+    tables give no rows. Where both id columns have one name, the item's is called `benchmark_` and its name. Items are
+    sent in passes of PASS_BYTES, each a scan of the documents; nothing else grows with the benchmark.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col))
+    if item_col == id_col:
+        benchmark, item_col = benchmark.withColumnRenamed(item_col, f"benchmark_{item_col}"), f"benchmark_{item_col}"
     kind, item_kind = dict(rows.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance int, budget int, first_word int, end_word int"
@@ -165,6 +173,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = SHARE,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that hold no item within its budget. Nothing is shuffled."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for items in _passes(benchmark, item_col, item_text_col, share):
         sent = docs.sparkSession.sparkContext.broadcast(items)

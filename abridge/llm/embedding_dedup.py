@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abridge.llm.common import connected_components, stored
+from abridge.llm.common import connected_components, small_batches, stored
 
 #: Vectors that centres are fitted on at most, rows of a block, members of a cell aimed at, vectors for each centre in fitting.
 SAMPLE, BLOCK, CELL, EACH = 20_000, 4096, 2000, 20
@@ -132,6 +132,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
     cells are cut again, on up to EACH x INNER classes of each cell; every class is indexed. An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label"))
     inf = "double('Infinity')"
     fit = F.expr(f"vec_id is not null and label is not null and size(vec) > 0 and forall(vec, x -> x is not null and abs(x) < {inf}) and exists(vec, x -> x <> 0)")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abridge.llm import textkit
+from abridge.llm.common import small_batches
 from abridge.llm.pieces import REMEMBERED, pieces
 
 #: Ids in a packing window.
@@ -177,6 +178,7 @@ def pack_token_ids(docs: DataFrame, tokenizer: str, length: int = 2048, id_col:
         if names:
             yield from packed(names, flats, ends)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = dict(rows.dtypes)[id_col]
     schema = f"row_id long, n_ids int, input_ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, doc_offsets array<long>, id_bytes int"

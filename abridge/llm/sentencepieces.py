@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abridge.llm import textkit
-from abridge.llm.common import stored, worker_cache
+from abridge.llm.common import small_batches, stored, worker_cache
 
 #: Characters of a chunk; a longer document is a giant.
 CHUNK = 32_768
@@ -258,7 +258,7 @@ class Model:
 
     def _numbered(self, units: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units; characters without a piece become the ids of their bytes."""
-        ids = np.where(units >= 0, self.merger.ids[units], units)
+        ids = np.where(units >= 0, self.merger.ids[np.maximum(units, 0)], units)
         odd = ids < 0
         if not odd.any():
             return ids.astype(np.int32), many
@@ -511,6 +511,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", chunk: int
     whether decoding gives the text again; it does unless the text holds the blank sign U+2581 itself,
     which the model reads as a blank.
     """
+    small_batches(docs.sparkSession)
     rows = docs.drop("piece_ids", "round_trip")
     at = rows.columns.index(text_col)
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)

@@ -1,8 +1,8 @@
 """Proportional stratified interleaving: shards that each hold the mixture of sources. [native]
 
 Rows are shuffled within their source by a seeded hash; row r of a source of n gets the fraction
-(2r - 1) / 2n. Sorted by that fraction, the sources interleave in proportion, and a cut into equal runs
-gives shards whose row counts differ by one at most.
+(r - h) / n, h a seeded hash of the source from 0 to 1. Sorted by that fraction, the sources interleave in proportion, and a cut into equal runs
+gives shards whose row counts differ by one at most. (With 1/2 for h, many sources of one row each would all meet at one place.)
 
 Neither rank is taken in one window over a source or over the table: rows fall into BUCKETS hash
 prefixes (then ranges of the fraction), buckets are counted with partial sums, and only the counts are
@@ -21,8 +21,10 @@ from abridge.llm.common import stored
 PREFIX, BUCKETS = 3, 16**3
 
 
-def shuffle_key(seed: int, id_col: str) -> str:
-    return f"md5(concat('{seed}:', coalesce(cast(`{id_col}` as string), '')))"
+def shuffle_key(seed: int, id_col: str, text_col: str) -> str:
+    """Rows without an id are told apart by their texts."""
+    text = f"coalesce(`{text_col}`, '')"
+    return f"md5(concat('{seed}:', coalesce(cast(`{id_col}` as string), concat('null:', crc32({text}), ':', octet_length({text})))))"
 
 
 def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -30,8 +32,7 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col:
 
     size is the text's UTF-8 bytes plus 16, text_crc32 that of its UTF-8 bytes; a null text counts as empty.
     The law is `rows`: shards 0 to `shards` - 1 differ by one row at most; slot counts from 0 in each.
-    A null source is a source of its own; null ids share a shuffle key and are ordered by
-    checksum. Rows that repeat each have a slot. An empty table gives no rows. `keep` names columns of
+    A null source is a source of its own; rows without an id have their text's checksum and size for it. Rows that repeat each have a slot. An empty table gives no rows. `keep` names columns of
     `docs` that travel along.
     """
     rows = docs.select(
@@ -39,7 +40,8 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col:
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").__add__(16).alias("__size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("__crc"),
         F.struct(F.col(source_col).cast("string")).alias("__src"),
-        F.expr(shuffle_key(seed, id_col)).alias("__key"),
+        F.expr(shuffle_key(seed, id_col, text_col)).alias("__key"),
+        (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)).alias("__h"),
         *keep,
     ).withColumn("__b", F.substring("__key", 1, PREFIX))
     parts = rows.groupBy("__src", "__b").agg(F.count("*").alias("k"))
@@ -51,7 +53,7 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col:
     )
     within = W.partitionBy("__src", "__b").orderBy("__key", "__id", "__crc", "__size")
     ranked = rows.join(parts, ["__src", "__b"]).withColumn("r", F.row_number().over(within) + F.col("before"))
-    ranked = ranked.withColumn("__frac", F.expr("(2 * r - 1) / (2.0D * n)")).drop("before", "n", "r", "__b")
+    ranked = ranked.withColumn("__frac", F.expr("(r - __h) / n")).drop("before", "n", "r", "__b", "__h")
     ranked = stored(ranked.withColumn("__g", F.floor(F.col("__frac") * BUCKETS).cast("int")), "ranked")
 
     ranges = ranked.groupBy("__g").agg(F.count("*").alias("k"))

@@ -24,11 +24,10 @@ sums AS (
       lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc
   FROM hexed, steps),
 ranked AS (
-  SELECT *, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS key,
-    row_number() OVER (PARTITION BY source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, '')), doc_id, crc) AS r,
-    count(*) OVER (PARTITION BY source) AS n FROM sums),
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, crc) AS r, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT *, md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || crc || ':' || (size - 16))) AS key, ('0x' || substr(md5('17:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS h FROM sums)),
 placed AS (
-  SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2.0::DOUBLE * n), source, key, doc_id, crc) - 1 AS spot, count(*) OVER () AS m FROM ranked)
+  SELECT *, row_number() OVER (ORDER BY (r - h) / n, source, key, doc_id, crc) - 1 AS spot, count(*) OVER () AS m FROM ranked)
 SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, (spot * 40 // m)::INT AS shard,
   (spot - ((spot * 40 // m) * m + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard
 FROM placed

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abridge.llm import textkit
+from abridge.llm.common import small_batches
 from abridge.llm.pieces import pieces
 
 
@@ -41,6 +42,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
                 counts.append(_sums(np.array(each, np.int64)[which], first))
             yield pa.RecordBatch.from_arrays([batch.column(0), size.cast(pa.int64()), pa.array(np.concatenate(counts))], [id_col, "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = dict(rows.dtypes)[id_col]
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

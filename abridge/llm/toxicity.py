@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abridge.llm import textkit
-from abridge.llm.common import stored
+from abridge.llm.common import small_batches, stored
 
 #: Labelled documents learned from at most, of each label.
 SAMPLE = 6000
-#: Patterns, and exception phrases, at most.
-PATTERNS = 4000
 STEMS = (4, 5, 6, 7)
 
 # Digits and signs as the letters they replace; letters of other scripts as the Latin ones they resemble.
@@ -165,13 +163,17 @@ def _contexts(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[p
 def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn from the `sample` labelled documents of least id hash, of each label; the bound is for fitting alone.
 
-    Without documents of both labels the lexicon is empty and scores are nearly 0.
+    Patterns must be met in a hundredth of the toxic documents, so there are at most 100 x the mean number of terms of one.
+    Of terms met in as many toxic documents the longest stands for all, so a stem is not learned from one word. Rows that repeat an id all count,
+    with the id's greatest label; of equal texts one does, toxic if any is. Null texts are not learned from. Without documents of both labels the
+    lexicon is empty and scores are nearly 0.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     drawn = [ids.where(F.col("__y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample) for y in (1, 0)]
     taken = F.broadcast(drawn[0].union(drawn[1]))  # 2 x sample rows
-    rows = stored(docs.join(taken, id_col).select(F.col(text_col).alias("text"), "__y").dropDuplicates(["text"]), "labelled")
+    rows = stored(docs.join(taken, id_col).select(F.col(text_col).alias("text"), "__y").where("text is not null").groupBy("text").agg(F.max("__y").alias("__y")), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
     if len(n) < 2:
         return Lexicon()
@@ -179,19 +181,22 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
     least = max(4, n[1] // 100)
     terms = rows.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # Purity before frequency: a stem must be met nearly only in toxic documents.
-    strong = terms.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term").limit(PATTERNS).collect()
+    strong = terms.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term").collect()
     weights: dict[str, float] = {}
-    for r in sorted(strong, key=lambda r: (-r["odds"] * np.log1p(r["toxic"]), r["term"])):
+    longer: dict[str, set[int]] = {}  # toxic documents of the chosen terms that begin with a stem
+    for r in sorted(strong, key=lambda r: (-r["odds"] * np.log1p(r["toxic"]), -len(r["term"]), r["term"])):
         term = r["term"]
         shorter = [f" {term.strip()[:k]}" for k in range(1, len(term.strip()) + 1)]
-        if not any(s in weights for s in shorter if s != term):
+        if r["toxic"] not in longer.get(term, ()) and not any(s in weights for s in shorter if s != term):
             weights[term] = min(float(r["odds"]), 8.0)
+            for s in shorter:
+                longer.setdefault(s, set()).add(r["toxic"])
     lexicon = Lexicon(weights)
     if not weights:
         return lexicon
     sent = spark.sparkContext.broadcast(lexicon)
     phrases = rows.mapInArrow(lambda b: _contexts(b, sent.value), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    excused = phrases.where(F.col("clean") >= 3).withColumn("odds", odds).where("odds < 0").orderBy(F.desc("clean"), "term").limit(PATTERNS).collect()
+    excused = phrases.where(F.col("clean") >= 3).withColumn("odds", odds).where("odds < 0").orderBy(F.desc("clean"), "term").collect()
     lexicon.exceptions = [r["term"] for r in excused if r["term"] not in weights]
     sent = spark.sparkContext.broadcast(lexicon)
 
@@ -209,8 +214,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs` with `score` (0 to 1) and `predicted` (1 from 0.5 on); columns of these names are replaced.
 
-    Null and blank texts have no hits and get the score of a text without hits.
+    Null and blank texts have no hits and get the score of a text without hits. Texts are scored whole, one after the other, whatever their
+    length; rows that repeat are scored each; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = docs.drop("score", "predicted")
     at = rows.columns.index(text_col)

@@ -104,7 +104,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple
     """(id, host, path, rule, verdict) of each row; other columns are not read.
 
     The longest rule that fits decides; without one, `block` if a glob of `blocked` fits the canonical URL,
-    else `allow`. A null url, or one without `://`, has empty host and path and is allowed.
+    else `allow`; of rules of one length the first by name. A null url, or one without `://`, has empty host and path and is allowed. Rows that
+    repeat are judged each; an empty table gives no rows. URLs are read whole: a batch takes as many steps as its longest one has bytes.
     """
     rules = tuple(sorted(rules, key=lambda r: (-len(r.name), r.name)))
     globs = [g for r in rules for g in r.globs()] + list(blocked)
