@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abridge.api import tfidf_weights
+from abridge.api import SUMMARY, choose, tfidf_weights
 from abridge.config import Config
 from abridge.functions import text as T
 from abridge.functions.stem import porter, porter_sql
+from abridge.functions.stem2 import porter2_stems
 from abridge.operators import anaphora, cluster, combine, digest, measures, render, select, terms
 from abridge.plans import sql as Q
+from abridge.sources.lists import Lists
+from abridge.sources.readers import records_of
 from abridge.plans.words import FEMALE_NAMES, MALE_NAMES, NEGATIVE, POSITIVE, STOP
 
 CONFIG = Config()
@@ -227,11 +232,11 @@ def _vectors(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     return placed.join(e, "vec_id").select("word", "vec")
 
 
-@query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED) + "SELECT set_id, sent_idx, (d - 1)::INT AS d, round(x, 6) AS x FROM (SELECT set_id, sent_idx, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM emb)")
+@query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED) + "SELECT set_id, sent_idx, (d - 1)::INT AS d, round(x, 6) + 0.0 AS x FROM (SELECT set_id, sent_idx, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM emb)")
 def embed_sentence_mean(spark, d):
     s = _sents(spark, d)
     rows = measures.sentence_embeddings(s, _vectors(spark, d, s), 64)
-    return _rounded(rows.select("set_id", "sent_idx", F.posexplode("vec").alias("d", "x")), "x")
+    return _rounded(rows.select("set_id", "sent_idx", F.posexplode("vec").alias("d", "x")), "x").withColumn("x", F.col("x") + 0.0)  # no minus zero
 
 
 @query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED, Q.EMBED_PAIRS) + "SELECT set_id, i, j, round(s, 6) AS s FROM embed")
@@ -373,36 +378,64 @@ def _chosen(spark, d, **options):
     return select.select_documents(_docs(spark, d), Config(**options), STOP)
 
 
+_SETTLED = "WITH " + _ONCE + ", " + Q.settled()
+_KERNEL = _SETTLED + ", " + Q.DEGREES + ", "
+_WEAK = "(set_id, sent_idx) IN (SELECT (set_id, sent_idx) FROM weak)"
+_PRUNED = """weak AS MATERIALIZED (SELECT set_id, sent_idx FROM (SELECT set_id, dg, max(sent_idx) AS sent_idx, any_value(n) AS n, row_number() OVER (PARTITION BY set_id ORDER BY dg) AS r
+FROM (SELECT set_id, round(degree, 9) AS dg, sent_idx FROM deg) JOIN n USING (set_id) GROUP BY 1, 2) WHERE r <= ceil(n * 0.4)), """
+_PRONOUNS = r"len(list_intersect(regexp_split_to_array(lower(text), '\W+'), ['he', 'she', 'they'])) > 0"
+_THREE = _KERNEL + Q.budget(3, Q.ONE, 3, singleton=False)
+
+
+@query(_SETTLED + " SELECT set_id, sent_idx, k FROM cl")
+def cluster_kmedoids(spark, d):
+    """All rounds, as joins over all sets."""
+    select.shared_checkpoints(spark)
+    s, cos = _cosine(spark, d)
+    return cluster.kmedoids(s, cos)
+
+
 def flagship(spark, d):
     """A summary of three sentences for each document: bag, idf, cosine, k-medoids, greedy choice, text."""
     return render.chosen_lines(_chosen(spark, d, length=3, unit="SENTENCES", singleton=False))
 
 
-QUERIES["flagship"] = flagship
+query(_THREE + " SELECT set_id, string_agg(array_to_string(tokens, ' '), chr(10) ORDER BY sent_idx) AS summary FROM fin JOIN s USING (set_id, sent_idx) GROUP BY 1")(flagship)
 
 
-def _kernel(name: str, doc: str, **options):
+def _kernel(name: str, doc: str, sql: str | None, **options):
     def run(spark, d):
         return _rounded(_chosen(spark, d, **options).drop("line"), "score")
 
     run.__name__, run.__doc__ = name, doc
-    query()(run)
+    query(sql and sql + " SELECT set_id, step, sent_idx, round(score, 6) AS score FROM fin")(run)
 
 
-_kernel("greedy_words", "A budget of 100 words.", length=100)
-_kernel("greedy_chars", "A budget of 600 bytes.", length=600, unit="CHARACTERS")
-_kernel("greedy_strict", "A sentence that overshoots the budget is passed over.", length=100, strict_length=True)
-_kernel("greedy_costweight", "Scores divided by length ** 0.3.", length=100, cost_weight=True)
-_kernel("greedy_singleton", "One sentence may replace the rest.", length=30, singleton=True)
-_kernel("greedy_pruned", "Without the weakest two fifths.", length=100, prune=0.4)
-_kernel("greedy_nopronouns", "Without sentences that hold he, she or they.", length=100, pronouns=("he", "she", "they"))
+# Sentences have four words or more, so a budget of 100 words takes 25 steps at most; 600 bytes take 30 on these tables.
+_kernel("greedy_words", "A budget of 100 words.", _KERNEL + Q.budget(100, Q.WORDS, 25), length=100)
+_kernel("greedy_chars", "A budget of 600 bytes.", _KERNEL + Q.budget(600, Q.BYTES, 30), length=600, unit="CHARACTERS")
+_kernel("greedy_strict", "A sentence that overshoots the budget is passed over; SQL would need a step for each.", None, length=100, strict_length=True)
+_kernel("greedy_costweight", "Scores divided by length ** 0.3.", _KERNEL + Q.budget(100, Q.WORDS, 25, weight=True), length=100, cost_weight=True)
+_kernel("greedy_singleton", "One sentence may replace the rest.", _KERNEL + Q.budget(30, Q.WORDS, 8), length=30, singleton=True)
+_kernel("greedy_pruned", "Without the weakest two fifths.", _KERNEL + _PRUNED + Q.budget(100, Q.WORDS, 25, _WEAK), length=100, prune=0.4)
+_kernel("greedy_nopronouns", "Without sentences that hold he, she or they.", _KERNEL + Q.budget(100, Q.WORDS, 25, _PRONOUNS), length=100, pronouns=("he", "she", "they"))
 
 
-@query()
+@query(_THREE + " SELECT set_id, string_agg((sent_idx + 1)::VARCHAR, ' ' ORDER BY sent_idx) AS numbers FROM fin GROUP BY 1")
 def summary_numbers(spark, d):
     return render.summary_numbers(_chosen(spark, d, length=3, unit="SENTENCES", singleton=False))
 
 
+@query(_THREE + " SELECT set_id, step, sent_idx, (sum(len(tokens)) OVER (PARTITION BY set_id ORDER BY step))::BIGINT AS words_so_far FROM fin JOIN s USING (set_id, sent_idx)")
+def summary_running_length(spark, d):
+    return render.running_length(_chosen(spark, d, length=3, unit="SENTENCES", singleton=False), _sents(spark, d))
+
+
+@query(_THREE + " SELECT set_id, string_agg(array_to_string(tokens, ' '), chr(10) ORDER BY step) AS summary FROM fin JOIN s USING (set_id, sent_idx) GROUP BY 1")
+def summary_in_order_of_choice(spark, d):
+    return render.chosen_lines(_chosen(spark, d, length=3, unit="SENTENCES", singleton=False), "step")
+
+
 @query(_DEG + """ SELECT set_id, sent_idx FROM (SELECT set_id, dg, max(sent_idx) AS sent_idx, any_value(n) AS n, row_number() OVER (PARTITION BY set_id ORDER BY dg) AS r
 FROM (SELECT set_id, round(degree, 9) AS dg, sent_idx FROM deg) JOIN n USING (set_id) GROUP BY 1, 2) WHERE r <= ceil(n * 0.4)""")
 def prune_degree(spark, d):
@@ -441,8 +474,8 @@ def anaphora_names(spark, d):
 def digest_window(spark, d):
     e = _docs(spark, d, "events")
     last = e.agg(F.max("ts").alias("last"))
-    rows = e.crossJoin(F.broadcast(last)).where("ts >= last - interval 1 day")  # one row
-    return rows.where(F.col("event_type").rlike("c")).select("event_id", "event_type")
+    rows = e.crossJoin(F.broadcast(last))  # one row
+    return digest.recent(rows, "ts", F.col("last"), 1, "event_type", "c").select("event_id", "event_type")
 
 
 @query(Q.cte(Q.sents(), Q.bag(False)) + """, ct AS (SELECT set_id AS doc_id, term, sum(tf) AS tf FROM bag GROUP BY ALL), tt AS (SELECT doc_id, sum(tf) AS total FROM ct GROUP BY 1), df AS (SELECT term, count(*) AS df FROM ct GROUP BY 1)
@@ -469,3 +502,125 @@ def digest_domains(spark, d):
 SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, round(count(*) / least(any_value(a.n), any_value(b.n)), 6) AS s FROM o a JOIN o b ON a.set_id = b.set_id AND a.word = b.word AND a.sent_idx < b.sent_idx GROUP BY 1, 2, 3""")
 def title_overlap(spark, d):
     return _rounded(measures.title_overlap(_sents(spark, d)), "s")
+
+
+# Further operators
+
+
+@query(Q.cte(Q.cosine()) + """SELECT set_id, arg_min(round(s, 9), (round(s, 9), i, j)) AS low, arg_min(i, (round(s, 9), i, j)) AS low_i, arg_min(j, (round(s, 9), i, j)) AS low_j,
+max(round(s, 9)) AS high, arg_max(i, (round(s, 9), -i, -j)) AS high_i, arg_max(j, (round(s, 9), -i, -j)) AS high_j FROM (SELECT set_id, i, j, round(s, 6) AS s FROM cos) GROUP BY 1""")
+def sim_extreme_pairs(spark, d):
+    """The least and the most similar pair of each document, by values of six digits."""
+    return measures.extreme_pairs(_rounded(_cosine(spark, d)[1], "s"))
+
+
+@query(Q.cte(Q.cosine()) + "SELECT set_id, i, j, round(1 - s, 6) + 0.0 AS d FROM cos")
+def sim_dissimilarity(spark, d):
+    return _rounded(measures.dissimilarity(_cosine(spark, d)[1]), "d").withColumn("d", F.col("d") + 0.0)  # no minus zero
+
+
+@query("WITH " + _ONCE + """ SELECT set_id, k, row_number() OVER (PARTITION BY set_id, k ORDER BY s DESC, sent_idx)::INT AS place, sent_idx, s FROM (
+SELECT c.set_id, c.k, c.sent_idx, round(CASE WHEN c.sent_idx = m.medoid THEN 1.0 ELSE coalesce(sides.s, 0.0) END, 9) AS s FROM c1 c JOIN med m ON m.set_id = c.set_id AND m.k = c.k
+LEFT JOIN sides ON sides.set_id = c.set_id AND sides.i = c.sent_idx AND sides.j = m.medoid)""")
+def cluster_members(spark, d):
+    """Members of each first cluster, nearest to its medoid first."""
+    s, cos = _cosine(spark, d)
+    medoids = cluster.seeded_medoids(s)
+    return _rounded(cluster.members_by_similarity(cluster.assigned(s, medoids, cos), medoids, cos), "s", digits=9)
+
+
+@query("WITH " + _ONCE + """, several AS (SELECT 0 AS c, * FROM c1 UNION ALL SELECT 1, set_id, sent_idx, sent_idx % 2 FROM s UNION ALL SELECT 2, set_id, sent_idx, sent_idx % 3 FROM s)
+SELECT a.set_id, count(*) FILTER (a.k <> b.k) AS differ FROM several a JOIN several b ON a.set_id = b.set_id AND a.sent_idx = b.sent_idx AND a.c <> b.c GROUP BY 1""")
+def cluster_disagreement(spark, d):
+    s, cos = _cosine(spark, d)
+    one = cluster.assigned(s, cluster.seeded_medoids(s), cos).select(F.lit(0).alias("clustering_id"), "set_id", "sent_idx", "k")
+    for c, m in ((1, 2), (2, 3)):
+        one = one.union(s.select(F.lit(c).alias("clustering_id"), "set_id", "sent_idx", (F.col("sent_idx") % m).alias("k")))
+    return cluster.disagreement(one)
+
+
+@query(Q.cte(Q.sents(), f"c(word, cluster_id) AS (VALUES {', '.join(f'({chr(39)}{w}{chr(39)}, {chr(39)}{c}{chr(39)})' for w, c in CLUSTERS)})", f"""
+o AS (SELECT set_id, sent_idx, p, words[p] AS word, words[p] IN ({Q.listed(STOP)}) AS stop FROM s, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS p)),
+t AS (SELECT o.*, CASE WHEN stop THEN o.word ELSE coalesce(cluster_id, o.word) END AS term FROM o LEFT JOIN c USING (word)),
+p AS (SELECT *, lag(term) OVER (PARTITION BY set_id, sent_idx ORDER BY p) AS prev FROM t)""") + "SELECT set_id, sent_idx, term, count(*)::INT AS tf FROM (SELECT set_id, sent_idx, term FROM p WHERE NOT stop UNION ALL SELECT set_id, sent_idx, prev || ' ' || term FROM p WHERE prev IS NOT NULL) GROUP BY ALL")
+def bag_cluster_in_place(spark, d):
+    clusters = spark.createDataFrame(CLUSTERS, "word string, cluster_id string")
+    return terms.bag(_sents(spark, d), STOP, bigrams=True, clusters=clusters, in_place=True)
+
+
+@query()
+def vocab_stem2(spark, d):
+    """The other stemmer, on every distinct word; pairs of its published vocabulary are its test."""
+    return porter2_stems(_sents(spark, d).select(F.explode("words").alias("word")).distinct())
+
+
+@query(Q.cte(Q.sents(), Q.bag(), "cs AS (SELECT item_id AS doc_id, list_filter(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> ''), lambda t: lower(regexp_replace(t, '[^\\p{L}\\p{Nd}]', '', 'g'))), lambda w: w <> '') AS words FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS text FROM benchmark))",
+f"cb AS (SELECT DISTINCT doc_id, unnest(list_concat(list_filter(words, lambda w: w NOT IN ({Q.listed(STOP)})), list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS term FROM cs)",
+"cn AS (SELECT count(DISTINCT doc_id) AS n FROM cs WHERE len(words) > 0)", "ci AS (SELECT term, log10(any_value(n) / count(*)) AS idf FROM cb, cn GROUP BY 1)") + "SELECT set_id, sent_idx, term, tf, round(coalesce(idf, 1.0), 6) AS idf, round(tf * coalesce(idf, 1.0), 6) AS tfidf FROM bag LEFT JOIN ci USING (term)")
+def tfidf_of_a_corpus(spark, d):
+    """Idfs counted on the documents of `benchmark`; a term that they lack counts 1."""
+    corpus = _docs(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return _rounded(tfidf_weights(_sents(spark, d), CONFIG, lists=Lists(idf_documents=corpus)), "idf", "tfidf")
+
+
+@query("SELECT k, n AS size FROM (SELECT lang AS k, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) GROUP BY 1)")
+def digest_records(spark, d):
+    """Records of a table of ids, by one join."""
+    ids = _docs(spark, d, "labels").where("toxic = 0")
+    return records_of(ids, _docs(spark, d)).groupBy(F.col("lang").alias("k")).agg(F.count("*").alias("size"))
+
+
+@query(r"""SELECT doc_id, (i - 1)::INT AS place, p[i] AS part FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, ' *[.?!][''"\)\]]* *'), lambda x: x <> '') AS p FROM documents))""")
+def digest_news_split(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(digest.news_split(F.col("text"))).alias("place", "part"))
+
+
+_BATCH = """b AS (SELECT set_id % 20 AS batch, set_id, term, sum(tf) AS tf FROM bag GROUP BY ALL), tt AS (SELECT set_id, sum(tf) AS total FROM b GROUP BY 1), df AS (SELECT batch, term, count(*) AS df FROM b GROUP BY 1, 2),
+bn AS (SELECT batch, count(DISTINCT set_id) AS n FROM b GROUP BY 1), w AS (SELECT batch, set_id, term, tf / total * ln(n / df) AS x FROM b JOIN tt USING (set_id) JOIN df USING (batch, term) JOIN bn USING (batch)),
+nm AS (SELECT batch, set_id, sqrt(sum(x * x)) AS z FROM w GROUP BY 1, 2)"""
+
+
+@query(Q.cte(Q.sents(), Q.bag(False), _BATCH) + "SELECT a.batch AS set_id, a.set_id AS i, c.set_id AS j, round(sum(a.x * c.x) / (any_value(x.z) * any_value(y.z)), 6) AS s FROM w a JOIN w c ON a.batch = c.batch AND a.term = c.term AND a.set_id < c.set_id JOIN nm x ON x.set_id = a.set_id JOIN nm y ON y.set_id = c.set_id WHERE a.x <> 0 GROUP BY 1, 2, 3")
+def digest_document_pairs(spark, d):
+    """Cosine of the documents of a batch (doc_id mod 20) by their words."""
+    return _rounded(digest.document_pairs(_news(spark, d)), "s")
+
+
+def _news(spark: SparkSession, d: str) -> DataFrame:
+    """(set_id, sent_idx, term, weight): batches of documents by doc_id mod 20, the documents as sentences of their batch."""
+    counts = terms.bag(_sents(spark, d), STOP).groupBy(F.col("set_id").alias("doc_id"), "term").agg(F.sum("tf").alias("tf")).withColumn("batch", F.col("doc_id") % 20)
+    total = counts.groupBy("doc_id").agg(F.sum("tf").alias("total"))
+    df = counts.groupBy("batch", "term").agg(F.count("*").alias("df"))
+    n = counts.groupBy("batch").agg(F.countDistinct("doc_id").alias("n"))
+    rows = counts.join(total, "doc_id").join(df, ["batch", "term"]).join(n, "batch")
+    return rows.select(F.col("batch").alias("set_id"), F.col("doc_id").alias("sent_idx"), "term", (F.col("tf") / F.col("total") * F.ln(F.col("n") / F.col("df"))).alias("weight"))
+
+
+@query()
+def digest_document_clusters(spark, d):
+    """k-medoids of the documents of a batch, a cluster for each three."""
+    select.shared_checkpoints(spark)
+    weights = _news(spark, d)
+    docs = weights.select("set_id", "sent_idx").distinct()
+    return digest.document_clusters(docs, digest.document_pairs(weights))
+
+
+@query()
+def sim_embed_allwords(spark, d):
+    """Mean similarity of all word pairs of two sentences of a conversation."""
+    s = T.sentences(_docs(spark, d, "conversations"), "conv_id", "text", 1, order_col="turn")
+    return _rounded(measures.mean_word_pairs(measures.word_pair_scores(s, _vectors(spark, d, s))), "s")
+
+
+@query()
+def sim_embed_top5pairs(spark, d):
+    """Mean of the five most similar word pairs of two sentences of a conversation."""
+    s = T.sentences(_docs(spark, d, "conversations"), "conv_id", "text", 1, order_col="turn")
+    return _rounded(measures.mean_word_pairs(measures.word_pair_scores(s, _vectors(spark, d, s)), 5), "s")
+
+
+@query()
+def summary_of_all_measures(spark, d):
+    """A whole summary of each document: sentiment and tf-idf of stems multiplied, 100 words."""
+    chosen, s = choose(_docs(spark, d), replace(SUMMARY, length=100))
+    return _rounded(chosen, "score")

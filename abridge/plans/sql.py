@@ -113,5 +113,64 @@ sel{k} AS (SELECT * FROM {before} UNION ALL SELECT set_id, {k}::INT, arg_max(sen
     return ", ".join(out)
 
 
+ROUNDS = 8
+
+
+def settled(rounds: int = ROUNDS) -> str:
+    """cl(set_id, sent_idx, k): k-medoids from `med` and `c1`, as many rounds as raise the utility, up to `rounds` (a set that has stopped stays)."""
+
+    def worth(name: str, clusters: str, medoids: str) -> str:
+        return f"""
+{name} AS MATERIALIZED (SELECT n.set_id, round(coalesce(sum(sides.s), 0.0), 9) AS u FROM n LEFT JOIN {clusters} c ON c.set_id = n.set_id LEFT JOIN {medoids} m ON m.set_id = c.set_id AND m.k = c.k
+  LEFT JOIN sides ON sides.set_id = c.set_id AND sides.i = c.sent_idx AND sides.j = m.medoid GROUP BY 1)"""
+
+    out = [worth("u0", "c1", "med"), "r0 AS MATERIALIZED (SELECT c1.*, u FROM c1 JOIN u0 USING (set_id))"]
+    for k in range(1, rounds + 1):
+        out.append(best(f"r{k - 1}", f"m{k}").replace(" AS (", " AS MATERIALIZED ("))
+        out.append(assigned(f"m{k}", f"a{k}").replace(" AS (", " AS MATERIALIZED ("))
+        out.append(worth(f"u{k}", f"a{k}", f"m{k}"))
+        out.append(f"""
+r{k} AS MATERIALIZED (SELECT r.set_id, r.sent_idx, CASE WHEN u{k}.u > r.u THEN a.k ELSE r.k END AS k, greatest(u{k}.u, r.u) AS u
+  FROM r{k - 1} r JOIN a{k} a USING (set_id, sent_idx) JOIN u{k} ON u{k}.set_id = r.set_id)""")
+    return ", ".join(out) + f", cl AS (SELECT set_id, sent_idx, k FROM r{rounds})"
+
+
+WORDS, BYTES, ONE = "len(tokens)::DOUBLE", "(strlen(text) + 1)::DOUBLE", "1.0"
+
+
+def budget(length: float, cost: str, steps: int, left_out: str = "false", weight: bool = False, singleton: bool = True, diversity: float = 6.0) -> str:
+    """fin(set_id, step, sent_idx, score): the greedy choice with a budget, `steps` at most, over clusters `cl`. `left_out` is a condition on s."""
+    out = [
+        f"cst AS MATERIALIZED (SELECT set_id, sent_idx, {cost} AS cost, greatest(length(text), 1) AS size, {left_out} AS gone FROM s)",
+        "st AS MATERIALIZED (SELECT deg.*, cl.k, cost, size, gone FROM deg JOIN cl USING (set_id, sent_idx) JOIN cst USING (set_id, sent_idx))",
+        "fw AS MATERIALIZED (SELECT * FROM full_w)",
+        "p0 AS MATERIALIZED (SELECT NULL::BIGINT AS set_id, NULL::INT AS step, NULL::INT AS sent_idx, NULL::DOUBLE AS score, NULL::DOUBLE AS cost LIMIT 0)",
+    ]
+
+    def value(k: int, chosen: str) -> str:
+        """v{k}: every sentence with the objective if it is added."""
+        return f"""
+got{k} AS MATERIALIZED (SELECT st.*, coalesce(g.got, 0.0) AS got, b.sent_idx IS NOT NULL AS inside FROM st LEFT JOIN {chosen} b USING (set_id, sent_idx)
+  LEFT JOIN (SELECT w.set_id, w.i, sum(w.s) AS got FROM fw w JOIN {chosen} b ON b.set_id = w.set_id AND b.sent_idx = w.j GROUP BY 1, 2) g ON g.set_id = st.set_id AND g.i = st.sent_idx),
+rk{k} AS MATERIALIZED (SELECT set_id, k, coalesce(sum(r) FILTER (inside), 0.0) AS rk FROM got{k} GROUP BY 1, 2),
+base{k} AS MATERIALIZED (SELECT set_id, x + {diversity} * y AS base FROM (SELECT set_id, sum(least(got, cap)) AS x FROM got{k} GROUP BY 1) JOIN (SELECT set_id, sum(sqrt(rk)) AS y FROM rk{k} GROUP BY 1) USING (set_id)),
+gain{k} AS MATERIALIZED (SELECT w.set_id, w.j AS sent_idx, sum(least(g.got + w.s, g.cap) - least(g.got, g.cap)) AS gain FROM fw w JOIN got{k} g ON g.set_id = w.set_id AND g.sent_idx = w.i GROUP BY 1, 2),
+v{k} AS MATERIALIZED (SELECT g.*, base + gain + {diversity} * (sqrt(rk + g.r) - sqrt(rk)) AS v FROM got{k} g JOIN base{k} USING (set_id) JOIN gain{k} a ON a.set_id = g.set_id AND a.sent_idx = g.sent_idx JOIN rk{k} q ON q.set_id = g.set_id AND q.k = g.k)"""
+
+    rank = "round(v / pow(size, 0.3), 9)" if weight else "round(v, 9)"
+    for k in range(1, steps + 1):
+        out.append(value(k, f"p{k - 1}"))
+        out.append(f"""
+p{k} AS MATERIALIZED (SELECT * FROM p{k - 1} UNION ALL SELECT set_id, {k}, arg_max(sent_idx, (rank, -sent_idx)), arg_max(v, (rank, -sent_idx)), arg_max(cost, (rank, -sent_idx))
+  FROM (SELECT set_id, sent_idx, round(v, 9) AS v, cost, {rank} AS rank FROM v{k} WHERE NOT inside AND NOT gone AND set_id NOT IN (SELECT set_id FROM p{k - 1} GROUP BY 1 HAVING sum(cost) >= {length} OR max(step) < {k - 1})) WHERE rank > 0 GROUP BY 1)""")
+    if not singleton:
+        return ", ".join(out) + f", fin AS (SELECT set_id, step, sent_idx, score FROM p{steps})"
+    out.append(value(0, "p0"))
+    out.append(f"""
+alone AS MATERIALIZED (SELECT set_id, arg_max(sent_idx, (v, -sent_idx)) AS sent_idx, max(v) AS v FROM (SELECT set_id, sent_idx, round(v, 9) AS v FROM v0 WHERE cost <= {length} AND NOT gone) GROUP BY 1),
+better AS MATERIALIZED (SELECT alone.set_id, alone.sent_idx, v FROM alone JOIN (SELECT set_id, arg_max(score, step) AS last FROM p{steps} GROUP BY 1) USING (set_id) WHERE v > last)""")
+    return ", ".join(out) + f", fin AS (SELECT set_id, step, sent_idx, score FROM p{steps} WHERE set_id NOT IN (SELECT set_id FROM better) UNION ALL SELECT set_id, 1, sent_idx, v FROM better)"
+
+
 def cte(*parts: str) -> str:
     return "WITH " + ", ".join(p.strip() for p in parts) + "\n"
