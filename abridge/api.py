@@ -94,8 +94,8 @@ def _by_features(sents: DataFrame, config: Config, several: bool, lists: Lists,
 def _by_joins(sents: DataFrame, config: Config, several: bool, lists: Lists) -> DataFrame:
     found = pair_measures(sents, config, lists, several)
     pairs = combine.combined(combine.stacked(found), len(found), config.aggregate).where("s <> 0").checkpoint()
-    if config.clusterings == "each":
-        raise ValueError("several clusterings are for sets that one task takes")
+    if config.clusterings == "each" or config.clustering != "medoids":
+        raise ValueError("sets that one task does not take are clustered by k-medoids, once")
     near = pairs
     if not config.cluster_on_aggregate:
         w = tfidf_weights(sents, config, several, lists)

@@ -29,6 +29,7 @@ class Config:
     pronouns: tuple[str, ...] = ()
     mean_diversity: bool = False  # a sentence alone counts its mean similarity, without a root
     clusterings: str = "one"  # or each: one of every measure
+    clustering: str = "medoids"  # or pam, distances
     counting: str = "tokens"  # or pieces
     seed: int = 7
     input_limit: int | None = None
@@ -39,6 +40,9 @@ class Config:
     def __post_init__(self):
         if self.unit not in ("WORDS", "SENTENCES", "CHARACTERS"):
             raise ValueError(f"unknown length unit {self.unit}")
+        for name, known in (("stemmer", ("none", "porter", "porter2")), ("idf_mode", ("real", "floor")), ("clusterings", ("one", "each")), ("clustering", ("medoids", "pam", "distances")), ("counting", ("tokens", "pieces"))):
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} must be one of {', '.join(known)}")
         if self.aggregate not in ("mult", "avg", "l2", "l3", "l4", "l100", "max", "min"):
             raise ValueError(f"unknown aggregate {self.aggregate}")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from abridge.config import Config
 from abridge.functions.text import sentences_of, word_array
-from abridge.operators.cluster import both_ways, kernel_medoids
+from abridge.operators.cluster import both_ways, kernel_distance_medoids, kernel_medoids, kernel_pam
 
 
 def with_diagonal(pairs: DataFrame, sents: DataFrame) -> DataFrame:
@@ -240,6 +240,14 @@ def _objective(w: np.ndarray, several: list[np.ndarray], picks: list[int], confi
     return float(cover + config.diversity * spread)
 
 
+def clusters_of(w: np.ndarray, config: Config) -> np.ndarray:
+    """Clusters of one set by the way that `config.clustering` names."""
+    if config.clustering == "medoids":
+        return kernel_medoids(w, config.seed)
+    k = max(1, int(0.2 * len(w) + 0.5))
+    return kernel_pam(w, k, config.seed) if config.clustering == "pam" else kernel_distance_medoids(1 - w, k, config.seed)
+
+
 def word_cells(words: list, stop: frozenset[str], bigrams: bool, floor: bool = False, zero_as_one: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sentence, term, tf-idf) of one set's words, as `terms.bag`, `terms.idf` over sentences and `terms.weighted` give them."""
     number: dict[str, int] = {}
@@ -282,7 +290,7 @@ def select_documents(docs: DataFrame, config: Config, stop: tuple[str, ...] = ()
                 for r in batch.slice(at, 256).to_pylist():
                     n = len(r["words"])
                     w = cosine_matrix(*word_cells(r["words"], listed, config.bigrams, config.idf_mode == "floor", config.zero_idf_as_one), n)
-                    found = kernel_select(w, kernel_medoids(w, config.seed), np.array(r["costs"], float), np.array(r["sizes"], float), config, _left_out(w, np.array(r["out"], int), config))
+                    found = kernel_select(w, clusters_of(w, config), np.array(r["costs"], float), np.array(r["sizes"], float), config, _left_out(w, np.array(r["out"], int), config))
                     sets += [r["set_id"]] * len(found)
                     steps += range(1, len(found) + 1)
                     sents += [k for k, _ in found]
@@ -293,6 +301,28 @@ def select_documents(docs: DataFrame, config: Config, stop: tuple[str, ...] = ()
     return rows.mapInArrow(run, f"set_id {key}, step int, sent_idx int, score double, line string")
 
 
+def cosine_pairs(docs: DataFrame, config: Config, stop: tuple[str, ...] = (), set_col: str = "doc_id", text_col: str = "text", split: bool = True) -> DataFrame:
+    """(set_id, i, j, s) of the sentences of each document that share a term: what `measures.tfidf_cosine` gives on `tfidf_weights`, in one pass and without a shuffle."""
+    parts = sentences_of(docs, set_col, text_col, config.min_tokens, split)
+    rows = parts.select("set_id", F.transform("sents", lambda s: word_array(s["tokens"])).alias("words")).where(F.size("words") > 1)
+    listed, key = frozenset(stop), dict(rows.dtypes)["set_id"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                found = []
+                for words in some.column(1).to_pylist():
+                    w = cosine_matrix(*word_cells(words, listed, config.bigrams, config.idf_mode == "floor", config.zero_idf_as_one), len(words))
+                    i, j = np.nonzero(np.triu(w, 1))
+                    found.append((i, j, w[i, j]))
+                owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                i, j, s = (np.concatenate([f[k] for f in found]) for k in range(3))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(s)], ["set_id", "i", "j", "s"])
+
+    return rows.mapInArrow(run, f"set_id {key}, i int, j int, s double")
+
+
 def _cost_of(s: Column, config: Config) -> Column:
     """`cost` for a sentence as a struct of text and tokens."""
     if config.unit == "SENTENCES":
@@ -330,7 +360,7 @@ def select_by_kernel(weights: DataFrame, sents: DataFrame, config: Config) -> Da
         place = np.full(int(head["a"].max()) + 1, -1)
         place[head["a"]] = np.arange(n)
         w = cosine_matrix(place[cell["a"].to_numpy()], cell["b"].to_numpy(), cell["x"].to_numpy(float), n)
-        found = kernel_select(w, kernel_medoids(w, config.seed), head["x"].to_numpy(), head["y"].to_numpy(), config, _left_out(w, head["b"].to_numpy(), config))
+        found = kernel_select(w, clusters_of(w, config), head["x"].to_numpy(), head["y"].to_numpy(), config, _left_out(w, head["b"].to_numpy(), config))
         ids = head["a"].to_numpy()
         return pd.DataFrame({"set_id": [group["set_id"].iloc[0]] * len(found), "step": np.arange(1, len(found) + 1), "sent_idx": [int(ids[k]) for k, _ in found], "score": [s for _, s in found]})
 
@@ -394,10 +424,10 @@ def _choice(mats: list[np.ndarray], cells: list[np.ndarray], near: np.ndarray |
     costs, sizes, pronoun = head["x"].to_numpy(float), head["y"].to_numpy(float), head["b"].to_numpy()
     n = len(mats)
     if near is not None:
-        fixed = [kernel_medoids(near, config.seed)]
+        fixed = [clusters_of(near, config)]
     else:
-        fixed = [kernel_medoids(np.where(np.eye(len(m), dtype=bool), 1.0, m), config.seed) for m in mats] if config.clusterings == "each" else None
-    one = lambda w: (w, fixed or [kernel_medoids(w, config.seed)], _left_out(w, pronoun, config))
+        fixed = [clusters_of(np.where(np.eye(len(m), dtype=bool), 1.0, m), config) for m in mats] if config.clusterings == "each" else None
+    one = lambda w: (w, fixed or [clusters_of(w, config)], _left_out(w, pronoun, config))
     if not steps:
         w, several, out = one(kernel_combined(mats, cells, config.aggregate))
         return kernel_select(w, several, costs, sizes, config, out)

@@ -10,6 +10,10 @@ from abridge.functions.stem import porter
 from abridge.functions.stem2 import porter2_stems
 
 
+#: Terms of a sentence that are compared with each other, at most.
+LONG = 256
+
+
 def occurrences(sents: DataFrame) -> DataFrame:
     """(set_id, sent_idx, pos, word), a row for each word."""
     return sents.select("set_id", "sent_idx", F.posexplode("words").alias("pos", "word"))
@@ -38,7 +42,12 @@ def bag(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", big
         singles = F.filter("words", lambda w: ~F.array_contains(listed, w)) if stop else F.col("words")
         pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
         terms = F.concat(singles, pairs) if bigrams else singles
-        return sents.select("set_id", "sent_idx", F.explode(terms).alias("term")).groupBy("set_id", "sent_idx", "term").agg(F.count("*").cast("int").alias("tf"))
+        # A sentence is a row, so its terms are counted where it is; only very long ones are counted by a shuffle.
+        rows = sents.select("set_id", "sent_idx", terms.alias("terms"))
+        counted = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
+        short = rows.where(F.size("terms") <= LONG).select("set_id", "sent_idx", F.explode(counted).alias("c")).select("set_id", "sent_idx", "c.term", "c.tf")
+        long = rows.where(F.size("terms") > LONG).select("set_id", "sent_idx", F.explode("terms").alias("term"))
+        return short.union(long.groupBy("set_id", "sent_idx", "term").agg(F.count("*").cast("int").alias("tf")))
     rows = with_terms(occurrences(sents), stop, stemmer)
     if clusters is not None:
         rows = rows.join(clusters, "word", "left")
@@ -69,6 +78,15 @@ def idf(terms: DataFrame, doc_cols: tuple[str, ...], set_cols: tuple[str, ...] =
     return joined.select(*set_cols, "term", "df", F.log10(ratio).alias("idf"))
 
 
+def idf_of_rows(docs: DataFrame, terms: Column, set_cols: tuple[str, ...] = ("set_id",), mode: str = "real") -> DataFrame:
+    """`idf` where each row is a document with an array of terms: (*set, term, df, idf). Documents without terms do not count; nothing is shuffled but counts."""
+    rows = docs.select(*set_cols, F.array_distinct(terms).alias("terms")).where(F.size("terms") > 0)
+    df = rows.select(*set_cols, F.explode("terms").alias("term")).groupBy(*set_cols, "term").agg(F.count("*").alias("df"))
+    n = rows.groupBy(*set_cols).agg(F.count("*").alias("n"))
+    ratio = F.floor(F.col("n") / F.col("df")) if mode == "floor" else F.col("n") / F.col("df")
+    return df.join(F.broadcast(n) if not set_cols else n, list(set_cols)).select(*set_cols, "term", "df", F.log10(ratio).alias("idf"))
+
+
 def corpus_idf(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", mode: str = "real", clusters: DataFrame | None = None) -> DataFrame:
     """(term, df, idf) over the documents of a corpus, given as sentences with the document as set_id; bigrams always count."""
     seen = bag(sents, stop, stemmer, True, clusters).select(F.col("set_id").alias("doc_id"), "term")

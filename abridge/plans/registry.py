@@ -36,9 +36,7 @@ def _weights(s: DataFrame, bigrams: bool = True) -> DataFrame:
 
 
 def _cosine(spark: SparkSession, d: str, bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
-    s = _sents(spark, d)
-    w = _weights(s, bigrams)
-    return s, measures.tfidf_cosine(w, terms.norms(w))
+    return _sents(spark, d), select.cosine_pairs(_docs(spark, d), Config(bigrams=bigrams), STOP)
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -151,20 +149,24 @@ def vocabulary_index(spark, d):
     return terms.vocabulary(terms.bag(_sents(spark, d)))
 
 
+def _idf_by_lang(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    docs = _docs(spark, d)
+    rows = T.sentences_of(docs.select(F.struct("lang").alias("row"), "text"), "row").select("set_id.lang", "sents").where("lang is not null")
+    return terms.idf_of_rows(rows, F.flatten(F.transform("sents", lambda s: T.word_array(s["tokens"]))), ("lang",), mode)
+
+
 _BY_LANG = "lang_s AS (SELECT lang, doc_id, unnest(words) AS term FROM s JOIN documents ON doc_id = set_id), lang_n AS (SELECT lang, count(DISTINCT doc_id) AS n FROM lang_s GROUP BY 1), lang_df AS (SELECT lang, term, count(DISTINCT doc_id) AS df FROM lang_s GROUP BY 1, 2)"
 
 
 @query(Q.cte(Q.sents(), _BY_LANG) + "SELECT lang, term, df, round(log10(n / df), 6) AS idf FROM lang_df JOIN lang_n USING (lang)")
 def idf_multi_doc(spark, d):
     """Sets are languages, documents are documents."""
-    s = _sents(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("set_id"), "lang"), "set_id").select("lang", "set_id", F.explode("words").alias("term"))
-    return _rounded(terms.idf(s, ("set_id",), ("lang",)), "idf")
+    return _rounded(_idf_by_lang(spark, d, "real"), "idf")
 
 
 @query(Q.cte(Q.sents(), _BY_LANG) + "SELECT lang, term, df, round(log10(n // df), 6) AS idf FROM lang_df JOIN lang_n USING (lang)")
 def idf_floor(spark, d):
-    s = _sents(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("set_id"), "lang"), "set_id").select("lang", "set_id", F.explode("words").alias("term"))
-    return _rounded(terms.idf(s, ("set_id",), ("lang",), mode="floor"), "idf")
+    return _rounded(_idf_by_lang(spark, d, "floor"), "idf")
 
 
 @query(Q.cte(Q.sents(), Q.bag(), Q.IDF) + "SELECT set_id, term, df, round(idf, 6) AS idf FROM idf")
@@ -196,6 +198,13 @@ def sim_tfidf_cosine(spark, d):
     return _rounded(_cosine(spark, d)[1], "s")
 
 
+@query(Q.cte(Q.cosine()) + "SELECT set_id, i, j, round(s, 6) AS s FROM cos")
+def sim_tfidf_cosine_joined(spark, d):
+    """The same by an inverted index joined with itself, for sets of several documents or too large for a task."""
+    w = _weights(_sents(spark, d))
+    return _rounded(measures.tfidf_cosine(w, terms.norms(w)), "s")
+
+
 _ALL_PAIRS = "ap AS (SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, a.tn AS ta, b.tn AS tb, a.dn AS da, b.dn AS db FROM norm a JOIN norm b ON a.set_id = b.set_id AND a.sent_idx < b.sent_idx)"
 
 
