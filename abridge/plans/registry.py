@@ -605,7 +605,9 @@ def _news(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("batch").alias("set_id"), F.col("doc_id").alias("sent_idx"), "term", (F.col("tf") / F.col("total") * F.ln(F.col("n") / F.col("df"))).alias("weight"))
 
 
-@query()
+@query(Q.cte(Q.sents().replace("\ns AS (", "\ns0 AS ("), Q.bag(False).replace("FROM s)", "FROM s0)"), _BATCH, """s AS (SELECT DISTINCT batch AS set_id, set_id AS sent_idx FROM b), n AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1),
+cos AS (SELECT a.batch AS set_id, a.set_id AS i, c.set_id AS j, sum(a.x * c.x) / (any_value(x.z) * any_value(y.z)) AS s FROM w a JOIN w c ON a.batch = c.batch AND a.term = c.term AND a.set_id < c.set_id JOIN nm x ON x.set_id = a.set_id JOIN nm y ON y.set_id = c.set_id WHERE a.x <> 0 GROUP BY 1, 2, 3)""",
+Q.SIDES, Q.MEDOIDS.replace("floor(0.2 * n + 0.5)", "n // 3"), Q.assigned("med", "c1"), Q.settled(12)) + "SELECT set_id, sent_idx, k FROM cl")
 def digest_document_clusters(spark, d):
     """k-medoids of the documents of a batch, a cluster for each three."""
     select.shared_checkpoints(spark)
