@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small frame that is read several times, on the executors' disks; what a lost executor held is made again from what it came from, which must still be there."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    _kept.append(df)
+    return df
+
+
+def let_go(since: int) -> None:
+    """Drop what `kept` has made since it held so many frames; nothing may read them any more."""
+    for df in _kept[since:]:
+        df.unpersist()
+    del _kept[since:]
+
+
+_kept: list[DataFrame] = []
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what `stored` wrote for these frames; nothing may read them any more."""
     for df in frames:

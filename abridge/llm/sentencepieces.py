@@ -430,7 +430,7 @@ def _small(batches: Iterator[pa.RecordBatch], path: str, at: int) -> Iterator[pa
     m = model(path)
     for batch in batches:
         column, ids_out, fits_out = textkit.as_text(batch.column(at)), [], []
-        for a, b in textkit.slices(column, 4 << 20):
+        for a, b in textkit.slices(column, 2 << 20):
             text = column.slice(a, b - a)
             lists = pc.split_pattern(text, " ")
             first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -472,7 +472,7 @@ def _giants(docs: DataFrame, path: str, text_col: str, chunk: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
     beside = model(path).most - 1
-    chunks = stored(texts.mapInArrow(lambda b: _cut(b, chunk, beside), "key string, k int, count int, s string, a int, b int").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2), "chunks")
+    chunks = stored(texts.mapInArrow(lambda b: _cut(b, chunk, beside), "key string, k int, count int, s string, a int, b int").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunks")
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
