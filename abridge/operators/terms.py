@@ -43,10 +43,12 @@ def bag(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", big
         pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
         terms = F.concat(singles, pairs) if bigrams else singles
         # A sentence is a row, so its terms are counted where it is; only very long ones are counted by a shuffle.
-        rows = sents.select("set_id", "sent_idx", terms.alias("terms"))
-        counted = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
-        short = rows.where(F.size("terms") <= LONG).select("set_id", "sent_idx", F.explode(counted).alias("c")).select("set_id", "sent_idx", "c.term", "c.tf")
-        long = rows.where(F.size("terms") > LONG).select("set_id", "sent_idx", F.explode("terms").alias("term"))
+        rows = sents.select("set_id", "sent_idx", F.array_sort(terms).alias("up")).withColumn("down", F.reverse("up"))
+        # In a sorted array equal terms stand together: from their first place on either side follows how many they are.
+        many = lambda t: (F.size("up") + 2 - F.array_position("up", t) - F.array_position("down", t)).cast("int")
+        counted = F.transform(F.array_distinct("up"), lambda t: F.struct(t.alias("term"), many(t).alias("tf")))
+        short = rows.where(F.size("up") <= LONG).select("set_id", "sent_idx", F.explode(counted).alias("c")).select("set_id", "sent_idx", "c.term", "c.tf")
+        long = rows.where(F.size("up") > LONG).select("set_id", "sent_idx", F.explode("up").alias("term"))
         return short.union(long.groupBy("set_id", "sent_idx", "term").agg(F.count("*").cast("int").alias("tf")))
     rows = with_terms(occurrences(sents), stop, stemmer)
     if clusters is not None:
