@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,17 +52,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A small frame that is read several times, on the executors' disks; what a lost executor held is made again from what it came from, which must still be there."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    _kept.append(df)
-    return df
+    """As `stored`, for what one operator reads until `let_go`."""
+    out = stored(df, "part")
+    _kept.append(out)
+    return out
 
 
 def let_go(since: int) -> None:
-    """Drop what `kept` has made since it held so many frames; nothing may read them any more."""
-    for df in _kept[since:]:
-        df.unpersist()
+    """Delete what `kept` has written since it held so many frames; nothing may read them any more."""
+    discard(*_kept[since:])
     del _kept[since:]
 
 
