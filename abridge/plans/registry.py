@@ -616,14 +616,19 @@ def digest_document_clusters(spark, d):
     return digest.document_clusters(docs, digest.document_pairs(weights))
 
 
-@query()
+_TURNS = Q.sents("conversations", "conv_id", "text", least=1).replace("conv_id AS set_id,", "conv_id AS set_id, turn,").replace("(SELECT set_id, l,", "(SELECT set_id, turn, l,").replace("i::INT AS sent_idx", "(row_number() OVER (PARTITION BY set_id ORDER BY turn, i) - 1)::INT AS sent_idx")
+_WORD_PAIRS = Q.cte(_TURNS, Q.VECTORS, """pl AS (SELECT set_id, sent_idx, word, v FROM (SELECT DISTINCT set_id, sent_idx, unnest(words) AS word FROM s) JOIN vec USING (word)),
+pr AS (SELECT a.set_id, a.sent_idx AS i, b.sent_idx AS j, a.word AS a, b.word AS b, 0.5 * (list_cosine_similarity(a.v, b.v) + 1) AS s FROM pl a JOIN pl b ON a.set_id = b.set_id AND a.sent_idx < b.sent_idx)""")
+
+
+@query(_WORD_PAIRS + "SELECT set_id, i, j, round(avg(s), 6) AS s FROM pr GROUP BY 1, 2, 3")
 def sim_embed_allwords(spark, d):
     """Mean similarity of all word pairs of two sentences of a conversation."""
     s = T.sentences(_docs(spark, d, "conversations"), "conv_id", "text", 1, order_col="turn")
     return _rounded(measures.mean_word_pairs(measures.word_pair_scores(s, _vectors(spark, d, s))), "s")
 
 
-@query()
+@query(_WORD_PAIRS + "SELECT set_id, i, j, round(avg(s), 6) AS s FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY set_id, i, j ORDER BY round(s, 9) DESC, a, b) <= 5) GROUP BY 1, 2, 3")
 def sim_embed_top5pairs(spark, d):
     """Mean of the five most similar word pairs of two sentences of a conversation."""
     s = T.sentences(_docs(spark, d, "conversations"), "conv_id", "text", 1, order_col="turn")
