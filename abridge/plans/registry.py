@@ -463,7 +463,10 @@ def sample_input(spark, d):
 
 
 def _names(words) -> str:
-    return rf"list_filter(list_transform(tokens, lambda t: regexp_replace(t, '[.?,!)]$', '')), lambda t: lower(t) IN ({Q.listed(words)}) AND regexp_matches(t, '^[A-Z]'))[-1]"
+    """The last name of a sentence, with the next token if that is capitalised and the name has no sign at its end."""
+    plain = "list_transform(tokens, lambda t: regexp_replace(t, '[.?,!)]$', ''))"
+    at = f"list_max(list_filter(range(1, len(tokens) + 1), lambda i: lower({plain}[i]) IN ({Q.listed(words)}) AND regexp_matches({plain}[i], '^[A-Z]')))"
+    return f"CASE WHEN NOT regexp_matches(tokens[{at}], '[.?,!)]$') AND regexp_matches({plain}[{at} + 1], '^[A-Z][a-z0-9]*$') THEN {plain}[{at}] || ' ' || {plain}[{at} + 1] ELSE {plain}[{at}] END"
 
 
 _BARE = "regexp_replace(lower(t), '[.?,!)]$', '')"
