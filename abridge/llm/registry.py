@@ -3,6 +3,7 @@
 from abridge.llm import (
     decontamination_query,
     embedding_dedup_query,
+    group_ranking_query,
     language_query,
     ngram_jaccard_query,
     packing_query,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": token_counts_query.op8_token_counts,
     "op9_ngram_jaccard": ngram_jaccard_query.op9_ngram_jaccard,
     "op10_embedding_dedup": embedding_dedup_query.op10_embedding_dedup,
+    "op12_group_ranking": group_ranking_query.op12_group_ranking,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op4_sharding": sharding_query.SQL,
     "op9_ngram_jaccard": ngram_jaccard_query.SQL,
     "op10_embedding_dedup": embedding_dedup_query.SQL,
+    "op12_group_ranking": group_ranking_query.SQL,
 }
