@@ -1,6 +1,7 @@
 """Queries of the subpackage, by name, and the SQL of those that SQL expresses."""
 
 from abridge.llm import (
+    conversation_repair_query,
     decontamination_query,
     embedding_dedup_query,
     group_ranking_query,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_ngram_jaccard": ngram_jaccard_query.op9_ngram_jaccard,
     "op10_embedding_dedup": embedding_dedup_query.op10_embedding_dedup,
     "op12_group_ranking": group_ranking_query.op12_group_ranking,
+    "op13_conversation_repair": conversation_repair_query.op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op9_ngram_jaccard": ngram_jaccard_query.SQL,
     "op10_embedding_dedup": embedding_dedup_query.SQL,
     "op12_group_ranking": group_ranking_query.SQL,
+    "op13_conversation_repair": conversation_repair_query.SQL,
 }
