@@ -8,6 +8,7 @@ from abridge.llm import (
     language_query,
     ngram_jaccard_query,
     packing_query,
+    quality_query,
     sentencepieces_query,
     sharding_query,
     token_counts_query,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_counts": token_counts_query.op8_token_counts,
     "op9_ngram_jaccard": ngram_jaccard_query.op9_ngram_jaccard,
     "op10_embedding_dedup": embedding_dedup_query.op10_embedding_dedup,
+    "op11_quality": quality_query.op11_quality,
     "op12_group_ranking": group_ranking_query.op12_group_ranking,
     "op13_conversation_repair": conversation_repair_query.op13_conversation_repair,
 }
