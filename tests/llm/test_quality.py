@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from abridge.llm import quality, textkit
+from abridge.llm import quality
 from abridge.llm.quality_query import op11_quality
 
 SF = "/root/testdata/sf0.01"
