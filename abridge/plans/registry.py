@@ -14,6 +14,9 @@ from abridge.functions.stem import porter, porter_sql
 from abridge.functions.stem2 import porter2_stems
 from abridge.operators import anaphora, cluster, combine, digest, measures, render, select, terms
 from abridge.plans import sql as Q
+from abridge.plans.catalog import ORACLE_SQL, QUERIES, query
+from abridge.plans.catalog import docs_of as _docs
+from abridge.plans.catalog import rounded as _rounded
 from abridge.sources.lists import Lists
 from abridge.sources.readers import records_of
 from abridge.plans.words import FEMALE_NAMES, MALE_NAMES, NEGATIVE, POSITIVE, STOP
@@ -23,10 +26,6 @@ CLUSTERS = [(w, f"cluster-{k % 5}") for k, w in enumerate(("the", "ther", "here"
 WEIGHTS = [(0, 0, 0.5), (0, 1, 0.25)]
 
 
-def _docs(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def _sents(spark: SparkSession, d: str) -> DataFrame:
     return T.sentences(_docs(spark, d))
 
@@ -39,24 +38,6 @@ def _cosine(spark: SparkSession, d: str, bigrams: bool = True) -> tuple[DataFram
     return _sents(spark, d), select.cosine_pairs(_docs(spark, d), Config(bigrams=bigrams), STOP)
 
 
-def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Sentences and words
 
 
@@ -643,3 +624,9 @@ def summary_of_all_measures(spark, d):
     """A whole summary of each document: sentiment and tf-idf of stems multiplied, 100 words."""
     chosen, s = choose(_docs(spark, d), replace(SUMMARY, length=100))
     return _rounded(chosen, "score")
+
+
+# Queries of modules of their own
+from abridge.plans import borders  # noqa: E402, F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
