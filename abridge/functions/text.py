@@ -14,14 +14,14 @@ POSSESSIVE = ("his", "her", "its", "their")
 REPLACED = ("he", "his", "she", "her", "s/he", "they", "their", "they're")
 
 
-def _trim(c: Column) -> Column:
+def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def sentence_array(text: Column, split: bool = True) -> Column:
     """Sentences of a text in order: split after . ! ? before non-word characters, or one a line; blanks dropped."""
     parts = F.split(F.coalesce(text, F.lit("")), SENTENCE_BORDER if split else "\n")
-    return F.filter(F.transform(parts, lambda s: _trim(F.replace(s, F.lit("\n"), F.lit(" ")))), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: trimmed(F.replace(s, F.lit("\n"), F.lit(" ")))), lambda s: s != "")
 
 
 def token_array(sentence: Column) -> Column:

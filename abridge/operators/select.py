@@ -8,6 +8,7 @@ sqrt(sum over members j in S of the column mean of w). `kernel_select` runs one
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -130,6 +131,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="abridge-"))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cost(config: Config) -> Column:
     """What a sentence takes of the budget: tokens, bytes with a blank after each, or 1; counted as `pieces`, runs of letters and digits (a sign in front makes one more), or characters."""
     return _cost_of({"text": F.col("text"), "tokens": F.col("tokens")}, config)

@@ -19,6 +19,7 @@ from abridge.plans.catalog import docs_of as _docs
 from abridge.plans.catalog import rounded as _rounded
 from abridge.sources.lists import Lists
 from abridge.sources.readers import records_of
+from abridge.sources.word2vec import read_word2vec, write_word2vec
 from abridge.plans.words import FEMALE_NAMES, MALE_NAMES, NEGATIVE, POSITIVE, STOP
 
 CONFIG = Config()
@@ -229,6 +230,16 @@ def embed_sentence_mean(spark, d):
     return _rounded(rows.select("set_id", "sent_idx", F.posexplode("vec").alias("d", "x")), "x").withColumn("x", F.col("x") + 0.0)  # no minus zero
 
 
+@query(ORACLE_SQL["embed_sentence_mean"])
+def embed_from_files(spark, d):
+    """The vectors of the vocabulary as binary word2vec files, read back in splits of 4 MB, joined to all sentences."""
+    s = _sents(spark, d)
+    path = select.scratch_path(spark, "word2vec")
+    write_word2vec(_vectors(spark, d, s), path)
+    rows = measures.sentence_embeddings(s, read_word2vec(spark, path, 4 << 20), 64)
+    return _rounded(rows.select("set_id", "sent_idx", F.posexplode("vec").alias("d", "x")), "x").withColumn("x", F.col("x") + 0.0)
+
+
 @query(Q.cte(Q.sents(), Q.VECTORS, Q.EMBEDDED, Q.EMBED_PAIRS) + "SELECT set_id, i, j, round(s, 6) AS s FROM embed")
 def sim_embed(spark, d):
     s = _sents(spark, d)

@@ -5,8 +5,35 @@ from __future__ import annotations
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from abridge.functions.text import trimmed, token_array, word_array
+
+
+def lines_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, file, block): lines of files, read by as many tasks as the files have splits; `block` is where a line's split begins."""
+    return spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def numbered(rows: DataFrame, name: str = "at") -> DataFrame:
+    """Rows of `lines_of`, perhaps filtered or exploded, with their number in their file, from 0, for `file` and `block`.
+
+    A split's rows are in order in one task, where a running number comes for nothing. What is added up over splits is one count
+    for each; no line is sorted or shuffled, and no file is held by one task.
+    """
+    marked = rows.withColumn("__m", F.monotonically_increasing_id())
+    blocks = marked.groupBy("file", "block").agg(F.min("__m").alias("__base"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return marked.join(blocks.select("file", "block", "__base", before.alias("__before")), ["file", "block"]).withColumn(name, F.col("__before") + F.col("__m") - F.col("__base")).drop("file", "block", "__m", "__base", "__before")
+
+
+def sentence_lines(spark: SparkSession, path: str, set_id: str = "input") -> DataFrame:
+    """(set_id, doc_pos, sent_idx, text, tokens, words) of a file of one sentence a line; blank lines are dropped."""
+    rows = numbered(lines_of(spark, path).withColumn("text", trimmed(F.col("value"))).where("text <> ''"))
+    rows = rows.select(F.lit(set_id).alias("set_id"), F.lit(0).alias("doc_pos"), F.col("at").cast("int").alias("sent_idx"), "text", token_array(F.col("text")).alias("tokens"))
+    return rows.withColumn("words", word_array(F.col("tokens")))
+
 
 def text_documents(spark: SparkSession, path: str | list[str], set_id: str = "input") -> DataFrame:
     """(set_id, doc_id, text): each file is a document; a directory gives its files, not those below it. Order is by path."""
@@ -30,9 +57,9 @@ def idf_documents(spark: SparkSession, sentences: DataFrame | None, path: str |
 
 
 def clustering_file(spark: SparkSession, path: str, set_id: str = "input") -> DataFrame:
-    """(set_id, sent_idx, k) of a file that holds a cluster number for each sentence, one a line; -1 becomes cluster 0."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda c: c != "")).alias("sent_idx", "k"))
-    return lines.select(F.lit(set_id).alias("set_id"), "sent_idx", F.greatest(F.col("k").cast("int"), F.lit(0)).alias("k"))
+    """(set_id, sent_idx, k) of a file that holds a cluster number for each sentence, in order; -1 becomes cluster 0."""
+    lines = lines_of(spark, path).select(F.explode(F.filter(F.split("value", r"\s+"), lambda c: c != "")).alias("k"), "file", "block")
+    return numbered(lines).select(F.lit(set_id).alias("set_id"), F.col("at").cast("int").alias("sent_idx"), F.greatest(F.col("k").cast("int"), F.lit(0)).alias("k"))
 
 
 def records_of(ids: DataFrame, records: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -45,18 +72,18 @@ def similarity_matrix(spark: SparkSession, path: str, set_id: str = "input", mat
 
     A matrix that is not square raises an error when it is read.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"[\n;]+"), lambda r: F.regexp_replace(r, r"[\s,_]+", "") != "")).alias("i", "row"))
-    cells = lines.select("i", F.posexplode(F.filter(F.split("row", r"[\s,]+"), lambda c: F.regexp_replace(c, "_", "") != "")).alias("j", "cell"))
-    size = lines.agg(F.count("*").alias("n"))
-    width = cells.groupBy("i").agg(F.count("*").alias("w"))
-    checked = width.crossJoin(F.broadcast(size)).agg(F.min("w").alias("low"), F.max("w").alias("high"), F.max("n").alias("n"))  # one row
-    fits = checked.select(F.assert_true((F.col("low") == F.col("n")) & (F.col("high") == F.col("n")), F.lit("matrix is not square")).alias("ok"))
-    return cells.crossJoin(F.broadcast(fits)).where("ok is null").select(F.lit(set_id).alias("set_id"), F.lit(matrix_id).alias("matrix_id"), "i", "j", F.col("cell").cast("double").alias("s"))
+    filled = lambda parts, sep: F.filter(F.split(parts, sep), lambda r: F.regexp_replace(r, r"[\s,_]+", "") != "")
+    rows = numbered(lines_of(spark, path).select(F.explode(filled("value", ";")).alias("row"), "file", "block"), "i")
+    rows = rows.select("i", filled("row", r"[\s,]+").alias("cells"))
+    size = rows.agg(F.count("*").alias("n"), F.min(F.size("cells")).alias("low"), F.max(F.size("cells")).alias("high"))
+    fits = size.select(F.assert_true((F.col("n") == 0) | ((F.col("low") == F.col("n")) & (F.col("high") == F.col("n"))), F.lit("matrix is not square")).alias("ok"))  # one row
+    cells = rows.crossJoin(F.broadcast(fits)).where("ok is null").select("i", F.posexplode("cells").alias("j", "cell"))
+    return cells.select(F.lit(set_id).alias("set_id"), F.lit(matrix_id).alias("matrix_id"), F.col("i").cast("int").alias("i"), "j", F.col("cell").cast("double").alias("s"))
 
 
 def matrix_weights(spark: SparkSession, path: str, matrices: int) -> DataFrame:
     """(step, matrix_id, w) of the first line of a file: `matrices` weights for each step."""
-    first = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split(F.split("value", "\n")[0], r"[\s,;]+"), lambda c: c != "")).alias("p", "w"))
+    first = numbered(lines_of(spark, path)).where("at = 0").select(F.posexplode(F.filter(F.split("value", r"[\s,;]+"), lambda c: c != "")).alias("p", "w"))
     return first.select((F.col("p") / matrices).cast("int").alias("step"), (F.col("p") % matrices).alias("matrix_id"), F.col("w").cast("double").alias("w"))
 
 
@@ -67,8 +94,7 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
 
 def word_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(word, cluster_id): line n is cluster-n; a word belongs to its first line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    words = lines.select("n", F.explode(F.split("line", r"\W+")).alias("word")).where("word <> ''")
+    words = numbered(lines_of(spark, path), "n").select("n", F.explode(F.split("value", r"\W+")).alias("word")).where("word <> ''")
     return words.groupBy("word").agg(F.concat(F.lit("cluster-"), F.min("n")).alias("cluster_id"))
 
 
