@@ -30,8 +30,9 @@ def pair_measures(sents: DataFrame, config: Config, lists: Lists = Lists(), seve
 
 
 def _measures(config: Config, lists: Lists) -> tuple[str, ...]:
-    """Without vectors there is no measure of them; with none left, tf-idf."""
-    return tuple(m for m in config.measures if m != "embed" or lists.vectors is not None) or ("tfidf",)
+    """Without vectors or emotion words there is no measure of them; with none left, tf-idf."""
+    given = {"embed": lists.vectors is not None, "pos": bool(lists.positive), "neg": bool(lists.negative)}
+    return tuple(m for m in config.measures if given.get(m, True)) or ("tfidf",)
 
 
 def tfidf_weights(sents: DataFrame, config: Config, several: bool = False, lists: Lists = Lists()) -> DataFrame:
@@ -55,7 +56,7 @@ def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id",
     """(selection, sentences) of each set.
 
     Sets of up to `config.kernel_limit` sentences are chosen from in one task each, larger ones by joins; the results are the same. `steps` are weights of
-    the measures for each step of the choice (average); they need a task.
+    the measures for each step of the choice (average).
     """
     sents = sentences(docs, set_col, text_col, config.min_tokens, split, order_col)
     if config.resolve_pronouns:
@@ -66,7 +67,7 @@ def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id",
     plain = order_col is None and not (config.input_limit or config.resolve_pronouns or steps) and config.stemmer == "none" and lists.clusters is None and lists.idf_documents is None
     large = sents.groupBy("set_id").agg(F.count("*").alias("n")).where(F.col("n") > config.kernel_limit).select("set_id")
     some = not large.isEmpty()
-    if some and not steps:
+    if some:
         large = large.checkpoint() if select.shared_checkpoints(docs.sparkSession) is None else large
         small, big = sents.join(large, "set_id", "left_anti"), sents.join(large, "set_id", "left_semi")
     else:
@@ -76,7 +77,7 @@ def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id",
         found = select.select_documents(rows, config, lists.stop, set_col, text_col, split).drop("line")
     else:
         found = _by_features(small, config, order_col is not None, lists, steps)
-    return (found if big is None else found.union(_by_joins(big, config, order_col is not None, lists))), sents
+    return (found if big is None else found.union(_by_joins(big, config, order_col is not None, lists, steps))), sents
 
 
 def _by_features(sents: DataFrame, config: Config, several: bool, lists: Lists, steps: list[list[float]] | None) -> DataFrame:
@@ -91,17 +92,47 @@ def _by_features(sents: DataFrame, config: Config, several: bool, lists: Lists,
     return select.select_by_features(weights, features, sents, config, names, near, steps)
 
 
-def _by_joins(sents: DataFrame, config: Config, several: bool, lists: Lists) -> DataFrame:
+def _by_joins(sents: DataFrame, config: Config, several: bool, lists: Lists, steps: list[list[float]] | None = None) -> DataFrame:
     found = pair_measures(sents, config, lists, several)
-    pairs = combine.combined(combine.stacked(found), len(found), config.aggregate).where("s <> 0").checkpoint()
-    if config.clusterings == "each" or config.clustering != "medoids":
-        raise ValueError("sets that one task does not take are clustered by k-medoids, once")
-    near = pairs
-    if not config.cluster_on_aggregate:
+    near = None
+    if not config.cluster_on_aggregate and config.clusterings == "one":
         w = tfidf_weights(sents, config, several, lists)
         near = measures.tfidf_cosine(w, terms.norms(w))
-    clusters = cluster.kmedoids(sents, near, config.seed)
-    return select.greedy(select.with_diagonal(pairs, sents), sents, clusters, config=config)
+    return _chosen_by_joins(sents, found, near, None, config, steps)
+
+
+def clusters_by_joins(sents: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
+    """(set_id, sent_idx, k) by the way that `config.clustering` names, for sets of any size."""
+    select.shared_checkpoints(sents.sparkSession)
+    if config.clustering == "medoids":
+        return cluster.kmedoids(sents, pairs, config.seed)
+    return cluster.pam(sents, pairs, config.seed) if config.clustering == "pam" else cluster.distance_medoids(sents, pairs, config.seed)
+
+
+def _chosen_by_joins(sents: DataFrame, found: list[DataFrame], near: DataFrame | None, known: DataFrame | None, config: Config, steps: list[list[float]] | None) -> DataFrame:
+    """As `select.select_by_matrix`, by joins: clusters are `known`, those of `near`, of each measure, or of the combined one, anew for each step's weights."""
+    select.shared_checkpoints(sents.sparkSession)
+    stack, n = combine.stacked(found).checkpoint(), len(found)
+    if known is not None:
+        fixed = [sents.select("set_id", "sent_idx").join(known, ["set_id", "sent_idx"], "left").select("set_id", "sent_idx", F.coalesce("k", F.lit(0)).alias("k"))]
+    elif near is not None:
+        fixed = [clusters_by_joins(sents, near, config)]
+    else:
+        fixed = [clusters_by_joins(sents, m.where("s <> 0"), config) for m in found] if config.clusterings == "each" else None
+
+    def at(weights: list[float] | None, whole: float = 1.0) -> tuple[DataFrame, list[DataFrame]]:
+        pairs = combine.combined(stack, n, config.aggregate) if weights is None else combine.weighted_average(stack, sents.sparkSession.createDataFrame([(0, m, float(x)) for m, x in enumerate(weights)], "step int, matrix_id int, w double"), n)
+        pairs = pairs.where("s <> 0").checkpoint()
+        full = select.with_diagonal(pairs, sents)
+        if whole != 1.0:
+            full = full.withColumn("s", F.when(F.col("i") == F.col("j"), whole).otherwise(F.col("s")))
+        return full, fixed or [clusters_by_joins(sents, pairs, config)]
+
+    if not steps:
+        return select.greedy(*((x := at(None))[0], sents, x[1]), config=config)
+    even = [1 / n] * n
+    weights_at = lambda k: steps[k] if k < len(steps) else even
+    return select.greedy(stack, sents, [], config=config, at_step=lambda k: at(weights_at(k), sum(weights_at(k))), stages=len(steps))
 
 
 def get_clustering(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, lists: Lists = Lists()) -> DataFrame:
@@ -141,20 +172,18 @@ def summarize_matrices(spark: SparkSession, matrices: list[str], sentence_file:
     `weights_file` has weights of the matrices for each step. Clusters are those of `clustering_file` if it is named, else of the sentences' tf-idf
     cosine, or of the matrices (`cluster_on_aggregate`, `clusterings`).
     """
-    lines = spark.read.text(sentence_file, wholetext=True).select(F.lit("input").alias("set_id"), F.col("value").alias("text"))
-    sents = sentences(lines, "set_id", min_tokens=1, split=False)
+    sents = readers.sentence_lines(spark, sentence_file)
     found = [readers.similarity_matrix(spark, m, "input", k).where("i < j") for k, m in enumerate(matrices)]
-    near = None
+    steps, known, near = None, None, None
+    if weights_file:
+        rows = readers.matrix_weights(spark, weights_file, len(matrices)).orderBy("step", "matrix_id").collect()  # one line of a file
+        steps = [[r["w"] for r in rows if r["step"] == k] for k in sorted({r["step"] for r in rows})]
+        steps = [s + [1 / len(matrices)] * (len(matrices) - len(s)) for s in steps]
     if clustering_file:
         known = readers.clustering_file(spark, clustering_file)
-        pairs = combine.combined(combine.stacked(found), len(found), config.aggregate)
-        return select.greedy(select.with_diagonal(pairs, sents), sents, known, config=config)
-    if not config.cluster_on_aggregate and config.clusterings == "one":
+    elif not config.cluster_on_aggregate and config.clusterings == "one":
         w = tfidf_weights(sents, config, False, lists)
         near = measures.tfidf_cosine(w, terms.norms(w))
-    steps = None
-    if weights_file:
-        rows = readers.matrix_weights(spark, weights_file, len(matrices)).orderBy("step", "matrix_id").collect()
-        steps = [[r["w"] for r in rows if r["step"] == k] for k in sorted({r["step"] for r in rows})]
-        steps = [s + [1 / len(matrices)] * (len(matrices) - len(s)) for s in steps]
-    return select.select_by_matrix(combine.stacked(found), len(found), sents, config, near, steps)
+    if sents.count() > config.kernel_limit:
+        return _chosen_by_joins(sents, found, near, known, config, steps)
+    return select.select_by_matrix(combine.stacked(found), len(found), sents, config, near, steps, known)

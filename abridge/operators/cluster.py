@@ -121,27 +121,128 @@ def kernel_distance_medoids(d: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return out
 
 
+def kernel_swap_gains(off: np.ndarray, medoids: list[int], place: int) -> np.ndarray:
+    """By how much the utility rises if the medoid at `place` is swapped for each sentence; -inf for medoids."""
+    n, m = len(off), np.array(medoids)
+    near = off[:, m]
+    is_medoid = np.zeros(n, bool)
+    is_medoid[m] = True
+    now = np.where(is_medoid, 0.0, np.maximum(near.max(axis=1), 0.0))
+    rest = np.delete(near, place, axis=1)
+    rest = np.maximum(rest.max(axis=1), 0.0) if rest.shape[1] else np.zeros(n)
+    stay = is_medoid.copy()
+    stay[m[place]] = False
+    after = np.where(stay[:, None], 0.0, np.maximum(rest[:, None], off))  # (sentence, candidate)
+    np.fill_diagonal(after, 0.0)
+    gain = after.sum(axis=0) - now.sum()
+    gain[m] = -np.inf
+    return gain
+
+
 def kernel_pam(w: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
-    """Clusters of one set by partitioning around medoids: a medoid is swapped for the first other item that raises the utility, until no swap does."""
-    n = len(w)
+    """Clusters of one set by partitioning around medoids: a medoid is swapped for the first other item that raises the utility, until no swap does.
+    Similarities are not negative."""
     off = w.copy()
     np.fill_diagonal(off, 0)
-    medoids = seeded_order(n, seed)[:k]
-    total = lambda m: round(float(off[np.arange(n), np.array(m)[kernel_assign(off, m)]].sum()), 9)
-    best, rising = total(medoids), True
+    medoids, rising = seeded_order(len(w), seed)[:k], True
     while rising:
         rising = False
         for place in range(k):
-            for item in range(n):
-                if item in medoids:
-                    continue
-                other = [*medoids[:place], item, *medoids[place + 1 :]]
-                if (now := total(other)) > best:
-                    best, medoids, rising = now, other, True
-                    break
+            better = np.round(kernel_swap_gains(off, medoids, place), 9) > 0
+            if better.any():
+                medoids[place], rising = int(better.argmax()), True
     return kernel_assign(off, medoids)
 
 
+def swap_gains(sents: DataFrame, medoids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set_id, k, sent_idx, gain): by how much the utility rises if the medoid of cluster k is swapped for another sentence.
+
+    From each sentence's similarity to its nearest and second-nearest medoid: a sentence whose nearest medoid stays can only gain; one that
+    loses it goes to the new medoid or to its second. So nothing is assigned anew, and pairs are joined once for all swaps. Similarities are not negative.
+    """
+    own = medoids.select("set_id", F.col("medoid").alias("i"), F.lit(True).alias("own"))
+    sides = both_ways(pairs).where("s > 0")
+    to = sides.join(medoids.select("set_id", F.col("medoid").alias("j"), F.col("k").alias("to")), ["set_id", "j"])
+    two = F.slice(F.sort_array(F.collect_list(F.struct((-F.round("s", 9)).alias("o"), F.col("to").alias("to"), F.col("s").alias("s")))), 1, 2)
+    near = to.groupBy("set_id", "i").agg(two.alias("t")).select("set_id", "i", F.get("t", F.lit(0))["to"].alias("k1"), F.get("t", F.lit(0))["s"].alias("d1"), F.coalesce(F.get("t", F.lit(1))["s"], F.lit(0.0)).alias("d2"))
+    state = sents.select("set_id", F.col("sent_idx").alias("i")).join(near, ["set_id", "i"], "left").join(own, ["set_id", "i"], "left")
+    state = state.select("set_id", "i", F.coalesce("k1", F.lit(-1)).alias("k1"), F.coalesce("d1", F.lit(0.0)).alias("d1"), F.coalesce("d2", F.lit(0.0)).alias("d2"), F.coalesce("own", F.lit(False)).alias("own"))
+    state = state.withColumn("none", F.lit(0.0))
+    plain = state.where("not own")
+    # what each candidate wins from sentences that keep their medoid, and what it gives up itself
+    met = sides.join(plain.select("set_id", "i", "k1", "d1", "d2"), ["set_id", "i"])
+    win = met.groupBy("set_id", "j").agg(F.sum(F.greatest(F.col("s") - F.col("d1"), F.lit(0.0))).alias("win"))
+    items = plain.select("set_id", F.col("i").alias("j"), F.col("d1").alias("own_d1"), F.col("k1").alias("own_k"), F.col("d2").alias("own_d2")).join(win, ["set_id", "j"], "left")
+    # what a medoid's sentences lose if it goes, and what a candidate makes good of that
+    loss = plain.where("k1 >= 0").groupBy("set_id", F.col("k1").alias("k")).agg(F.sum(F.col("d2") - F.col("d1")).alias("loss"))
+    good = met.where("k1 >= 0").groupBy("set_id", F.col("k1").alias("k"), "j").agg(F.sum(F.greatest("s", "d2") - F.col("d1") - F.greatest(F.col("s") - F.col("d1"), F.lit(0.0)) - (F.col("d2") - F.col("d1"))).alias("good"))
+    # the medoid that goes: to the candidate or to the nearest medoid that stays, which is the first of `near` (it is not near itself)
+    gone = medoids.select("set_id", "k", F.col("medoid").alias("i")).join(near.select("set_id", "i", "d1"), ["set_id", "i"], "left").select("set_id", "k", "i", F.coalesce("d1", F.lit(0.0)).alias("rest"))
+    swaps = gone.join(items, "set_id").join(loss, ["set_id", "k"], "left").join(good, ["set_id", "k", "j"], "left").join(sides.select("set_id", "i", "j", "s"), ["set_id", "i", "j"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    self_loss = F.when(F.col("own_k") == F.col("k"), F.col("own_d2") - F.col("own_d1")).otherwise(0.0)  # counted in `loss`, but the candidate is no longer assigned
+    gain = zero(F.col("win")) + zero(F.col("loss")) - self_loss + zero(F.col("good")) + F.greatest(zero(F.col("s")), F.col("rest")) - F.col("own_d1")
+    return swaps.select("set_id", "k", F.col("j").alias("sent_idx"), gain.alias("gain"))
+
+
+def pam(sents: DataFrame, pairs: DataFrame, seed: int = 7, k: Column | None = None) -> DataFrame:
+    """(set_id, sent_idx, k): `kernel_pam` for all sets at once, as joins. A round makes one swap in each set, that of the first place from
+    where the last one was, of its first sentence, that raises the utility; sets without one are done. Similarities are not negative."""
+    pairs = pairs.checkpoint()
+    medoids = seeded_medoids(sents, seed, k).checkpoint()
+    sizes = medoids.groupBy("set_id").agg(F.count("*").alias("n")).checkpoint()
+    cursor = sizes.select("set_id", F.lit(0).alias("at")).checkpoint()
+    open_ = cursor
+    while True:
+        live = medoids.join(open_.select("set_id"), "set_id", "left_semi")
+        gains = swap_gains(sents.join(open_.select("set_id"), "set_id", "left_semi"), live, pairs.join(open_.select("set_id"), "set_id", "left_semi"))
+        turn = F.pmod(F.col("k") - F.col("at"), F.col("n"))
+        first = gains.where(F.round("gain", 9) > 0).join(open_, "set_id").join(sizes, "set_id").groupBy("set_id").agg(F.min(F.struct(turn.alias("turn"), "sent_idx", "k", "n")).alias("m"))
+        first = first.select("set_id", F.col("m.k").alias("k"), F.col("m.sent_idx").alias("item"), F.expr("(m.k + 1) % m.n").cast("int").alias("at")).checkpoint()
+        if first.isEmpty():
+            return assigned(sents, medoids, pairs)
+        medoids = medoids.join(first.select("set_id", "k", "item"), ["set_id", "k"], "left").select("set_id", "k", F.coalesce("item", "medoid").alias("medoid")).checkpoint()
+        open_ = first.select("set_id", "at")
+
+
+def distance_medoids(sents: DataFrame, pairs: DataFrame, seed: int = 7) -> DataFrame:
+    """(set_id, sent_idx, k): `kernel_distance_medoids` of distances 1 - s for all sets at once, as joins; a pair that is not there has distance 1.
+    Sets whose state was met before are done; states are told apart by a hash."""
+    shape = sents.groupBy("set_id").agg(F.count("*").alias("n")).withColumn("kk", k_of(F.col("n")))
+    order = W.partitionBy("set_id").orderBy("sent_idx")
+    # the remainder of the 128-bit hash by kk, in two halves of 64 bits and four of 32, so that nothing overflows
+    h = F.md5(F.expr(f"concat('{seed}:', place)"))
+    part = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("long")
+    step = lambda rest, a: F.pmod(rest * F.pmod(F.lit(1 << 32), F.col("kk")) + part(a), F.col("kk"))
+    placed = sents.select("set_id", "sent_idx", (F.row_number().over(order) - 1).alias("place")).join(shape, "set_id")
+    start = F.when(F.col("place") < F.col("kk"), F.col("place")).otherwise(step(step(step(F.pmod(part(1), F.col("kk")), 9), 17), 25))
+    sides = both_ways(pairs).checkpoint()
+    state = placed.select("set_id", "sent_idx", "place", "kk", "n", start.cast("int").alias("k")).checkpoint()
+    done, seen = None, None
+    print_of = lambda df: df.groupBy("set_id").agg(F.sum(F.xxhash64("place", "k").cast("decimal(38,0)")).alias("print"))
+    while True:
+        now = print_of(state)
+        again = now.join(seen, ["set_id", "print"], "left_semi").select("set_id").checkpoint() if seen is not None else None
+        if again is not None:
+            ended = state.join(again, "set_id", "left_semi").select("set_id", "sent_idx", "k")
+            done = ended.checkpoint() if done is None else done.union(ended).checkpoint()
+            state = state.join(again, "set_id", "left_anti").checkpoint()
+            if state.isEmpty():
+                return done
+        seen = now.checkpoint() if seen is None else seen.union(now).checkpoint()
+        # a member's summed distance is the size of its cluster less its similarities there, and less 1 for itself
+        c = state.select("set_id", F.col("sent_idx").alias("i"), "k")
+        inside = sides.join(c, ["set_id", "i"]).join(c.select("set_id", F.col("i").alias("j"), F.col("k").alias("kj")), ["set_id", "j"]).where("k = kj").groupBy("set_id", "i").agg(F.sum("s").alias("near"))
+        centre = state.join(inside.withColumnRenamed("i", "sent_idx"), ["set_id", "sent_idx"], "left").groupBy("set_id", "k").agg(F.min(F.struct(F.round(-F.coalesce("near", F.lit(0.0)), 9).alias("o"), "sent_idx")).alias("m")).select("set_id", "k", F.col("m.sent_idx").alias("j"))
+        zero = state.where("place = 0").select("set_id", F.col("sent_idx").alias("first"), F.explode(F.sequence(F.lit(0), F.col("kk") - 1)).alias("k"))
+        centre = zero.join(centre, ["set_id", "k"], "left").select("set_id", "k", F.coalesce("j", "first").alias("j"), F.col("j").isNull().alias("empty"))
+        # nearest: distance 0 to itself, 1 - s, or 1; of equal ones the lowest cluster
+        to = sides.join(centre, ["set_id", "j"]).select("set_id", F.col("i").alias("sent_idx"), F.round(1 - F.col("s"), 9).alias("d"), "k")
+        to = to.union(centre.select("set_id", F.col("j").alias("sent_idx"), F.lit(0.0), "k")).union(state.select("set_id", "sent_idx", F.lit(1.0), F.lit(0)))
+        best = to.groupBy("set_id", "sent_idx").agg(F.min(F.struct("d", "k")).alias("m")).select("set_id", "sent_idx", F.col("m.k").alias("k"))
+        state = state.drop("k").join(best, ["set_id", "sent_idx"]).select("set_id", "sent_idx", "place", "kk", "n", "k").checkpoint()
+
+
 def disagreement(clusterings: DataFrame) -> DataFrame:
     """(set_id, differ): places at which clusterings (clustering_id, set_id, sent_idx, k) differ, over ordered pairs of them.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -66,10 +67,11 @@ def pronoun_sentences(sents: DataFrame, pronouns: tuple[str, ...] = ("he", "she"
     return sents.where(F.exists(F.split(F.lower("text"), r"\W+"), lambda w: w.isin(*pronouns))).select("set_id", "sent_idx")
 
 
-def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame, steps: int | None = None, diversity: float = 6.0, coverage: float = 5.0, config: Config | None = None) -> DataFrame:
+def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame | list[DataFrame], steps: int | None = None, diversity: float = 6.0, coverage: float = 5.0, config: Config | None = None, at_step=None, stages: int = 0) -> DataFrame:
     """(set_id, step, sent_idx, score) by joins, for sets too large for one task: `steps` sentences of each set, or what the budget of `config` takes.
 
-    One clustering. The state is cut into the shared folder each step. With a config, `sents` has text and tokens.
+    With several clusterings diversity is their mean. `at_step(k)` has (full, clusterings) for the choice after k sentences, k up to `stages`; past it
+    they stay. The state is cut into the shared folder each step. With a config, `sents` has text and tokens.
     """
     shared_checkpoints(full.sparkSession)
     if config is None:
@@ -77,16 +79,29 @@ def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame, steps: int |
         config = Config(length=steps, unit="SENTENCES", diversity=diversity, coverage=coverage, singleton=False)
     else:
         sents = sents.select("set_id", "sent_idx", cost(config).cast("double").alias("cost"), F.greatest(F.length("text"), F.lit(1)).cast("double").alias("size"), left_out(config).alias("out"), "text")
-    full, clusters, sents = full.checkpoint(), clusters.select("set_id", "sent_idx", "k").checkpoint(), sents.checkpoint()
-    if config.prune:
-        weak = pruned(full, sents, config.prune).withColumn("weak", F.lit(True))
-        sents = sents.join(weak, ["set_id", "sent_idx"], "left").withColumn("out", F.col("out") | F.coalesce("weak", F.lit(False))).checkpoint()
-    deg = degrees(full, sents, config.coverage).join(clusters, ["set_id", "sent_idx"]).join(sents.select("set_id", "sent_idx", "cost", "size", "out"), ["set_id", "sent_idx"]).checkpoint()
-    nobody = "set_id " + dict(deg.dtypes)["set_id"] + ", step int, sent_idx int, score double, cost double, kept boolean"
+    sents = sents.checkpoint()
+
+    def stage(full: DataFrame, clusters: DataFrame | list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs, clusterings (set_id, sent_idx, c, k), and what each sentence weighs and costs."""
+        several = clusters if isinstance(clusters, list) else [clusters]
+        full = full.checkpoint()
+        named = reduce(DataFrame.union, [c.select("set_id", "sent_idx", F.lit(n).alias("c"), "k") for n, c in enumerate(several)]).checkpoint()
+        own = sents
+        if config.prune:
+            weak = pruned(full, sents, config.prune).withColumn("weak", F.lit(True))
+            own = sents.join(weak, ["set_id", "sent_idx"], "left").withColumn("out", F.col("out") | F.coalesce("weak", F.lit(False)))
+        deg = degrees(full, sents, config.coverage).join(own.select("set_id", "sent_idx", "cost", "size", "out"), ["set_id", "sent_idx"]).checkpoint()
+        return full, named, deg
+
+    now = first = stage(full, clusters) if at_step is None else stage(*at_step(0))
+    nobody = "set_id " + dict(sents.dtypes)["set_id"] + ", step int, sent_idx int, score double, cost double, kept boolean"
     chosen = full.sparkSession.createDataFrame([], nobody)  # with those that a strict budget passes over, kept false
+    taken = 0
     while True:
+        if at_step is not None and 0 < taken <= stages:
+            now = stage(*at_step(taken))
         kept = chosen.where("kept")
-        scored = _scores(full, deg, kept, config)
+        scored = _scores(*now, kept, config)
         spent = kept.groupBy("set_id").agg(F.sum("cost").alias("spent"), F.count("*").alias("done"))
         rows = scored.where("not out").join(chosen.select("set_id", "sent_idx"), ["set_id", "sent_idx"], "left_anti").join(spent, "set_id", "left").withColumns({"spent": F.coalesce("spent", F.lit(0.0)), "done": F.coalesce("done", F.lit(0))})
         ranked = F.col("score") / F.pow("size", F.lit(config.cost_exponent)) if config.cost_weight else F.col("score")
@@ -97,28 +112,47 @@ def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame, steps: int |
         if best.isEmpty():
             break
         chosen = chosen.union(best).checkpoint()
+        taken += 1
     chosen = chosen.where("kept").select("set_id", "step", "sent_idx", "score")
     if not config.singleton:
         return chosen
-    alone = _scores(full, deg, chosen.limit(0), config).where(~F.col("out") & (F.col("cost") <= config.length))
+    alone = _scores(*first, chosen.limit(0), config).where(~F.col("out") & (F.col("cost") <= config.length))
     alone = alone.groupBy("set_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("sent_idx")).alias("ni"))).alias("m"))
-    last = chosen.groupBy("set_id").agg(F.max_by("score", "step").alias("last"))
+    last = chosen.groupBy("set_id").agg(F.max_by("score", "step").alias("last")) if at_step is None else _whole_scores(*first, chosen, config)
     better = alone.join(last, "set_id").where("m.score > last").select("set_id", F.lit(1).alias("step"), (-F.col("m.ni")).alias("sent_idx"), F.col("m.score").alias("score")).checkpoint()
     return chosen.join(better.select("set_id"), "set_id", "left_anti").union(better)
 
 
-def _scores(full: DataFrame, deg: DataFrame, chosen: DataFrame, config: Config) -> DataFrame:
-    """`deg` with the objective (`score`) of each sentence added to those chosen in its set."""
+def _state(full: DataFrame, clusters: DataFrame, deg: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each sentence has got of the chosen ones; what chosen members weigh in each cluster; the objective's parts of each set."""
     near = full.join(chosen.select("set_id", F.col("sent_idx").alias("j")), ["set_id", "j"]).groupBy("set_id", F.col("i").alias("sent_idx")).agg(F.sum("s").alias("got"))
     state = deg.join(near, ["set_id", "sent_idx"], "left").withColumn("got", F.coalesce("got", F.lit(0.0))).join(chosen.select("set_id", "sent_idx", F.lit(1).alias("in")), ["set_id", "sent_idx"], "left")
-    used = state.groupBy("set_id", "k").agg(F.sum(F.when(F.col("in") == 1, F.col("r")).otherwise(0.0)).alias("rk"))
+    used = clusters.join(state.where("in = 1").select("set_id", "sent_idx", "r"), ["set_id", "sent_idx"]).groupBy("set_id", "c", "k").agg(F.sum("r").alias("rk"))
+    base = state.groupBy("set_id").agg(F.sum(F.least("got", "cap")).alias("base"), F.count("in").alias("before"), F.sum(F.when(F.col("in") == 1, F.col("r"))).alias("inside"))
+    return state, used, base.join(used.groupBy("set_id").agg(F.sum(F.sqrt("rk")).alias("roots")), "set_id", "left").withColumn("roots", F.coalesce("roots", F.lit(0.0)))
+
+
+def _scores(full: DataFrame, clusters: DataFrame, deg: DataFrame, chosen: DataFrame, config: Config) -> DataFrame:
+    """`deg` with the objective (`score`) of each sentence added to those chosen in its set."""
+    state, used, base = _state(full, clusters, deg, chosen)
     gain = full.join(state.select("set_id", F.col("sent_idx").alias("i"), "got", "cap"), ["set_id", "i"]).groupBy("set_id", F.col("j").alias("sent_idx")).agg(F.sum(F.least(F.col("got") + F.col("s"), F.col("cap")) - F.least("got", "cap")).alias("gain"))
-    base = state.groupBy("set_id").agg(F.sum(F.least("got", "cap")).alias("base"), F.count("in").alias("before")).join(used.groupBy("set_id").agg(F.sum(F.sqrt("rk")).alias("roots")), "set_id")
-    rows = deg.join(gain, ["set_id", "sent_idx"], "left").join(base, "set_id").join(used, ["set_id", "k"])
-    spread = F.col("roots") - F.sqrt("rk") + F.sqrt(F.col("rk") + F.col("r"))
+    own = clusters.join(used, ["set_id", "c", "k"], "left").join(deg.select("set_id", "sent_idx", "r"), ["set_id", "sent_idx"])
+    rk = F.coalesce("rk", F.lit(0.0))
+    more = own.groupBy("set_id", "sent_idx").agg(F.sum(F.sqrt(rk + F.col("r")) - F.sqrt(rk)).alias("more"), F.count("*").alias("kinds"))
+    rows = deg.join(gain, ["set_id", "sent_idx"], "left").join(base, "set_id").join(more, ["set_id", "sent_idx"])
+    spread = (F.col("roots") + F.col("more")) / F.col("kinds")
     if config.mean_diversity:
         spread = F.when(F.col("before") == 0, F.col("r")).otherwise(spread)
-    return rows.withColumn("score", F.col("base") + F.coalesce("gain", F.lit(0.0)) + config.diversity * spread).drop("base", "before", "roots", "rk", "gain")
+    return rows.withColumn("score", F.col("base") + F.coalesce("gain", F.lit(0.0)) + config.diversity * spread).drop("base", "before", "inside", "roots", "more", "kinds", "gain")
+
+
+def _whole_scores(full: DataFrame, clusters: DataFrame, deg: DataFrame, chosen: DataFrame, config: Config) -> DataFrame:
+    """(set_id, last): the objective of what is chosen in each set."""
+    base = _state(full, clusters, deg, chosen)[2].join(clusters.groupBy("set_id").agg(F.countDistinct("c").alias("kinds")), "set_id").where("before > 0")
+    spread = F.col("roots") / F.col("kinds")
+    if config.mean_diversity:
+        spread = F.when(F.col("before") == 1, F.col("inside")).otherwise(spread)
+    return base.select("set_id", F.round(F.col("base") + config.diversity * spread, 9).alias("last"))
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
@@ -422,7 +456,7 @@ def kernel_combined(mats: list[np.ndarray], cells: list[np.ndarray], how: str, w
     return out
 
 
-def _choice(mats: list[np.ndarray], cells: list[np.ndarray], near: np.ndarray | None, head: pd.DataFrame, config: Config, steps: list[list[float]] | None) -> list[tuple[int, float]]:
+def _choice(mats: list[np.ndarray], cells: list[np.ndarray], near: np.ndarray | None, head: pd.DataFrame, config: Config, steps: list[list[float]] | None, known: np.ndarray | None = None) -> list[tuple[int, float]]:
     """The choice of one set from its matrices. Clusters are those of `near` if given, of each matrix, or of the combined one.
 
     With `steps`, weights of the matrices for each step, averages, what is pruned and clusters of the combined one are made anew
@@ -430,7 +464,9 @@ def _choice(mats: list[np.ndarray], cells: list[np.ndarray], near: np.ndarray |
     """
     costs, sizes, pronoun = head["x"].to_numpy(float), head["y"].to_numpy(float), head["b"].to_numpy()
     n = len(mats)
-    if near is not None:
+    if known is not None:
+        fixed = [known]
+    elif near is not None:
         fixed = [clusters_of(near, config)]
     else:
         fixed = [clusters_of(np.where(np.eye(len(m), dtype=bool), 1.0, m), config) for m in mats] if config.clusterings == "each" else None
@@ -493,8 +529,8 @@ def select_by_features(weights: DataFrame | None, features: DataFrame, sents: Da
     return rows.groupBy("set_id").applyInPandas(run, f"set_id {key}, step int, sent_idx int, score double")
 
 
-def select_by_matrix(stack: DataFrame, n: int, sents: DataFrame, config: Config, cosine: DataFrame | None = None, steps: list[list[float]] | None = None) -> DataFrame:
-    """As `select_by_features`, for measures given as (set_id, matrix_id, i, j, s), i < j; clusters are those of `cosine` (set_id, i, j, s), if given."""
+def select_by_matrix(stack: DataFrame, n: int, sents: DataFrame, config: Config, cosine: DataFrame | None = None, steps: list[list[float]] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """As `select_by_features`, for measures given as (set_id, matrix_id, i, j, s), i < j; clusters are those of `cosine` (set_id, i, j, s), or `known` ones (set_id, sent_idx, k), if given."""
 
     def cells_of(pairs: DataFrame, kind) -> DataFrame:
         return pairs.select("set_id", F.col("i").cast("int").alias("a"), F.col("j").cast("long").alias("b"), F.col("s").cast("double").alias("x"), F.lit(0.0).alias("y"), kind.cast("int").alias("kind"))
@@ -502,6 +538,8 @@ def select_by_matrix(stack: DataFrame, n: int, sents: DataFrame, config: Config,
     cells = cells_of(stack, F.col("matrix_id") + 10)
     if cosine is not None:
         cells = cells.union(cells_of(cosine, F.lit(2)))
+    if known is not None:
+        cells = cells.union(known.select("set_id", F.col("sent_idx").cast("int").alias("a"), F.col("k").cast("long").alias("b"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(3).alias("kind")))
     apart, key = cosine is not None, dict(sents.dtypes)["set_id"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -519,7 +557,11 @@ def select_by_matrix(stack: DataFrame, n: int, sents: DataFrame, config: Config,
             return w, has
 
         mats, has = zip(*(matrix(10 + m, 0.0) for m in range(n)))
-        return _rows_of(group, ids, _choice(list(mats), list(has), matrix(2, 1.0)[0] if apart else None, head, config, steps))
+        given = None
+        if known is not None:  # sentences that the clustering does not name are in cluster 0
+            cell, given = group[(group["kind"] == 3) & group["a"].isin(ids)], np.zeros(len(ids), np.int64)
+            given[place[cell["a"].to_numpy()]] = cell["b"].to_numpy()
+        return _rows_of(group, ids, _choice(list(mats), list(has), matrix(2, 1.0)[0] if apart else None, head, config, steps, given))
 
     return cells.union(_heads(sents, config)).groupBy("set_id").applyInPandas(run, f"set_id {key}, step int, sent_idx int, score double")
 

@@ -23,6 +23,7 @@ from abridge.sources.word2vec import read_word2vec, write_word2vec
 from abridge.plans.words import FEMALE_NAMES, MALE_NAMES, NEGATIVE, POSITIVE, STOP
 
 CONFIG = Config()
+LISTS = Lists(STOP, POSITIVE, NEGATIVE, MALE_NAMES, FEMALE_NAMES)
 CLUSTERS = [(w, f"cluster-{k % 5}") for k, w in enumerate(("the", "ther", "here", "are", "those", "er", "en", "of", "de", "queue", "elle", "und"))]
 WEIGHTS = [(0, 0, 0.5), (0, 1, 0.25)]
 
@@ -32,7 +33,7 @@ def _sents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weights(s: DataFrame, bigrams: bool = True) -> DataFrame:
-    return tfidf_weights(s, Config(bigrams=bigrams))
+    return tfidf_weights(s, Config(bigrams=bigrams), lists=LISTS)
 
 
 def _cosine(spark: SparkSession, d: str, bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -564,7 +565,7 @@ f"cb AS (SELECT DISTINCT doc_id, unnest(list_concat(list_filter(words, lambda w:
 def tfidf_of_a_corpus(spark, d):
     """Idfs counted on the documents of `benchmark`; a term that they lack counts 1."""
     corpus = _docs(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return _rounded(tfidf_weights(_sents(spark, d), CONFIG, lists=Lists(idf_documents=corpus)), "idf", "tfidf")
+    return _rounded(tfidf_weights(_sents(spark, d), CONFIG, lists=replace(LISTS, idf_documents=corpus)), "idf", "tfidf")
 
 
 @query("SELECT k, n AS size FROM (SELECT lang AS k, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) GROUP BY 1)")
@@ -633,7 +634,7 @@ def sim_embed_top5pairs(spark, d):
 @query()
 def summary_of_all_measures(spark, d):
     """A whole summary of each document: sentiment and tf-idf of stems multiplied, 100 words."""
-    chosen, s = choose(_docs(spark, d), replace(SUMMARY, length=100))
+    chosen, s = choose(_docs(spark, d), replace(SUMMARY, length=100), lists=LISTS)
     return _rounded(chosen, "score")
 
 

@@ -1,4 +1,4 @@
-"""Short word lists of our own, for queries and as defaults; callers give theirs as `sources.lists.Lists`."""
+"""Short word lists for the queries alone, made to meet words of the test tables; callers give theirs as `sources.lists.Lists`."""
 
 STOP = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with",

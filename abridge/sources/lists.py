@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from abridge.plans.words import FEMALE_NAMES, MALE_NAMES, NEGATIVE, POSITIVE, STOP
 from abridge.sources import readers
 
 #: Words of a list at most: lists become literals of a plan.
@@ -24,26 +23,36 @@ def literal_words(words: DataFrame) -> tuple[str, ...]:
 @dataclass(frozen=True)
 class Lists:
     """Stop words, emotion words and names; word clusters (word, cluster_id), documents that idfs are counted on
-    (doc_id, text), word vectors (word, vec) and their length. Tables may be of any size."""
+    (doc_id, text), word vectors (word, vec) and their length. Tables may be of any size. Nothing is given by default: without emotion
+    words sentiment is no measure, without names no pronoun is resolved; `of_language` has stop words."""
 
-    stop: tuple[str, ...] = STOP
-    positive: tuple[str, ...] = POSITIVE
-    negative: tuple[str, ...] = NEGATIVE
-    male: tuple[str, ...] = MALE_NAMES
-    female: tuple[str, ...] = FEMALE_NAMES
+    stop: tuple[str, ...] = ()
+    positive: tuple[str, ...] = ()
+    negative: tuple[str, ...] = ()
+    male: tuple[str, ...] = ()
+    female: tuple[str, ...] = ()
     clusters: DataFrame | None = field(default=None, compare=False)
     idf_documents: DataFrame | None = field(default=None, compare=False)
     vectors: DataFrame | None = field(default=None, compare=False)
     dim: int = 64
 
 
+def of_language(spark: SparkSession, language: str = "english", **more) -> Lists:
+    """Lists with the stop words that Spark's own StopWordsRemover has for a language (english, swedish, german, ...); `more` are other lists."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return Lists(stop=tuple(sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords(language)})), **more)
+
+
 def from_files(
     spark: SparkSession, stop: str | None = None, positive: str | None = None, negative: str | None = None, male: str | None = None, female: str | None = None,
-    clusters: str | None = None, idf_directory: str | None = None, idf_folders: str | None = None, vectors: str | None = None,
+    clusters: str | None = None, idf_directory: str | None = None, idf_folders: str | None = None, vectors: str | None = None, language: str | None = None,
 ) -> Lists:
-    """Lists of one word a line, a clusters file, a directory of idf documents or of folders with a file `sentences`, a word2vec file. What is not named keeps its default."""
+    """Lists of one word a line, a clusters file, a directory of idf documents or of folders with a file `sentences`, a word2vec file. What is not named is empty; `language` names stop words of Spark's."""
     given = {"stop": stop, "positive": positive, "negative": negative, "male": male, "female": female}
     found = {name: literal_words(readers.word_list(spark, path)) for name, path in given.items() if path}
+    if language and not stop:
+        found["stop"] = of_language(spark, language).stop
     if clusters:
         found["clusters"] = readers.word_clusters(spark, clusters)
     if idf_directory:

@@ -32,7 +32,9 @@ def test_other_measures(spark):
     assert set(rows) == {1, 2}
 
 
+WORDS = Lists(stop=("the", "on", "all"), positive=("good", "heavy"), negative=("stupid", "fear"))
 OPTIONS = [
+    {"clusterings": "each", "mean_diversity": True}, {"clustering": "pam"}, {"clustering": "distances"}, {"clusterings": "each", "singleton": True, "length": 9, "unit": "WORDS"},
     {}, {"pronouns": ("she",)}, {"prune": 0.2}, {"aggregate": "avg", "cluster_on_aggregate": True}, {"aggregate": "l2"}, {"aggregate": "max", "strict_length": True, "length": 13, "unit": "WORDS"},
     {"aggregate": "min", "cost_weight": True}, {"use_sentiment": False, "mean_diversity": True}, {"use_sentiment": False, "singleton": True, "length": 12, "unit": "WORDS"}, {"stemmer": "porter2"}, {"use_tfidf": False},
 ]
@@ -43,7 +45,7 @@ def test_joins_choose_what_a_task_chooses(spark, more):
     text = TEXT + " She saw rain and good small cats today. A good town fears stupid birds daily."
     docs = spark.createDataFrame([(1, text), (2, "One good sentence is all there is."), (3, "")], "doc_id long, text string")
     config = Config(**{"length": 4, "unit": "SENTENCES", "use_sentiment": True, "singleton": False} | more)
-    rows = lambda c: sorted((r.set_id, r.step, r.sent_idx, round(r.score, 6)) for r in api.choose(docs, c)[0].collect())
+    rows = lambda c: sorted((r.set_id, r.step, r.sent_idx, round(r.score, 6)) for r in api.choose(docs, c, lists=WORDS)[0].collect())
     one, other = rows(config), rows(replace(config, kernel_limit=0))
     assert one == other and {r[0] for r in one} <= {1, 2} and len(one) > 1
 
@@ -51,13 +53,13 @@ def test_joins_choose_what_a_task_chooses(spark, more):
 def test_features_are_the_pair_measures(spark):
     """Measures made in a task, and the same given as matrices."""
     vectors = spark.createDataFrame([("cats", [1.0, 0.0]), ("rain", [0.0, 1.0]), ("town", [0.6, 0.8]), ("small", [0.1, -0.3])], "word string, vec array<double>")
-    lists = Lists(vectors=vectors, dim=2)
+    lists = replace(WORDS, vectors=vectors, dim=2)
     docs = spark.createDataFrame([(1, TEXT + " Nothing here has a vector.")], "doc_id long, text string")
     for aggregate in ("mult", "l3"):
         config = Config(length=4, unit="SENTENCES", use_sentiment=True, use_embeddings=True, aggregate=aggregate, singleton=False)
         chosen, sents = api.choose(docs, config, lists=lists)
         found = api.pair_measures(sents, config, lists)
-        near = api.pair_measures(sents, Config())[0]
+        near = api.pair_measures(sents, Config(), lists)[0]
         again = api.select.select_by_matrix(combine.stacked(found), len(found), sents, config, near)
         want = [(r.sent_idx, round(r.score, 6)) for r in chosen.orderBy("step").collect()]
         assert want == [(r.sent_idx, round(r.score, 6)) for r in again.orderBy("step").collect()]
