@@ -11,9 +11,9 @@ from abridge.streaming.sets import summarize_sets
 def arriving_sets(spark, d):
     """Conversations begin a minute apart and take turns every 97 seconds, so those on the border of two thirds of the time come in parts. All
     are closed by the end, for time goes on after the last turn."""
-    rows = docs_of(spark, d, "conversations").where("conv_id IS NOT NULL").selectExpr("conv_id AS set_id", "timestamp_seconds(60 * conv_id + 97 * coalesce(turn, 0)) AS at", "turn AS pos", "text")
-    path, end = scratch_path(spark, "arriving"), rows.agg(F.max(F.unix_seconds("at"))).first()[0] or 0
-    part = F.least(F.floor(3 * F.unix_seconds("at") / (end + 1)), F.lit(2))
+    rows = docs_of(spark, d, "conversations").where("conv_id IS NOT NULL").selectExpr("conv_id AS set_id", "timestamp_seconds(1704067200 + 60 * conv_id + 97 * coalesce(turn, 0)) AS at", "turn AS pos", "text")
+    path, end = scratch_path(spark, "arriving"), rows.agg(F.max(F.unix_seconds("at"))).first()[0] or 1704067200
+    part = F.least(F.floor(3 * (F.unix_seconds("at") - 1704067200) / (end - 1704067199)), F.lit(2))
     for k in range(3):
         rows.where(part == k).coalesce(1 if k else 2).write.parquet(f"{path}/in/{k}")
     key = dict(rows.dtypes)["set_id"]
