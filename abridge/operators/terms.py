@@ -10,10 +10,6 @@ from abridge.functions.stem import porter
 from abridge.functions.stem2 import porter2_stems
 
 
-#: Terms of a sentence that are compared with each other, at most.
-LONG = 256
-
-
 def occurrences(sents: DataFrame) -> DataFrame:
     """(set_id, sent_idx, pos, word), a row for each word."""
     return sents.select("set_id", "sent_idx", F.posexplode("words").alias("pos", "word"))
@@ -30,6 +26,15 @@ def with_terms(words: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "non
     return out.join(stems, "word").withColumn("term", F.when(F.col("is_stop"), F.col("word")).otherwise(F.col("stem"))).drop("stem")
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows with an array `counted` of (term, tf) for their array `terms`. Sorted, equal terms are runs, and a run is as long as the next
+    one begins after it: one pass over each row, no shuffle. Filters on these columns would be made anew before them, so put none right behind."""
+    rows = rows.withColumn("up", F.sort_array("terms"))
+    rows = rows.withColumn("at", F.array_compact(F.transform("up", lambda t, i: F.when((i == 0) | (t != F.get("up", i - 1)), i))))
+    ends = F.when(F.size("up") > 0, F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("up")))).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("counted", F.zip_with("at", ends, lambda a, b: F.struct(F.get("up", a).alias("term"), (b - a).alias("tf")))).drop("terms", "up", "at")
+
+
 def bag(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", bigrams: bool = False, clusters: DataFrame | None = None, in_place: bool = False) -> DataFrame:
     """(set_id, sent_idx, term, tf): unigrams but stop words, and bigrams of a word with the one before it.
 
@@ -38,18 +43,10 @@ def bag(sents: DataFrame, stop: tuple[str, ...] = (), stemmer: str = "none", big
     window is needed.
     """
     if stemmer == "none" and clusters is None:
-        listed = F.array(*[F.lit(w) for w in stop]) if stop else F.array().cast("array<string>")
-        singles = F.filter("words", lambda w: ~F.array_contains(listed, w)) if stop else F.col("words")
+        singles = F.filter("words", lambda w: ~w.isin(*stop)) if stop else F.col("words")
         pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
         terms = F.concat(singles, pairs) if bigrams else singles
-        # A sentence is a row, so its terms are counted where it is; only very long ones are counted by a shuffle.
-        rows = sents.select("set_id", "sent_idx", F.array_sort(terms).alias("up")).withColumn("down", F.reverse("up"))
-        # In a sorted array equal terms stand together: from their first place on either side follows how many they are.
-        many = lambda t: (F.size("up") + 2 - F.array_position("up", t) - F.array_position("down", t)).cast("int")
-        counted = F.transform(F.array_distinct("up"), lambda t: F.struct(t.alias("term"), many(t).alias("tf")))
-        short = rows.where(F.size("up") <= LONG).select("set_id", "sent_idx", F.explode(counted).alias("c")).select("set_id", "sent_idx", "c.term", "c.tf")
-        long = rows.where(F.size("up") > LONG).select("set_id", "sent_idx", F.explode("up").alias("term"))
-        return short.union(long.groupBy("set_id", "sent_idx", "term").agg(F.count("*").cast("int").alias("tf")))
+        return counted(sents.select("set_id", "sent_idx", terms.alias("terms"))).select("set_id", "sent_idx", F.explode_outer("counted").alias("c")).select("set_id", "sent_idx", "c.term", "c.tf").where("term IS NOT NULL")
     rows = with_terms(occurrences(sents), stop, stemmer)
     if clusters is not None:
         rows = rows.join(clusters, "word", "left")

@@ -486,8 +486,9 @@ def digest_window(spark, d):
 @query(Q.cte(Q.sents(), Q.bag(False)) + """, ct AS (SELECT set_id AS doc_id, term, sum(tf) AS tf FROM bag GROUP BY ALL), tt AS (SELECT doc_id, sum(tf) AS total FROM ct GROUP BY 1), df AS (SELECT term, count(*) AS df FROM ct GROUP BY 1)
 SELECT doc_id, term, round(tf / total * ln((SELECT count(*) FROM tt) / df), 6) AS weight FROM ct JOIN tt USING (doc_id) JOIN df USING (term)""")
 def digest_doc_tfidf(spark, d):
-    counts = terms.bag(_sents(spark, d), STOP).groupBy(F.col("set_id").alias("doc_id"), "term").agg(F.sum("tf").alias("tf"))
-    return _rounded(digest.document_tfidf(counts), "weight")
+    path = select.scratch_path(spark, "counts")
+    digest.document_counts(_docs(spark, d), STOP).write.parquet(path)
+    return _rounded(digest.document_tfidf(spark.read.parquet(path)), "weight")
 
 
 @query("SELECT k, n AS size, row_number() OVER (ORDER BY n DESC, k) AS place FROM (SELECT source || '/' || lang AS k, count(*) AS n FROM documents GROUP BY 1)")
@@ -639,6 +640,6 @@ def summary_of_all_measures(spark, d):
 
 
 # Queries of modules of their own
-from abridge.plans import arriving, borders, density, vectors  # noqa: E402, F401
+from abridge.plans import arriving, borders, density, swaps, vectors  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
