@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from abridge.config import Config
@@ -65,7 +65,7 @@ def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id",
     if config.input_limit:
         sents = select.sampled(sents, config.input_limit, config.seed)
     plain = order_col is None and not (config.input_limit or config.resolve_pronouns or steps) and config.stemmer == "none" and lists.clusters is None and lists.idf_documents is None
-    large = sents.groupBy("set_id").agg(F.count("*").alias("n")).where(F.col("n") > config.kernel_limit).select("set_id")
+    large = _large(docs, sents, config, set_col, text_col)
     some = not large.isEmpty()
     if some:
         large = large.checkpoint() if select.shared_checkpoints(docs.sparkSession) is None else large
@@ -80,6 +80,24 @@ def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id",
     return (found if big is None else found.union(_by_joins(big, config, order_col is not None, lists, steps))), sents
 
 
+def _large(docs: DataFrame, sents: DataFrame, config: Config, set_col: str, text_col: str) -> DataFrame:
+    """(set_id) of the sets of more than `config.kernel_limit` sentences. A sentence takes two bytes for each of its least tokens, so only sets of as many bytes
+    are looked at; of the others nothing but lengths is read."""
+    size = docs.groupBy(F.col(set_col).alias("set_id")).agg(F.sum(F.octet_length(text_col)).alias("bytes"))
+    maybe = size.where(F.col("bytes") >= 2 * max(1, config.min_tokens) * config.kernel_limit).select("set_id")
+    found = sents.select("set_id").join(maybe, "set_id", "left_semi")
+    return found.groupBy("set_id").agg(F.count("*").alias("n")).where(F.col("n") > config.kernel_limit).select("set_id")
+
+
+def observed(sents: DataFrame, selection: DataFrame, name: str = "abridge") -> tuple[DataFrame, DataFrame, Observation, Observation]:
+    """The same tables, with what is known of a run once their rows have been made: sentences, their tokens and the longest (of `sents`), and
+    chosen sentences, steps and the best and the least score (of `selection`). No job is run for it."""
+    of_sents, of_choice = Observation(f"{name}-sentences"), Observation(f"{name}-choice")
+    seen = sents.observe(of_sents, F.count(F.lit(1)).alias("sentences"), F.sum(F.size("tokens")).alias("tokens"), F.max(F.size("tokens")).alias("longest"), F.max("sent_idx").alias("last"))
+    made = selection.observe(of_choice, F.count(F.lit(1)).alias("chosen"), F.max("step").alias("steps"), F.max("score").alias("best"), F.min("score").alias("least"))
+    return seen, made, of_sents, of_choice
+
+
 def _by_features(sents: DataFrame, config: Config, several: bool, lists: Lists, steps: list[list[float]] | None) -> DataFrame:
     names = _measures(config, lists)
     near = not config.cluster_on_aggregate and config.clusterings == "one"
