@@ -163,7 +163,7 @@ def idf_sentence_freq(spark, d):
     return terms.bag(_sents(spark, d), STOP, bigrams=True).groupBy("set_id", "term").agg(F.count("*").alias("df"))
 
 
-@query(Q.cte(Q.sents(), Q.bag(), Q.IDF) + "SELECT set_id, sent_idx, term, tf, round(idf, 6) AS idf, round(tf * idf, 6) AS tfidf FROM bag JOIN idf USING (set_id, term)")
+@query(Q.cte(Q.sents(), Q.bag().replace(" AS (", " AS MATERIALIZED (", 1), Q.IDF) + "SELECT set_id, sent_idx, term, tf, round(idf, 6) AS idf, round(tf * idf, 6) AS tfidf FROM bag JOIN idf USING (set_id, term)")
 def tfidf_terms(spark, d):
     return _rounded(_weights(_sents(spark, d)), "idf", "tfidf")
 
@@ -416,7 +416,7 @@ def _kernel(name: str, doc: str, sql: str | None, **options):
 # Sentences have four words or more, so a budget of 100 words takes 25 steps at most; 600 bytes take 30 on these tables.
 _kernel("greedy_words", "A budget of 100 words.", _KERNEL + Q.budget(100, Q.WORDS, 25), length=100)
 _kernel("greedy_chars", "A budget of 600 bytes.", _KERNEL + Q.budget(600, Q.BYTES, 30), length=600, unit="CHARACTERS")
-_kernel("greedy_strict", "A sentence that overshoots the budget is passed over; SQL would need a step for each.", None, length=100, strict_length=True)
+_kernel("greedy_strict", "A sentence that overshoots the budget is passed over.", _KERNEL + Q.budget(100, Q.WORDS, 25, strict=True), length=100, strict_length=True)
 _kernel("greedy_costweight", "Scores divided by length ** 0.3.", _KERNEL + Q.budget(100, Q.WORDS, 25, weight=True), length=100, cost_weight=True)
 _kernel("greedy_singleton", "One sentence may replace the rest.", _KERNEL + Q.budget(30, Q.WORDS, 8), length=30, singleton=True)
 _kernel("greedy_pruned", "Without the weakest two fifths.", _KERNEL + _PRUNED + Q.budget(100, Q.WORDS, 25, _WEAK), length=100, prune=0.4)

@@ -138,8 +138,9 @@ r{k} AS MATERIALIZED (SELECT r.set_id, r.sent_idx, CASE WHEN u{k}.u > r.u THEN a
 WORDS, BYTES, ONE = "len(tokens)::DOUBLE", "(strlen(text) + 1)::DOUBLE", "1.0"
 
 
-def budget(length: float, cost: str, steps: int, left_out: str = "false", weight: bool = False, singleton: bool = True, diversity: float = 6.0) -> str:
-    """fin(set_id, step, sent_idx, score): the greedy choice with a budget, `steps` at most, over clusters `cl`. `left_out` is a condition on s."""
+def budget(length: float, cost: str, steps: int, left_out: str = "false", weight: bool = False, singleton: bool = True, diversity: float = 6.0, strict: bool = False) -> str:
+    """fin(set_id, step, sent_idx, score): the greedy choice with a budget, `steps` at most, over clusters `cl`. `left_out` is a condition on s; with `strict`
+    only sentences that fit into the rest of the budget are chosen."""
     out = [
         f"cst AS MATERIALIZED (SELECT set_id, sent_idx, {cost} AS cost, greatest(length(text), 1) AS size, {left_out} AS gone FROM s)",
         "st AS MATERIALIZED (SELECT deg.*, cl.k, cost, size, gone FROM deg JOIN cl USING (set_id, sent_idx) JOIN cst USING (set_id, sent_idx))",
@@ -159,10 +160,11 @@ v{k} AS MATERIALIZED (SELECT g.*, base + gain + {diversity} * (sqrt(rk + g.r) -
 
     rank = "round(v / pow(size, 0.3), 9)" if weight else "round(v, 9)"
     for k in range(1, steps + 1):
+        fits = f" AND cost + coalesce((SELECT sum(z.cost) FROM p{k - 1} z WHERE z.set_id = v{k}.set_id), 0) <= {length}" if strict else ""
         out.append(value(k, f"p{k - 1}"))
         out.append(f"""
 p{k} AS MATERIALIZED (SELECT * FROM p{k - 1} UNION ALL SELECT set_id, {k}, arg_max(sent_idx, (rank, -sent_idx)), arg_max(v, (rank, -sent_idx)), arg_max(cost, (rank, -sent_idx))
-  FROM (SELECT set_id, sent_idx, round(v, 9) AS v, cost, {rank} AS rank FROM v{k} WHERE NOT inside AND NOT gone AND set_id NOT IN (SELECT set_id FROM p{k - 1} GROUP BY 1 HAVING sum(cost) >= {length} OR max(step) < {k - 1})) WHERE rank > 0 GROUP BY 1)""")
+  FROM (SELECT set_id, sent_idx, round(v, 9) AS v, cost, {rank} AS rank FROM v{k} WHERE NOT inside AND NOT gone{fits} AND set_id NOT IN (SELECT set_id FROM p{k - 1} GROUP BY 1 HAVING sum(cost) >= {length} OR max(step) < {k - 1})) WHERE rank > 0 GROUP BY 1)""")
     if not singleton:
         return ", ".join(out) + f", fin AS (SELECT set_id, step, sent_idx, score FROM p{steps})"
     out.append(value(0, "p0"))
