@@ -640,6 +640,6 @@ def summary_of_all_measures(spark, d):
 
 
 # Queries of modules of their own
-from abridge.plans import arriving, borders, density, runs, swaps, vectors  # noqa: E402, F401
+from abridge.plans import arriving, borders, density, in_sql, runs, swaps, vectors  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
