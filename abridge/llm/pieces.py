@@ -92,7 +92,8 @@ class BytePieces:
         parts = coded.dictionary.to_pylist()
         odd = np.array([not p or p[0].isspace() for p in parts], bool)[which]
         odd[first[:-1]] = False
-        ids = [self.encode(" " + p) for p in parts]
+        known = self.parts.get
+        ids = [found if (found := known(p)) is not None else self.encode(p) for p in (" " + p for p in parts)]
         # The first part of a text has no space before it.
         heads: dict[str, int] = {}
         for k in first[:-1].tolist():
