@@ -36,6 +36,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-w2v", action="store_true")
     p.add_argument("--w2v-file")
     p.add_argument("--stopwords-file")
+    p.add_argument("--language", help="stop words of Spark's own for a language, if no file is named")
+    p.add_argument("--idf-of-sentences", action="store_true", help="count sentences, not documents, for idfs")
     p.add_argument("--positive-words-file")
     p.add_argument("--negative-words-file")
     p.add_argument("--male-names-file")
@@ -68,6 +70,7 @@ def config_of(args: argparse.Namespace) -> api.Config:
     config = replace(
         api.SUMMARY, length=length, unit=unit, diversity=args.diversity, bigrams=not args.disable_bigrams, stemmer=args.stemmer, use_tfidf=not args.no_tfidf, use_sentiment=not args.no_sentiment,
         use_embeddings=not args.no_w2v, input_limit=args.input_limit, cluster_on_aggregate=args.use_aggregate_for_clustering, resolve_pronouns=args.anaphora_resolution_simple,
+        idf_unit="sentences" if args.idf_of_sentences else "documents",
     )
     for flag in args.flag:
         config = replace(config, **FLAGS[flag])
@@ -79,14 +82,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     config = config_of(args)
     side = lists.from_files(
         spark, args.stopwords_file, args.positive_words_file, args.negative_words_file, args.male_names_file, args.female_names_file, args.word_clusters_file, args.collection_for_idfs,
-        args.folders_for_idfs, None if args.no_w2v else args.w2v_file,
+        args.folders_for_idfs, None if args.no_w2v else args.w2v_file, args.language,
     )
     matrices = args.matrix_file + (args.files if args.m else [])
     if matrices:
         if not args.s:
             raise SystemExit("matrices need a file of sentences (--s)")
         chosen = api.summarize_matrices(spark, matrices, args.s, config, args.weights_file, args.clustering_file, side)
-        sents = api.sentences(spark.read.text(args.s, wholetext=True).selectExpr("'input' as set_id", "value as text"), "set_id", min_tokens=1, split=False)
+        sents = api.readers.sentence_lines(spark, args.s)
     else:
         files = args.files + args.document_file
         if not files:

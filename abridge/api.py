@@ -36,12 +36,12 @@ def _measures(config: Config, lists: Lists) -> tuple[str, ...]:
 
 
 def tfidf_weights(sents: DataFrame, config: Config, several: bool = False, lists: Lists = Lists()) -> DataFrame:
-    """Weights of each sentence's terms. Documents of the lists' corpus count for df; else, with several documents in a set, those; else its sentences."""
+    """Weights of each sentence's terms. Documents of the lists' corpus count for df; else, with several documents in a set, those, or sentences (`idf_unit`); else its sentences."""
     bags = terms.bag(sents, lists.stop, config.stemmer, config.bigrams, lists.clusters, config.clusters_in_place)
     if lists.idf_documents is not None:
         corpus = sentences(lists.idf_documents, "doc_id", "text", 1, split=False)
         idfs = terms.corpus_idf(corpus, lists.stop, config.stemmer, config.idf_mode, lists.clusters)
-    elif several:
+    elif several and config.idf_unit == "documents":
         placed = bags.join(sents.select("set_id", "sent_idx", "doc_pos"), ["set_id", "sent_idx"])
         sizes = sents.groupBy("set_id").agg(F.countDistinct("doc_pos").alias("docs"))
         # A set of one document counts sentences.

@@ -16,6 +16,7 @@ class Config:
     stemmer: str = "none"  # or porter, porter2
     bigrams: bool = True
     idf_mode: str = "real"  # or floor
+    idf_unit: str = "documents"  # or sentences, in sets of several documents
     zero_idf_as_one: bool = False
     use_tfidf: bool = True
     use_sentiment: bool = False
@@ -40,7 +41,7 @@ class Config:
     def __post_init__(self):
         if self.unit not in ("WORDS", "SENTENCES", "CHARACTERS"):
             raise ValueError(f"unknown length unit {self.unit}")
-        for name, known in (("stemmer", ("none", "porter", "porter2")), ("idf_mode", ("real", "floor")), ("clusterings", ("one", "each")), ("clustering", ("medoids", "pam", "distances")), ("counting", ("tokens", "pieces"))):
+        for name, known in (("stemmer", ("none", "porter", "porter2")), ("idf_mode", ("real", "floor")), ("idf_unit", ("documents", "sentences")), ("clusterings", ("one", "each")), ("clustering", ("medoids", "pam", "distances")), ("counting", ("tokens", "pieces"))):
             if getattr(self, name) not in known:
                 raise ValueError(f"{name} must be one of {', '.join(known)}")
         if self.aggregate not in ("mult", "avg", "l2", "l3", "l4", "l100", "max", "min"):

@@ -73,11 +73,6 @@ def sentences(docs: DataFrame, set_col: str = "doc_id", text_col: str = "text",
     return rows.select("set_id", "doc_pos", "sent_idx", "s.text", "s.tokens", word_array(F.col("s.tokens")).alias("words"))
 
 
-def locale_sentences(text: Column, language: str = "en") -> Column:
-    """Sentences of a text as arrays of words, by the rules that the platform has for a language."""
-    return F.sentences(text, F.lit(language))
-
-
 def bare(token: Column) -> Column:
     """Lower case without one trailing . ? , ! or )."""
     return F.regexp_replace(F.lower(token), r"[.?,!)]$", "")

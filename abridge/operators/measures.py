@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abridge.operators import terms
+
 
 def _shared_terms(weights: DataFrame, value: str) -> DataFrame:
     """(set_id, i, j, dot): an inverted index joined with itself; terms of weight 0 add nothing and are left out."""
@@ -155,8 +157,11 @@ def mean_word_pairs(scores: DataFrame, best: int | None = None) -> DataFrame:
     return scores.groupBy("set_id", "i", "j").agg(F.avg("s").alias("s"))
 
 
-def title_overlap(rows: DataFrame) -> DataFrame:
-    """(set_id, i, j, s): equal distinct words / the smaller number of words, of pairs that share one."""
+def title_overlap(rows: DataFrame, stemmer: str = "none") -> DataFrame:
+    """(set_id, i, j, s): equal distinct words, or their stems, / the smaller number of them, of pairs that share one."""
+    if stemmer != "none":
+        stems = terms.with_terms(terms.occurrences(rows), (), stemmer)
+        rows = stems.groupBy("set_id", "sent_idx").agg(F.collect_set("term").alias("words"))  # of one sentence
     words = rows.select("set_id", "sent_idx", F.array_distinct("words").alias("w")).withColumn("n", F.size("w"))
     one = words.select("set_id", "sent_idx", "n", F.explode("w").alias("word"))
     pairs = one.alias("a").join(one.alias("b"), ["set_id", "word"]).where("a.sent_idx < b.sent_idx")

@@ -126,8 +126,8 @@ def greedy(full: DataFrame, sents: DataFrame, clusters: DataFrame | list[DataFra
 def _state(full: DataFrame, clusters: DataFrame, deg: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What each sentence has got of the chosen ones; what chosen members weigh in each cluster; the objective's parts of each set."""
     near = full.join(chosen.select("set_id", F.col("sent_idx").alias("j")), ["set_id", "j"]).groupBy("set_id", F.col("i").alias("sent_idx")).agg(F.sum("s").alias("got"))
-    state = deg.join(near, ["set_id", "sent_idx"], "left").withColumn("got", F.coalesce("got", F.lit(0.0))).join(chosen.select("set_id", "sent_idx", F.lit(1).alias("in")), ["set_id", "sent_idx"], "left")
-    used = clusters.join(state.where("in = 1").select("set_id", "sent_idx", "r"), ["set_id", "sent_idx"]).groupBy("set_id", "c", "k").agg(F.sum("r").alias("rk"))
+    state = deg.join(near, ["set_id", "sent_idx"], "left").withColumn("got", F.coalesce("got", F.lit(0.0))).join(chosen.select("set_id", "sent_idx", F.lit(1).alias("in")), ["set_id", "sent_idx"], "left").checkpoint()
+    used = clusters.join(state.where("in = 1").select("set_id", "sent_idx", "r"), ["set_id", "sent_idx"]).groupBy("set_id", "c", "k").agg(F.sum("r").alias("rk")).checkpoint()
     base = state.groupBy("set_id").agg(F.sum(F.least("got", "cap")).alias("base"), F.count("in").alias("before"), F.sum(F.when(F.col("in") == 1, F.col("r"))).alias("inside"))
     return state, used, base.join(used.groupBy("set_id").agg(F.sum(F.sqrt("rk")).alias("roots")), "set_id", "left").withColumn("roots", F.coalesce("roots", F.lit(0.0)))
 
@@ -540,7 +540,7 @@ def select_by_matrix(stack: DataFrame, n: int, sents: DataFrame, config: Config,
         cells = cells.union(cells_of(cosine, F.lit(2)))
     if known is not None:
         cells = cells.union(known.select("set_id", F.col("sent_idx").cast("int").alias("a"), F.col("k").cast("long").alias("b"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(3).alias("kind")))
-    apart, key = cosine is not None, dict(sents.dtypes)["set_id"]
+    apart, told, key = cosine is not None, known is not None, dict(sents.dtypes)["set_id"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         head = group[group["kind"] == 1].sort_values("a")
@@ -558,7 +558,7 @@ def select_by_matrix(stack: DataFrame, n: int, sents: DataFrame, config: Config,
 
         mats, has = zip(*(matrix(10 + m, 0.0) for m in range(n)))
         given = None
-        if known is not None:  # sentences that the clustering does not name are in cluster 0
+        if told:  # sentences that the clustering does not name are in cluster 0
             cell, given = group[(group["kind"] == 3) & group["a"].isin(ids)], np.zeros(len(ids), np.int64)
             given[place[cell["a"].to_numpy()]] = cell["b"].to_numpy()
         return _rows_of(group, ids, _choice(list(mats), list(has), matrix(2, 1.0)[0] if apart else None, head, config, steps, given))

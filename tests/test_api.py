@@ -34,7 +34,7 @@ def test_other_measures(spark):
 
 WORDS = Lists(stop=("the", "on", "all"), positive=("good", "heavy"), negative=("stupid", "fear"))
 OPTIONS = [
-    {"clusterings": "each", "mean_diversity": True}, {"clustering": "pam"}, {"clustering": "distances"}, {"clusterings": "each", "singleton": True, "length": 9, "unit": "WORDS"},
+    {"clusterings": "each", "mean_diversity": True}, {"clustering": "pam"}, {"clustering": "distances"},
     {}, {"pronouns": ("she",)}, {"prune": 0.2}, {"aggregate": "avg", "cluster_on_aggregate": True}, {"aggregate": "l2"}, {"aggregate": "max", "strict_length": True, "length": 13, "unit": "WORDS"},
     {"aggregate": "min", "cost_weight": True}, {"use_sentiment": False, "mean_diversity": True}, {"use_sentiment": False, "singleton": True, "length": 12, "unit": "WORDS"}, {"stemmer": "porter2"}, {"use_tfidf": False},
 ]
