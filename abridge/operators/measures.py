@@ -30,6 +30,16 @@ def tfidf_cosine(weights: DataFrame, norms: DataFrame) -> DataFrame:
     return pairs.select("set_id", "i", "j", ratio(F.col("dot"), F.col("ni") * F.col("nj")).alias("s"))
 
 
+def indexed_cosine(index: DataFrame) -> DataFrame:
+    """`tfidf_cosine` from the index of `terms.document_weights`: a term's places are paired where they lie, and sums are begun there; only pairs and norms are shuffled."""
+    rows = index.where("idf <> 0").select("set_id", (F.col("idf") * F.col("idf")).alias("q"), "places")
+    pairs = rows.where(F.size("places") > 1).select("set_id", "q", "places", F.explode("places").alias("a"))
+    pairs = pairs.select("set_id", "q", "a", F.explode(F.filter("places", lambda p: p["sent_idx"] > F.col("a.sent_idx"))).alias("b"))
+    dots = pairs.groupBy("set_id", F.col("a.sent_idx").alias("i"), F.col("b.sent_idx").alias("j")).agg(F.sum(F.col("q") * F.col("a.tf") * F.col("b.tf")).alias("dot"))
+    sized = _with_norms(dots, terms.norms(terms.placed_weights(index)), "tfidf_norm")
+    return sized.select("set_id", "i", "j", ratio(F.col("dot"), F.col("ni") * F.col("nj")).alias("s"))
+
+
 def all_pairs(rows: DataFrame, *columns: str) -> DataFrame:
     """Pairs i < j of a set's sentences with columns of both (suffixes _i, _j). Its size is the square of a set's: for small sets."""
     a = rows.select("set_id", F.col("sent_idx").alias("i"), *[F.col(c).alias(f"{c}_i") for c in columns])
