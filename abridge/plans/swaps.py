@@ -3,9 +3,7 @@
 from pyspark.sql import functions as F
 
 from abridge.config import Config
-from abridge.functions.text import sentences
-from abridge.operators import cluster
-from abridge.operators.select import cosine_pairs
+from abridge.operators.select import document_swap_gains
 from abridge.plans import sql as Q
 from abridge.plans.catalog import docs_of, query, rounded
 from abridge.plans.words import STOP
@@ -24,7 +22,4 @@ af AS (SELECT ov.set_id, ov.k, pl.i AS item, sum(CASE WHEN ov.i = pl.i THEN 0 EL
 + "SELECT set_id, k::INT AS k, item AS sent_idx, round(af.total - coalesce(nw.total, 0), 6) + 0.0 AS gain FROM af LEFT JOIN nw USING (set_id)")
 def cluster_swap_gains(spark, d):
     """What each swap of one of three seeded medoids of every document would gain."""
-    docs = docs_of(spark, d)
-    sents = sentences(docs)
-    gains = cluster.swap_gains(sents, cluster.seeded_medoids(sents, k=F.lit(3)), cosine_pairs(docs, Config(bigrams=False), STOP))
-    return rounded(gains, "gain").withColumn("gain", F.col("gain") + 0.0)
+    return rounded(document_swap_gains(docs_of(spark, d), Config(bigrams=False), 3, STOP), "gain").withColumn("gain", F.col("gain") + 0.0)

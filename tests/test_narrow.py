@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from abridge.config import Config
 from abridge.functions import text as T
-from abridge.operators import measures, terms
+from abridge.operators import cluster, combine, measures, select, terms
 
 TEXTS = [
     (1, "The red fox runs far away. The red fox sleeps far away! A blue bird sings the red song? The red fox runs far away."),
@@ -44,3 +45,44 @@ def test_cosine_by_an_index(spark):
     w = terms.weighted(terms.bag(s, stop, bigrams=True), terms.idf(terms.bag(s, stop, bigrams=True), ("sent_idx",), docs=s))
     new = measures.indexed_cosine(terms.document_weights(docs, stop, True))
     assert _rows(new) == _rows(measures.tfidf_cosine(w, terms.norms(w)))
+
+
+def test_distances_of_rows(spark):
+    docs, stop = _docs(spark).union(spark.createDataFrame([(6, "The the the the. Ab cd ef gh. Ab cd ij kl.")], "doc_id long, text string")), ("the",)
+    s = T.sentences(docs)
+    bags = terms.bag(s, stop)
+    w = terms.weighted(bags, terms.idf(bags, ("sent_idx",), docs=s))
+    for kind, old in (("idf", measures.idf_distance), ("tfidf", measures.tfidf_euclidean)):
+        new = select.distance_pairs(docs, Config(bigrams=False), kind, stop)
+        assert _rows(new) == _rows(old(w, terms.norms(w)))
+        assert _exchanges(new) == 0
+
+
+def test_combined_pairs_of_rows(spark):
+    docs, stop, pos, neg = _docs(spark), ("the",), ("red", "ab"), ("far", "red")
+    config = Config(bigrams=False)
+    f = measures.sentiment_fractions(T.sentences(docs), pos, neg)
+    stack = combine.stacked([measures.sentiment_pairs(f, "pos"), measures.sentiment_pairs(f, "neg"), select.cosine_pairs(docs, config, stop)])
+    for how in ("mult", "avg", "l2", "l100", "max", "min"):
+        new = select.combined_pairs(docs, config, how, pos, neg, stop)
+        assert _rows(new) == _rows(combine.combined(stack, 3, how))
+        assert _exchanges(new) == 0
+
+
+def test_clusters_of_rows(spark):
+    docs, stop, config = _docs(spark), ("the",), Config()
+    s, cos = T.sentences(docs), select.cosine_pairs(docs, Config(), stop)
+    medoids = cluster.seeded_medoids(s)
+    once, full = cluster.assigned(s, medoids, cos), select.with_diagonal(cos, s)
+    first = s.where("sent_idx < 2").select("set_id", "sent_idx")
+    pairs = [
+        (select.document_assigned(docs, config, stop), once),
+        (select.document_best_medoids(docs, config, stop), cluster.best_medoids(once, cos)),
+        (select.document_utility(docs, config, stop), cluster.utility(once, medoids, cos)),
+        (select.document_coverage(docs, config, 2, stop), select.coverage_score(first, full, select.degrees(full, s))),
+        (select.document_pruned(docs, Config(prune=0.4), stop), select.pruned(full, s)),
+        (select.document_swap_gains(docs, config, 3, stop), cluster.swap_gains(s, cluster.seeded_medoids(s, k=F.lit(3)), cos)),
+    ]
+    for new, old in pairs:
+        assert _rows(new) == _rows(old)
+        assert _exchanges(new) == 0
