@@ -41,12 +41,14 @@ def tokens_of(text: Column) -> Column:
 def pair_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, word, stop, following, upper, n): words with and without a full stop; of those with one, the word that follows in the
     text and whether it begins with a capital. A null language is the language ''. Words hold a letter or digit."""
-    bare = F.transform(tokens_of(F.col(text_col)), core)
-    words = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), bare.alias("t")).where(F.size("t") > 0)
-    rows = words.select("lang", F.explode(F.zip_with("t", F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), F.array(F.lit(None).cast("string"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    stop, after = has_stop(F.col("p.a")), F.when(F.col("p.b").rlike(r"[\p{L}\p{Nd}]"), F.col("p.b"))
-    rows = rows.select("lang", type_of(F.col("p.a")).alias("word"), stop.alias("stop"), F.when(stop, type_of(after)).alias("following"), F.coalesce(F.when(stop, after.rlike(r"^\p{Lu}")), F.lit(False)).alias("upper"))
-    return rows.where(F.col("word").rlike(r"[\p{L}\p{Nd}#]")).groupBy("lang", "word", "stop", "following", "upper").agg(F.count("*").alias("n"))
+    words = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), tokens_of(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    nexts = F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), F.array(F.lit(None).cast("string")))
+    rows = words.select("lang", F.explode(F.zip_with("t", nexts, lambda a, b: F.struct(a.alias("a"), F.when(a.contains("."), b).alias("b")))).alias("p"))
+    # tokens are counted as they are, so that patterns are matched once for each distinct one; what follows is asked only where a full stop may be
+    rows = rows.groupBy("lang", "p.a", "p.b").agg(F.count("*").alias("m")).select("lang", core(F.col("a")).alias("a"), core(F.col("b")).alias("b"), "m")
+    stop, after = has_stop(F.col("a")), F.when(F.col("b").rlike(r"[\p{L}\p{Nd}]"), F.col("b"))
+    rows = rows.select("lang", type_of(F.col("a")).alias("word"), stop.alias("stop"), F.when(stop, type_of(after)).alias("following"), F.coalesce(F.when(stop, after.rlike(r"^\p{Lu}")), F.lit(False)).alias("upper"), "m")
+    return rows.where(F.col("word").rlike(r"[\p{L}\p{Nd}#]")).groupBy("lang", "word", "stop", "following", "upper").agg(F.sum("m").alias("n"))
 
 
 def _log(p: Column) -> Column:
@@ -114,9 +116,17 @@ def bordered(docs: DataFrame, learned: Borders, set_col: str = "doc_id", lang_co
     sentence. Texts are cut where they are: only a row's distinct words before and after full stops travel, to be looked up.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(set_col).alias("set_id"), lang.alias("lang"), tokens_of(F.col(text_col)).alias("t")).withColumn("c", F.transform("t", core))
-    nexts = F.concat(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(1))), F.array(F.lit("")))
-    rows = rows.where(F.size("t") > 0).withColumn("p", F.zip_with("c", nexts, lambda a, b: F.struct(type_of(a).alias("w"), has_stop(a).alias("stop"), a.rlike(r"[!?]$").alias("mark"), a.rlike(r"\.\.$").alias("dots"), type_of(b).alias("f"), b.rlike(r"^\p{Lu}").alias("up"))))
+    texts = docs.select(F.col(set_col).alias("set_id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    # only a token that holds one of . ! ? may end a sentence, so only those and what follows them are looked at
+    holds = lambda x: x.contains(".") | x.contains("!") | x.contains("?")
+    told_of = lambda a, b, at: F.struct(type_of(a).alias("w"), has_stop(a).alias("stop"), a.rlike(r"[!?]$").alias("mark"), a.rlike(r"\.\.$").alias("dots"), type_of(b).alias("f"), b.rlike(r"^\p{Lu}").alias("up"), at.alias("at"))
+
+    def looked_at(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("t", tokens_of(F.col("text"))).drop("text")
+        rows = rows.withColumn("m", F.filter(F.transform("t", lambda x, i: F.when(holds(x), F.struct(core(x).alias("a"), core(F.coalesce(F.get("t", i + 1), F.lit(""))).alias("b"), i.alias("i")))), lambda x: x.isNotNull()))
+        return rows.withColumn("p", F.transform("m", lambda x: told_of(x["a"], x["b"], x["i"]))).drop("m")
+
+    rows = looked_at(texts)
     asked = F.array_distinct(F.transform(F.filter("p", lambda x: x["stop"]), lambda x: F.struct(x["w"].alias("w"), x["f"].alias("f"))))
     pairs = rows.select("set_id", "lang", F.explode(asked).alias("q")).select("set_id", "lang", "q.w", "q.f").distinct()
     found = (
@@ -126,13 +136,13 @@ def bordered(docs: DataFrame, learned: Borders, set_col: str = "doc_id", lang_co
         .where("short OR starts OR tied")
     )
     told = found.groupBy("set_id", "lang").agg(F.collect_set(F.when(F.col("short"), F.col("w"))).alias("short"), F.collect_set(F.when(F.col("starts"), F.col("f"))).alias("starts"), F.collect_set(F.when(F.col("tied"), F.struct("w", "f"))).alias("tied"))
-    rows = rows.withColumn("key", F.struct("set_id")).join(told.withColumn("key", F.struct("set_id")).drop("set_id"), ["key", "lang"], "left")
+    rows = looked_at(texts.withColumn("key", F.struct("set_id")).join(told.withColumn("key", F.struct("set_id")).drop("set_id"), ["key", "lang"], "left")).where(F.size("t") > 0)  # texts travel, not what is made of them
     held = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
     careful = lambda x: held("short", x["w"]) | x["w"].rlike(r"^\p{L}$") | (x["w"] == "#")
     ends = lambda x: x["mark"] | (x["dots"] & x["up"]) | (x["stop"] & ~(careful(x) & ~(x["up"] & held("starts", x["f"]))) & ~held("tied", F.struct(x["w"], x["f"])))
-    last = F.size("p") - 1
-    cuts = F.filter(F.transform("p", lambda x, i: F.when(ends(x) | (i == last), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("e", cuts)
+    last = F.size("t") - 1
+    cuts = F.filter(F.transform("p", lambda x: F.when(ends(x) & (x["at"] < last), x["at"])), lambda i: i.isNotNull())
+    rows = rows.withColumn("e", F.concat(cuts, F.array(last)))
     begin = lambda k: F.when(k == 0, 0).otherwise(F.get("e", k - 1) + 1)
     texts = F.transform("e", lambda e, k: F.array_join(F.slice("t", begin(k) + 1, e - begin(k) + 1), " "))
     return rows.select("set_id", F.posexplode(texts).alias("sent_idx", "text"))

@@ -1,6 +1,7 @@
 """Queries of sentence borders that are learned from `documents`, and their SQL."""
 
 from abridge.operators import borders as B
+from abridge.operators.select import scratch_path
 from abridge.plans.catalog import docs_of, query, rounded
 
 _OPEN, _CLOSE = B.OPENING.replace("'", "''"), B.CLOSING.replace("'", "''")
@@ -50,15 +51,22 @@ pairs AS (SELECT lang, word, following, {_ratio('a', 'b', 'k', 'words')} AS rati
   WHERE k * words > a * b AND {_ratio('a', 'b', 'k', 'words')} > {B.COLLOCATION} AND (lang, following) NOT IN (SELECT (lang, word) FROM starters))"""
 
 
+def _counted(spark, d):
+    """`pair_counts` of all documents, written once: several sums are made of them."""
+    path = scratch_path(spark, "borders")
+    B.pair_counts(docs_of(spark, d)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(f"WITH {_COUNTS} SELECT lang, word, n_stop, n_bare, round(score, 6) + 0.0 AS score FROM scored")
 def borders_abbreviations(spark, d):
     """How much each word that is met with a full stop looks like an abbreviation."""
-    return rounded(B.abbreviation_scores(B.pair_counts(docs_of(spark, d))), "score")
+    return rounded(B.abbreviation_scores(_counted(spark, d)), "score")
 
 
 @query(f"WITH {_COUNTS} SELECT lang, word, round(ratio, 4) AS ratio FROM starters")
 def borders_starters(spark, d):
-    return rounded(B.learn_borders(docs_of(spark, d)).starters, "ratio", digits=4)
+    return rounded(B.learn_borders(docs_of(spark, d), counts=_counted(spark, d)).starters, "ratio", digits=4)
 
 
 @query(f"""WITH {_COUNTS}, marked AS (
@@ -69,4 +77,4 @@ SELECT n.doc_id AS set_id, n.k::INT AS sent_idx, string_agg(b.t[n.i], ' ' ORDER
 def borders_sentences(spark, d):
     """Sentences of all documents, cut where their languages' own texts say that sentences end."""
     docs = docs_of(spark, d)
-    return B.bordered(docs, B.learn_borders(docs))
+    return B.bordered(docs, B.learn_borders(docs, counts=_counted(spark, d)))
