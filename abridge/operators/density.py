@@ -64,8 +64,11 @@ def _labelled(sents: DataFrame, sides: DataFrame, cores: DataFrame, roots: DataF
 def density_clusters(sents: DataFrame, pairs: DataFrame, eps: float, least: int) -> DataFrame:
     """(set_id, sent_idx, k) for one distance and one number of neighbours; noise is -1."""
     threshold = round(1 - eps, 9)
-    sides = both_ways(pairs).where("s > 0").select("set_id", "i", "j", F.round("s", 9).alias("s"))
-    cores = core_similarity(pairs, [least]).where(F.col("core") >= threshold).select("set_id", "i")
+    shared_checkpoints(sents.sparkSession)
+    # only pairs within eps count: they are made once, and all else is read from what is left
+    near = pairs.select("set_id", "i", "j", F.round("s", 9).alias("s")).where((F.col("s") > 0) & (F.col("s") >= threshold)).checkpoint()
+    sides = both_ways(near)
+    cores = sides.groupBy("set_id", "i").agg(F.count("*").alias("n")).where(F.col("n") >= least - 1).select("set_id", "i")
     if least <= 1:
         cores = sents.select("set_id", F.col("sent_idx").alias("i"))
     both = sides.where((F.col("s") >= threshold) & (F.col("i") < F.col("j"))).join(cores, ["set_id", "i"]).join(cores.withColumnRenamed("i", "j"), ["set_id", "j"])
