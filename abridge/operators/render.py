@@ -24,7 +24,7 @@ def summary_numbers(selection: DataFrame) -> DataFrame:
     return selection.groupBy("set_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.col("sent_idx") + 1)), lambda n: n.cast("string")), " ").alias("numbers"))
 
 
-def running_length(selection: DataFrame, sents: DataFrame) -> DataFrame:
-    """(set_id, step, sent_idx, words_so_far)."""
-    rows = selection.join(sents.select("set_id", "sent_idx", F.size("tokens").alias("n")), ["set_id", "sent_idx"])
+def running_length(selection: DataFrame, sents: DataFrame | None = None) -> DataFrame:
+    """(set_id, step, sent_idx, words_so_far). A selection that has its lines needs no `sents`: tokens are joined by one blank in a line."""
+    rows = selection.withColumn("n", F.size(F.split("line", " "))) if sents is None else selection.join(sents.select("set_id", "sent_idx", F.size("tokens").alias("n")), ["set_id", "sent_idx"])
     return rows.selectExpr("set_id", "step", "sent_idx", "sum(n) over (partition by set_id order by step) as words_so_far")

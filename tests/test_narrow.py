@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from abridge.config import Config
 from abridge.functions import text as T
-from abridge.operators import cluster, combine, measures, select, terms
+from abridge.operators import borders, cluster, combine, measures, render, select, terms
+from abridge.operators.density import density_clusters
 
 TEXTS = [
     (1, "The red fox runs far away. The red fox sleeps far away! A blue bird sings the red song? The red fox runs far away."),
@@ -86,3 +87,34 @@ def test_clusters_of_rows(spark):
     for new, old in pairs:
         assert _rows(new) == _rows(old)
         assert _exchanges(new) == 0
+
+
+def test_running_length_from_lines(spark):
+    chosen = spark.createDataFrame([(1, 1, 4, "a b c."), (1, 2, 0, "d é")], "set_id long, step int, sent_idx int, line string")
+    assert _rows(render.running_length(chosen).select("set_id", "step", "sent_idx", "words_so_far")) == [(1, 1, 4, 3), (1, 2, 0, 5)]
+
+
+def test_density_makes_pairs_once(spark):
+    sents = spark.createDataFrame([(1, k) for k in range(5)], "set_id long, sent_idx int")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, 0, 1, 0.9), (1, 1, 2, 0.85), (1, 2, 3, 0.8), (1, 3, 4, 0.3)]
+    pairs = spark.createDataFrame(rows, "set_id long, i int, j int, s double").mapInArrow(count, "set_id long, i int, j int, s double")
+    assert _rows(density_clusters(sents, pairs, 0.2, 3)) == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 4, -1)]
+    assert made.value == len(rows)
+
+
+def test_tokens_are_counted_before_patterns(spark):
+    counts = borders.pair_counts(spark.createDataFrame([("en", 'He said "go." Then "go." Then go, go'), (None, None)], "lang string, text string"))
+    assert _rows(counts.where("word = 'go' and stop")) == [("en", "go", True, "then", True, 2)]
+    assert _exchanges(counts) == 2  # of distinct tokens, then of words
+
+
+def test_sentences_end_at_the_last_token(spark):
+    docs = spark.createDataFrame([(1, "en", "One two! Three... four Five... Six. seven"), (2, "en", "Only."), (3, "en", " "), (4, None, "No sign")], "doc_id long, lang string, text string")
+    assert [r[2] for r in _rows(borders.bordered(docs, borders.learn_borders(docs)))] == ["One two!", "Three... four Five...", "Six.", "seven", "Only.", "No sign"]
