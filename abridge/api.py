@@ -64,7 +64,7 @@ def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id",
         sents = sents.withColumn("tokens", F.split("resolved", " ")).withColumn("text", F.col("resolved")).withColumn("words", word_array(F.col("tokens"))).drop("resolved")
     if config.input_limit:
         sents = select.sampled(sents, config.input_limit, config.seed)
-    plain = order_col is None and not (config.input_limit or config.resolve_pronouns or steps) and config.stemmer == "none" and lists.clusters is None and lists.idf_documents is None
+    plain = order_col is None and not (config.input_limit or config.resolve_pronouns or steps) and config.stemmer in ("none", "porter2") and lists.clusters is None and lists.idf_documents is None
     large = _large(docs, sents, config, set_col, text_col)
     some = not large.isEmpty()
     if some:
@@ -72,9 +72,14 @@ def choose(docs: DataFrame, config: Config = Config(), set_col: str = "doc_id",
         small, big = sents.join(large, "set_id", "left_anti"), sents.join(large, "set_id", "left_semi")
     else:
         small, big = sents, None
-    if plain and _measures(config, lists) == ("tfidf",):
+    names = _measures(config, lists)
+    if plain and "embed" not in names:
         rows = docs if big is None else docs.join(large, docs[set_col] == large["set_id"], "left_anti")
-        found = select.select_documents(rows, config, lists.stop, set_col, text_col, split).drop("line")
+        if names == ("tfidf",) and config.stemmer == "none":
+            found = select.select_documents(rows, config, lists.stop, set_col, text_col, split).drop("line")
+        else:
+            near = not config.cluster_on_aggregate and config.clusterings == "one"
+            found = select.select_measures(rows, config, names, near, lists.positive, lists.negative, lists.stop, set_col, text_col, split)
     else:
         found = _by_features(small, config, order_col is not None, lists, steps)
     return (found if big is None else found.union(_by_joins(big, config, order_col is not None, lists, steps))), sents
