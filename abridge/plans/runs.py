@@ -45,15 +45,7 @@ def clusters_reused(spark, d):
     docs = docs_of(spark, d).select("doc_id", "text")
     store = ClusteringStore(scratch_path(spark, "clusterings"), "seeded-7")
 
-    def make(sents):
-        """Each sentence with the seeded medoid that shares most words with it."""
-        words = sents.select("set_id", F.col("sent_idx").alias("i"), F.explode(F.array_distinct("words")).alias("w"))
-        medoids = cluster.seeded_medoids(sents)
-        of = words.join(medoids.select("set_id", F.col("medoid").alias("i"), "k"), ["set_id", "i"]).select("set_id", "w", F.col("i").alias("j"))
-        pairs = words.join(of, ["set_id", "w"]).where("i <> j").groupBy("set_id", "i", "j").agg(F.count("*").cast("double").alias("s"))
-        return cluster.assigned(sents, medoids, pairs)
-
-    store.clustered(sentences(docs), make).write.format("noop").mode("overwrite").save()
+    store.clustered(sentences(docs), cluster.by_shared_words).write.format("noop").mode("overwrite").save()
     more = F.when(F.col("doc_id") % 100 == 0, ". And this last sentence is new today.").otherwise("")
     changed = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
-    return store.clustered(sentences(changed), make).select("set_id", "sent_idx", "fresh")
+    return store.clustered(sentences(changed), cluster.by_shared_words).select("set_id", "sent_idx", "fresh")
