@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from abridge.llm import textkit
 from abridge.llm.common import small_batches
-from abridge.llm.pieces import REMEMBERED, pieces
+from abridge.llm.pieces import pieces
 
 #: Ids in a packing window.
 WINDOW = 4_000_000
@@ -87,14 +87,11 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
-def _gather(which: np.ndarray, ids: list[tuple[int, ...]], kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _gather(which: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of parts in order, and where each part's begin."""
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for part in ids for x in part), kind, int(size.sum()))
-    start = np.cumsum(size) - size
     many = size[which]
     at = np.cumsum(many) - many
-    return flat[np.repeat(start[which] - at, many) + np.arange(int(many.sum()))], np.append(at, int(many.sum()))
+    return ids[np.repeat(start[which] - at, many) + np.arange(int(many.sum()))], np.append(at, int(many.sum()))
 
 
 def pack_token_ids(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", pad: int = 0, end: int | None = None) -> DataFrame:
@@ -110,7 +107,7 @@ def pack_token_ids(docs: DataFrame, tokenizer: str, length: int = 2048, id_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(tokenizer, remembered=2 * REMEMBERED)
+        known = pieces(tokenizer)
         kind = np.uint16 if known.whole.get_vocab_size() <= 65536 else np.uint32
         place = np.dtype(np.uint16 if length <= 65536 else np.uint32)
         task, written = TaskContext.get().partitionId() << 33, 0
@@ -162,11 +159,11 @@ def pack_token_ids(docs: DataFrame, tokenizer: str, length: int = 2048, id_col:
         names, flats, ends, held = [], [], [], 0
         for batch in batches:
             text, at = textkit.as_text(batch.column(1)), 0
-            for which, ids, first in known.ragged(text):
+            for which, ids, start, size, first in known.ragged(text):
                 if end is not None:
-                    which, first = np.insert(which, first[1:], len(ids)), first + np.arange(len(first))
-                    ids = [*ids, (end,)]
-                flat, starts = _gather(which, ids, kind)
+                    which, first = np.insert(which, first[1:], len(size)), first + np.arange(len(first))
+                    ids, start, size = np.append(ids, end), np.append(start, len(ids)), np.append(size, 1)
+                flat, starts = _gather(which, ids.astype(kind), start, size)
                 names.append(batch.column(0).slice(at, len(first) - 1))
                 at += len(first) - 1
                 flats.append(flat)

@@ -33,13 +33,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(tokenizer, counts=True)
+        known = pieces(tokenizer)
         for batch in batches:
             text = textkit.as_text(batch.column(1))
             size = pc.binary_length(text)
             counts = [np.zeros(0, np.int64)]
-            for which, each, first in known.ragged(text):
-                counts.append(_sums(np.array(each, np.int64)[which], first))
+            for which, _, _, size_of, first in known.ragged(text):
+                counts.append(_sums(size_of[which], first))
             yield pa.RecordBatch.from_arrays([batch.column(0), size.cast(pa.int64()), pa.array(np.concatenate(counts))], [id_col, "n_bytes", "n_tokens"])
 
     small_batches(docs.sparkSession)
