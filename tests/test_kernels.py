@@ -56,6 +56,14 @@ def test_medoids_of_rows(spark):
     assert _exchanges(new) == 0
 
 
+def test_members_of_rows(spark):
+    s, cos = T.sentences(_docs(spark)), select.cosine_pairs(_docs(spark), Config(), STOP)
+    medoids = cluster.seeded_medoids(s)
+    new = select.document_members(_docs(spark), Config(), STOP)
+    assert _rows(new) == _rows(cluster.members_by_similarity(cluster.assigned(s, medoids, cos), medoids, cos))
+    assert _exchanges(new) == 0
+
+
 def test_choice_of_rows(spark):
     s, cos = T.sentences(_docs(spark)), select.cosine_pairs(_docs(spark), Config(), STOP)
     new = select.document_greedy(_docs(spark), Config(), 3, STOP)
