@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from abridge.api import choose, tfidf_weights
 from abridge.config import Config
 from abridge.functions import text as T
-from abridge.operators import cluster, measures, select
+from abridge.operators import cluster, measures, select, terms
 from abridge.operators import vectors as V
 from abridge.sources.lists import Lists
 
@@ -64,6 +64,15 @@ def test_members_of_rows(spark):
     assert _exchanges(new) == 0
 
 
+def test_pairs_of_an_index_of_rows(spark, monkeypatch):
+    old = measures.indexed_cosine(terms.document_weights(_docs(spark), STOP, True))
+    for most in (select.PLACED, 3):
+        monkeypatch.setattr(select, "PLACED", most)
+        new = select.indexed_pairs(_docs(spark), Config(), STOP)
+        assert _rows(new) == _rows(old) and new.count() > 0
+        assert _exchanges(new) == 0
+
+
 def test_choice_of_rows(spark):
     s, cos = T.sentences(_docs(spark)), select.cosine_pairs(_docs(spark), Config(), STOP)
     new = select.document_greedy(_docs(spark), Config(), 3, STOP)
