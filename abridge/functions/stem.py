@@ -6,6 +6,9 @@ rules give SQL for Spark and for DuckDB. Stem the distinct vocabulary, not every
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ ONE = f"^({_C})?{_V}{_C}({_V})?$"  # measure 1
 MANY = f"^({_C})?{_V}{_C}{_V}{_C}"  # measure over 1
 VOWEL = f"^({_C})?[aeiouy]"
 SHORT = f"^{_C}[aeiouy][^aeiouwxy]$"  # consonant, vowel, consonant: takes an e
+_TESTS = tuple(re.compile(p) for p in (SOME, MANY, ONE, VOWEL, SHORT))
 
 
 def _rules(test: str):
@@ -50,6 +54,41 @@ def _rules(test: str):
     yield f"CASE WHEN {ends('ll')} AND {has('w', MANY)} THEN {cut} ELSE w END"
 
 
+@lru_cache(1 << 18)
+def porter_word(word: str) -> str:
+    """The stem of one word, by the same rules as `porter`."""
+    if len(word) <= 2:
+        return word
+    some, many, one, vowel, short = (p.search for p in _TESTS)
+    w = word
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if some(w[:-3]) else w
+    elif w.endswith("ed") and vowel(w[:-2]) or w.endswith("ing") and vowel(w[:-3]):
+        w = w[: -2 if w.endswith("ed") else -3]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulszy":
+            w = w[:-1]
+        elif one(w) and short(w):
+            w += "e"
+    if w.endswith("y") and vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for rules in (STEP2, STEP3):
+        end = next((w[-k:] for k in range(min(7, len(w)), 2, -1) if w[-k:] in rules), None)
+        if end and some(w[: -len(end)]):
+            w = w[: -len(end)] + rules[end]
+    end = next((w[-k:] for k in range(min(5, len(w)), 1, -1) if w[-k:] in STEP4), None)
+    if end and many(w[: -len(end)]) and (end != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(end)]
+    if w.endswith("e") and (many(w[:-1]) or one(w[:-1]) and not short(w[:-1])):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and many(w) else w
+
+
 def porter(words: DataFrame, column: str = "word", to: str = "stem") -> DataFrame:
     """`words` with the stem of each word; words of up to two letters stay. Input is expected in lower case."""
     out = words.withColumn("w", F.col(column))

@@ -1,9 +1,12 @@
 """Queries on sets of one row each: the same results as by joins, and no rows of terms or pairs in a shuffle."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from abridge.config import Config
 from abridge.functions import text as T
+from abridge.functions.stem import STEP2, STEP3, STEP4, porter, porter_word
 from abridge.operators import borders, cluster, combine, measures, render, select, terms
 from abridge.operators.density import density_clusters
 
@@ -118,3 +121,30 @@ def test_tokens_are_counted_before_patterns(spark):
 def test_sentences_end_at_the_last_token(spark):
     docs = spark.createDataFrame([(1, "en", "One two! Three... four Five... Six. seven"), (2, "en", "Only."), (3, "en", " "), (4, None, "No sign")], "doc_id long, lang string, text string")
     assert [r[2] for r in _rows(borders.bordered(docs, borders.learn_borders(docs)))] == ["One two!", "Three... four Five...", "Six.", "seven", "Only.", "No sign"]
+
+
+def test_bags_of_stems_without_shuffle(spark, monkeypatch):
+    docs = _docs(spark).union(spark.createDataFrame([(6, "Hopping ponies agreed relational motoring. Falling the ponies controlled hoping ponies. The ponies pony the ponies.")], "doc_id long, text string"))
+    s = T.sentences(docs)
+    for stemmer in ("porter", "porter2"):
+        want = {}
+        for r in terms.with_terms(terms.occurrences(s), ("the", "ponies"), stemmer).collect():
+            want.setdefault((r.set_id, r.sent_idx), {})[r.pos] = r
+        found = Counter()
+        for key, at in want.items():
+            row = [at[k] for k in sorted(at)]
+            found.update((*key, r.term) for r in row if not r.is_stop)
+            found.update((*key, f"{a.term} {b.term}") for a, b in zip(row, row[1:]))
+        for most in (terms.COUNTED, 5):
+            monkeypatch.setattr(terms, "COUNTED", most)
+            new = terms.bag(s, ("the", "ponies"), stemmer, True)
+            assert _rows(new) == sorted((*k, n) for k, n in found.items())
+            assert _rows(terms.bag(s, ("the", "ponies"), stemmer)) == sorted((*k, n) for k, n in found.items() if " " not in k[2])
+            assert _exchanges(new) == 0
+
+
+def test_stems_of_words_by_the_same_rules(spark):
+    heads = ("hop", "agr", "tr", "y", "sky", "fall", "cry", "relat", "oper", "éco", "x", "", "sens", "a")
+    tails = (*STEP2, *STEP3, *STEP4, "s", "ss", "sses", "ies", "eed", "ed", "ing", "pping", "ated", "bled", "ized", "lling", "y", "e", "ll", "ell", "ness", "sion", "tion", "rion")
+    words = spark.createDataFrame([(h + t + u,) for h in heads for t in tails for u in ("", "s", "ed", "e")], "word string").where("word <> ''").distinct()
+    assert [(r.word, r.stem) for r in porter(words).collect() if r.stem != porter_word(r.word)] == []
