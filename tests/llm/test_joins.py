@@ -137,3 +137,19 @@ def test_vectors_against_brute_force(spark, cells):
 
 def test_no_vectors(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_a_bucket_of_the_index_is_a_tasks_own(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name="part"):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    real = ngram_jaccard.kept
+    monkeypatch.setattr(ngram_jaccard, "kept", kept)
+    rows = [(k, " ".join(f"w{(k % 7) * 50 + j}" for j in range(40)) + f" x{k}") for k in range(60)]
+    found = {(r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(k, k % 7) for k in range(60)}
+    by = next(line for line in plans["lists"].splitlines() if "RepartitionByExpression" in line)
+    assert "directshufflepartitionid" in by.lower().replace("_", ""), by
