@@ -42,10 +42,10 @@ def digest_pages(spark, d):
        + "SELECT set_id, sent_idx, set_id % 100 = 0 AS fresh FROM s")
 def clusters_reused(spark, d):
     """All documents are clustered, one in a hundred gets another sentence, and all are clustered again: what was made anew the second time."""
-    docs = docs_of(spark, d).select("doc_id", "text")
+    docs = docs_of(spark, d).select(F.col("doc_id").alias("set_id"), "text")
     store = ClusteringStore(scratch_path(spark, "clusterings"), "seeded-7")
 
-    store.clustered(sentences(docs), cluster.by_shared_words).write.format("noop").mode("overwrite").save()
-    more = F.when(F.col("doc_id") % 100 == 0, ". And this last sentence is new today.").otherwise("")
-    changed = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
-    return store.clustered(sentences(changed), cluster.by_shared_words).select("set_id", "sent_idx", "fresh")
+    store.clustered_rows(docs, cluster.rows_by_shared_words).write.format("noop").mode("overwrite").save()
+    more = F.when(F.col("set_id") % 100 == 0, ". And this last sentence is new today.").otherwise("")
+    changed = docs.select("set_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+    return store.clustered_rows(changed, cluster.rows_by_shared_words).select("set_id", "sent_idx", "fresh")

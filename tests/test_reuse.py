@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from abridge import api
 from abridge.config import Config
 from abridge.functions.text import sentences
-from abridge.operators import render
+from abridge.operators import cluster, render
 from abridge.sources.clusterings import ClusteringStore
 from abridge.sources.pages import write_pages
 
@@ -31,6 +31,22 @@ def test_only_changed_sets_are_clustered_again(spark, tmp_path):
     assert rows(docs[:9]) == {k: (v[0], False) for k, v in second.items() if k[0] < 9}
 
 
+def test_sets_of_a_row_are_reused_without_a_shuffle_of_texts(spark, tmp_path):
+    docs = [(k, f"Set {k} has its own words here. Another sentence of {k} follows now. Words of {k} are here. Another sentence of {k} follows now.") for k in range(30)] + [(30, None), (31, "Too short.")]
+    docs += [(32, "Another sentence of 3 follows now. Set 3 has its own words here. Another sentence of 3 follows now. Words of 3 are here.")]  # the sentences of set 3
+    frame = lambda d: spark.createDataFrame(d, "set_id long, text string")
+    by_rows, by_joins = (ClusteringStore(str(tmp_path / at), "words-7") for at in ("rows", "joins"))
+    for fresh in (set(range(30)) | {32}, {5}):
+        new = by_rows.clustered_rows(frame(docs), cluster.rows_by_shared_words)
+        old = by_joins.clustered(sentences(frame(docs), "set_id"), cluster.by_shared_words)
+        assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+        assert {r.set_id for r in new.where("fresh").collect()} == fresh
+        assert "text" not in str(new._jdf.queryExecution().optimizedPlan())
+        docs[5] = (5, docs[5][1] + " And a new one comes here.")
+    again = by_joins.clustered_rows(frame(docs), cluster.rows_by_shared_words)  # a store is the same for both ways
+    assert {r.set_id for r in again.where("fresh").collect()} == {5} and again.count() == new.count() + 1
+
+
 def test_pages_appear_whole_or_not_at_all(spark, tmp_path):
     out = tmp_path / "site"
     write_pages(spark.createDataFrame([(k, f"Title <{k}>", f"<p>page {k} é</p>") for k in range(1, 8)], "place int, title string, html string").repartition(3), str(out))
